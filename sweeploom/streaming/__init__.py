@@ -1 +1 @@
-"""See README.md for the contents of this package."""
+"""Streaming variants: live solve sessions and incremental block audits."""
