@@ -30,7 +30,7 @@ def value_chunk(value: Column, width: float) -> Column:
 
 
 def time_chunk(ts: Column, seconds: int = 86_400) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -152,9 +152,10 @@ def _values(spark, folder):
 
 @query(
     "parameter_coverage",
-    f"""WITH {COVERAGE_SQL} SELECT v.dataset_kind, v.parameter, role, min(value) AS minimum_base_units, max(value) AS maximum_base_units, count(DISTINCT value) AS unique_values,
-      count(*) AS blocks, CASE WHEN role = 'verification' THEN count(*) FILTER (value < lo OR value > hi) ELSE NULL END AS outside
-    FROM v JOIN tr ON v.dataset_kind = tr.dataset_kind AND v.parameter = tr.parameter GROUP BY ALL""",
+    f"""WITH {COVERAGE_SQL}, a AS (SELECT v.dataset_kind, v.parameter, role, min(value) AS minimum_base_units, max(value) AS maximum_base_units, count(DISTINCT value) AS unique_values,
+      count(*) AS blocks, count(*) FILTER (value < lo OR value > hi) AS o
+    FROM v JOIN tr ON v.dataset_kind = tr.dataset_kind AND v.parameter = tr.parameter GROUP BY v.dataset_kind, v.parameter, role)
+    SELECT dataset_kind, parameter, role, minimum_base_units, maximum_base_units, unique_values, blocks, CASE WHEN role = 'verification' THEN o END AS outside FROM a""",
 )
 def parameter_coverage(spark, folder):
     c = coverage.coverage(_values(spark, folder))
