@@ -56,7 +56,7 @@ def global_metrics(spark, folder):
 
 @query(
     "weighted_rules",
-    """WITH b AS (SELECT DISTINCT p_brand FROM part), w AS (SELECT p_brand, CASE WHEN p_brand = 'Brand#12' THEN 4.0 WHEN p_brand LIKE 'Brand#1%' THEN 0.5 ELSE 1.0 END AS weight FROM b),
+    """WITH b AS (SELECT DISTINCT p_brand FROM part), w AS (SELECT p_brand, CAST(CASE WHEN p_brand = 'Brand#12' THEN 4.0 WHEN p_brand LIKE 'Brand#1%' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS weight FROM b),
     n AS (SELECT p_partkey, weight FROM part JOIN w USING (p_brand)) SELECT p_partkey, weight, round(weight / (SELECT avg(weight) FROM n), 6) AS normalized_weight FROM n""",
 )
 def weighted_rules(spark, folder):
@@ -72,8 +72,8 @@ def weighted_rules(spark, folder):
 
 @query(
     "label_and_band_weights",
-    f"""WITH {RESPONSE_SQL} SELECT label, freq_hz, CASE WHEN label IN ('S11', 'S22') THEN 1.0 WHEN label = 'S21' THEN 0.8 ELSE 0.2 END AS label_weight,
-      CASE WHEN freq_hz = 5e9 THEN 5.0 WHEN freq_hz BETWEEN 2e9 AND 4e9 THEN 2.0 ELSE 1.0 END AS band_weight, count(*) AS rows FROM response GROUP BY ALL""",
+    f"""WITH {RESPONSE_SQL} SELECT label, freq_hz, CAST(CASE WHEN label IN ('S11', 'S22') THEN 1.0 WHEN label = 'S21' THEN 0.8 ELSE 0.2 END AS DOUBLE) AS label_weight,
+      CAST(CASE WHEN freq_hz = 5e9 THEN 5.0 WHEN freq_hz BETWEEN 2e9 AND 4e9 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS band_weight, count(*) AS rows FROM response GROUP BY ALL""",
 )
 def label_and_band_weights(spark, folder):
     labels_ = spark.createDataFrame(
@@ -292,8 +292,8 @@ def split_overlap(spark, folder):
 
 @query(
     "split_integrity",
-    f"""WITH {POINTS_SQL}, g AS (SELECT count(*) AS n, count(*) FILTER (dataset = 'train') AS t, count(*) FILTER (dataset <> 'train') AS v FROM pts GROUP BY price_key, discount_key)
-    SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_geometries, CAST(sum(t) AS BIGINT) AS train, CAST(sum(v) AS BIGINT) AS verification, count(*) FILTER (t > 0 AND v > 0) AS train_verification_overlap FROM g""",
+    f"""WITH {POINTS_SQL}, gr AS (SELECT count(*) AS n, count(*) FILTER (dataset = 'train') AS t, count(*) FILTER (dataset <> 'train') AS v FROM pts GROUP BY price_key, discount_key)
+    SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_geometries, CAST(sum(t) AS BIGINT) AS train, CAST(sum(v) AS BIGINT) AS verification, count(*) FILTER (t > 0 AND v > 0) AS train_verification_overlap FROM gr""",
 )
 def split_integrity(spark, folder):
     return inventory.split_integrity(_points(spark, folder), KEY, "dataset")
@@ -301,7 +301,7 @@ def split_integrity(spark, folder):
 
 @query(
     "inventory_counts",
-    f"""WITH {POINTS_SQL}, g AS (SELECT bool_or(dataset = 'train') AS t FROM pts GROUP BY price_key, discount_key) SELECT count(*) FILTER (t) AS training, count(*) FILTER (NOT t) AS verification FROM g""",
+    f"""WITH {POINTS_SQL}, gr AS (SELECT bool_or(dataset = 'train') AS t FROM pts GROUP BY price_key, discount_key) SELECT count(*) FILTER (t) AS training, count(*) FILTER (NOT t) AS verification FROM gr""",
 )
 def inventory_counts(spark, folder):
     return inventory.inventory_counts(_points(spark, folder), KEY, "dataset")
@@ -309,10 +309,10 @@ def inventory_counts(spark, folder):
 
 @query(
     "constraint_violations",
-    f"""WITH {POINTS_SQL}, g AS (SELECT count(*) AS n, bool_or(dataset = 'train') AND bool_or(dataset <> 'train') AS both FROM pts GROUP BY price_key, discount_key)
+    f"""WITH {POINTS_SQL}, gr AS (SELECT count(*) AS n, bool_or(dataset = 'train') AND bool_or(dataset <> 'train') AS in_both FROM pts GROUP BY price_key, discount_key)
     SELECT 'in_domain' AS rule, count(*) AS rows FROM pts WHERE discount_key = '100mm' HAVING count(*) > 0
     UNION ALL SELECT 'role_matches_file', count(*) FROM pts WHERE source = 'N' AND dataset = 'train' HAVING count(*) > 0
-    UNION ALL SELECT 'duplicate_key', CAST(sum(n) AS BIGINT) FROM g WHERE n > 1 UNION ALL SELECT 'split_overlap', count(*) FROM g WHERE both""",
+    UNION ALL SELECT 'duplicate_key', CAST(sum(n) AS BIGINT) FROM gr WHERE n > 1 UNION ALL SELECT 'split_overlap', count(*) FROM gr WHERE in_both""",
 )
 def constraint_violations(spark, folder):
     checks = {
@@ -475,13 +475,13 @@ def round_improvements(spark, folder):
 @query(
     "sweep_diagnostics",
     """WITH s AS (SELECT 'priority' AS setting, o_orderpriority AS value, o_totalprice / 1000 AS m, o_orderstatus = 'F' AS p FROM orders UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), o_totalprice / 1000, o_orderstatus = 'F' FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT setting, value, count(*) FILTER (p) AS trials, round(avg(m) FILTER (p), 4) AS mean, round(min(m) FILTER (p), 4) AS minimum, count(*) AS all_trials, round(avg(m), 4) AS all_mean, round(max(m), 4) AS all_maximum FROM s GROUP BY setting, value""",
+    SELECT setting, value, count(*) FILTER (p) AS trials, round(avg(m) FILTER (p), 6) AS mean, round(min(m) FILTER (p), 6) AS minimum, count(*) AS all_trials, round(avg(m), 6) AS all_mean, round(max(m), 6) AS all_maximum FROM s GROUP BY setting, value""",
 )
 def sweep_diagnostics(spark, folder):
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("nation"))
     t = _trials(spark, folder).join(c, "c").withColumn("priority", F.col("o_orderpriority"))
     out = trials.sweep_diagnostics(t, ["priority", "nation"], "metric", F.coalesce(F.col("violations") == 0, F.lit(False)))
-    return out.select("setting", "value", "trials", r("mean", 4).alias("mean"), r("minimum", 4).alias("minimum"), "all_trials", r("all_mean", 4).alias("all_mean"), r("all_maximum", 4).alias("all_maximum"))
+    return out.select("setting", "value", "trials", r("mean", 6).alias("mean"), r("minimum", 6).alias("minimum"), "all_trials", r("all_mean", 6).alias("all_mean"), r("all_maximum", 6).alias("all_maximum"))
 
 
 @query(
@@ -514,14 +514,16 @@ def worst_blocks(spark, folder):
 
 # --- settings ------------------------------------------------------------------------
 
-SETTINGS_SQL = """
-s AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '')[1:3] AS path, CAST(page_id % 7 AS VARCHAR) AS value, 'page' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS source, CAST(page_id % 5 AS INT) AS priority FROM pages),
+SETTINGS_SQL = r"""
+s AS (SELECT page_id, [regexp_extract(url, 'example\.[a-z]+'), regexp_extract(url, '/(en|fr|de|es)/', 1), CAST(page_id % 9 AS VARCHAR)][1:1 + page_id % 3] AS path, CAST(page_id % 7 AS VARCHAR) AS value, 'page' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS source, CAST(page_id % 5 AS INT) AS priority FROM pages),
 w AS (SELECT array_to_string(path, '/') AS path, arg_max(value, (priority, source)) AS selected_value, max((priority, source)) AS rk, count(*) AS candidates, count(DISTINCT value) AS distinct_values FROM s GROUP BY path)"""
 
 
 def _settings(spark, folder):
-    bare = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
-    path = F.slice(F.filter(F.split(bare, "/"), lambda x: x != ""), 1, 3)
+    parts = F.array(
+        F.regexp_extract("url", r"example\.[a-z]+", 0), F.regexp_extract("url", "/(en|fr|de|es)/", 1), (F.col("page_id") % 9).cast("string")
+    )
+    path = F.slice(parts, F.lit(1), (F.col("page_id") % 3 + 1).cast("int"))
     return table(spark, folder, "pages").select(
         path.alias("path"),
         (F.col("page_id") % 7).cast("string").alias("value"),
@@ -554,7 +556,7 @@ def setting_conflicts(spark, folder):
     f"""WITH {SETTINGS_SQL}, p AS (SELECT DISTINCT path FROM s) SELECT array_to_string(a.path, '/') AS shorter, array_to_string(b.path, '/') AS longer FROM p a JOIN p b ON len(a.path) < len(b.path) AND b.path[1:len(a.path)] = a.path""",
 )
 def setting_prefixes(spark, folder):
-    out = settings.prefix_collisions(_settings(spark, folder).withColumn("path", F.col("path")))
+    out = settings.prefix_collisions(_settings(spark, folder))
     return out.select(F.array_join("shorter", "/").alias("shorter"), F.array_join("longer", "/").alias("longer"))
 
 
