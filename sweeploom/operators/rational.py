@@ -10,6 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Samples of a group that one slice may hold, and triangles folded at once.
+SLICE_ROWS = 4_096
+FOLD_FAN_IN = 256
+_PIECE = 2_000_000
+
 
 def fixed_poles(low: float, high: float, count: int, damping: float) -> tuple[np.ndarray, float]:
     """Log-spaced conjugate pole pairs over the scaled band, and the scale."""
@@ -62,95 +67,124 @@ def fit(
     im: str = "im",
     weight: str | None = None,
 ) -> DataFrame:
-    """Weighted ridge fit per group: ``keys, re ARRAY, im ARRAY`` coefficients.
+    """Weighted ridge fit per group: ``keys, coef_re ARRAY, coef_im ARRAY``.
 
-    Each Arrow batch reduces its rows of a group to the triangle R and the
-    projected right side of a QR factorisation (never the squared normal
-    equations); triangles of one group are stacked and factorised again.  A
-    group of any length therefore needs no task that holds all its rows.
+    A group is cut into slices of bounded length.  Each slice shrinks to the
+    triangle of a QR factorisation of [basis, response] (not to squared normal
+    equations, which lose digits); the triangles of a group are folded a few
+    hundred at a time until one is left.  Slices are factorised as stacked
+    matrices, many groups per call.
     """
     size = len(poles) + 1
     names = list(keys)
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
-    small = f"{key_types}, triangle array<double>, rhs array<double>"
-
-    def reduce_block(b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q, r = np.linalg.qr(np.column_stack([b, y]))
-        top = r[: size + 1]
-        padded = np.zeros((size + 1, size + 1), dtype=complex)
-        padded[: len(top)] = top
-        return padded[:, :size], padded[:, size]
-
-    def pack(key: tuple, r: np.ndarray, y: np.ndarray) -> dict:
-        flat = r.reshape(-1)
-        return {
-            **dict(zip(names, key)),
-            "triangle": np.concatenate([flat.real, flat.imag]),
-            "rhs": np.concatenate([y.real, y.imag]),
-        }
-
-    def partial(batches):
-        for pdf in batches:
-            out = []
-            for key, part in pdf.groupby(names, sort=False, dropna=False):
-                b = basis(part["__f"].to_numpy(), poles, scale)
-                y = part["__re"].to_numpy() + 1j * part["__im"].to_numpy()
-                root = np.sqrt(part["__w"].to_numpy())
-                out.append(pack(key, *reduce_block(b * root[:, None], y * root)))
-            if out:
-                yield pd.DataFrame(out)[[*names, "triangle", "rhs"]]
-
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        half = (size + 1) * size
-        tri = np.stack(pdf["triangle"].to_numpy())
-        rhs = np.stack(pdf["rhs"].to_numpy())
-        r = (tri[:, :half] + 1j * tri[:, half:]).reshape(-1, size)
-        y = (rhs[:, : size + 1] + 1j * rhs[:, size + 1 :]).reshape(-1)
-        if ridge > 0:
-            r = np.vstack([r, math.sqrt(ridge) * np.eye(size)])
-            y = np.concatenate([y, np.zeros(size)])
-        c = np.linalg.lstsq(r, y, rcond=None)[0]
-        return pd.DataFrame([{**dict(zip(names, key)), "coef_re": c.real, "coef_im": c.imag}])
-
-    prepared = rows.where(F.col(axis) > 0).select(
+    data = rows.where(F.col(axis) > 0).select(
         *names,
-        F.col(axis).alias("__f"),
-        F.col(re).alias("__re"),
-        F.col(im).alias("__im"),
-        (F.col(weight) if weight else F.lit(1.0)).alias("__w"),
+        F.col(axis).cast("double").alias("f"),
+        F.col(re).cast("double").alias("a"),
+        F.col(im).cast("double").alias("b"),
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
     )
-    triangles = prepared.mapInPandas(partial, small)
-    # Rows of one group inside a partition shrink by the batch size, so a group
-    # of n rows leaves about n / batch triangles; a second level folds those.
-    folded = _fold(triangles, names, size, small)
-    return folded.groupBy(*names).applyInPandas(merge, f"{key_types}, coef_re array<double>, coef_im array<double>")
-
-
-def _fold(triangles: DataFrame, names: Sequence[str], size: int, schema: str) -> DataFrame:
-    half = (size + 1) * size
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 1:
-            return pdf.drop(columns="__lane")
-        tri = np.stack(pdf["triangle"].to_numpy())
-        rhs = np.stack(pdf["rhs"].to_numpy())
-        stacked = np.column_stack(
-            [
-                (tri[:, :half] + 1j * tri[:, half:]).reshape(-1, size),
-                (rhs[:, : size + 1] + 1j * rhs[:, size + 1 :]).reshape(-1),
-            ]
+    longest = data.groupBy(*names).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    lanes = max(1, -(-longest // SLICE_ROWS))
+
+    @F.pandas_udf("array<double>")
+    def triangle(samples: pd.Series) -> pd.Series:
+        def stack(part):
+            n = max(len(v) for v in part)
+            cube = np.zeros((len(part), n, 4))
+            for k, v in enumerate(part):
+                cube[k, : len(v)] = [(s["f"], s["a"], s["b"], s["w"]) for s in v]
+            f, y, w = cube[:, :, 0], cube[:, :, 1] + 1j * cube[:, :, 2], np.sqrt(cube[:, :, 3])
+            flat = basis(f.reshape(-1), poles, scale).reshape(*f.shape, size)
+            return np.concatenate([flat, y[:, :, None]], axis=2) * w[:, :, None]
+
+        return _in_pieces(samples, lambda v: len(v) * (size + 1), lambda part: _pack(_upper(stack(part), size + 1)))
+
+    @F.pandas_udf("array<double>")
+    def fold(parts: pd.Series) -> pd.Series:
+        def stack(part):
+            n = max(len(v) for v in part) * (size + 1)
+            cube = np.zeros((len(part), n, size + 1), dtype=complex)
+            for k, v in enumerate(part):
+                rows_ = _unpack(np.stack(list(v)), size + 1).reshape(-1, size + 1)
+                cube[k, : len(rows_)] = rows_
+            return cube
+
+        return _in_pieces(parts, lambda v: len(v) * (size + 1) ** 2, lambda part: _pack(_upper(stack(part), size + 1)))
+
+    @F.pandas_udf("array<double>")
+    def solve(triangles: pd.Series) -> pd.Series:
+        def work(part):
+            full = _unpack(np.stack(list(part)), size + 1)
+            if ridge > 0:
+                extra = np.zeros((len(full), size, size + 1), dtype=complex)
+                extra[:, range(size), range(size)] = math.sqrt(ridge)
+                full = _upper(np.concatenate([full, extra], axis=1), size + 1)
+            r, y = full[:, :size, :size], full[:, :size, size]
+            diagonal = np.abs(np.diagonal(r, axis1=1, axis2=2))
+            sound = diagonal.min(axis=1) > 1e-13 * np.maximum(diagonal.max(axis=1), 1e-300)
+            out = np.zeros_like(y)
+            if sound.any():
+                out[sound] = np.linalg.solve(r[sound], y[sound][:, :, None])[:, :, 0]
+            for k in np.nonzero(~sound)[0]:  # fewer samples than coefficients: least norm
+                out[k] = np.linalg.lstsq(full[k, :, :size], full[k, :, size], rcond=None)[0]
+            return list(np.concatenate([out.real, out.imag], axis=1))
+
+        return _in_pieces(triangles, len, work)
+
+    if lanes > 1:
+        # Copies of a sample would share a slice: they become one weighted sample.
+        data = data.groupBy(*names, "f", "a", "b").agg(F.sum("w").alias("w"))
+    lane = F.pmod(F.xxhash64("f", "a", "b"), F.lit(lanes)) if lanes > 1 else F.lit(0)
+    sliced = data.groupBy(*names, lane.alias("__lane")).agg(F.collect_list(F.struct("f", "a", "b", "w")).alias("s"))
+    state = sliced.select(*names, "__lane", triangle("s").alias("t"))
+    while lanes > 1:
+        lanes = -(-lanes // FOLD_FAN_IN)
+        state = (
+            state.withColumn("__lane", F.pmod("__lane", F.lit(lanes)))
+            .groupBy(*names, "__lane")
+            .agg(F.collect_list("t").alias("s"))
+            .select(*names, "__lane", fold("s").alias("t"))
         )
-        r = np.linalg.qr(stacked, mode="r")[: size + 1]
-        padded = np.zeros((size + 1, size + 1), dtype=complex)
-        padded[: len(r)] = r
-        flat, y = padded[:, :size].reshape(-1), padded[:, size]
-        row = dict(zip(names, key[: len(names)]))
-        row["triangle"] = np.concatenate([flat.real, flat.imag])
-        row["rhs"] = np.concatenate([y.real, y.imag])
-        return pd.DataFrame([row])[[*names, "triangle", "rhs"]]
+    solved = state.select(*names, solve("t").alias("c"))
+    return solved.select(*names, F.slice("c", 1, size).alias("coef_re"), F.slice("c", size + 1, size).alias("coef_im"))
+
+
+def _upper(stack: np.ndarray, size: int) -> np.ndarray:
+    """R factors (G, size, size) of stacked matrices with ``size`` columns."""
+    if stack.shape[1] < size:
+        pad = np.zeros((len(stack), size - stack.shape[1], size), dtype=complex)
+        stack = np.concatenate([stack, pad], axis=1)
+    return np.linalg.qr(stack, mode="r")
+
+
+def _pack(stack: np.ndarray) -> list:
+    flat = stack.reshape(len(stack), -1)
+    return list(np.concatenate([flat.real, flat.imag], axis=1))
+
+
+def _unpack(flat: np.ndarray, size: int) -> np.ndarray:
+    half = size * size
+    return (flat[:, :half] + 1j * flat[:, half:]).reshape(-1, size, size)
+
 
-    lanes = F.pmod(F.spark_partition_id(), F.lit(256))
-    return triangles.withColumn("__lane", lanes).groupBy(*names, "__lane").applyInPandas(fold, schema)
+def _in_pieces(values: pd.Series, weight, work) -> pd.Series:
+    """Apply ``work`` to runs of similar size whose padded total stays bounded."""
+    if not len(values):
+        return pd.Series([], dtype=object)
+    sizes = np.array([weight(v) for v in values])
+    order = np.argsort(sizes, kind="stable")
+    out = np.empty(len(values), dtype=object)
+    start = 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] <= _PIECE:
+            stop += 1
+        picked = order[start:stop]
+        for at, result in zip(picked, work([values.iloc[k] for k in picked])):
+            out[at] = result
+        start = stop
+    return pd.Series(list(out), index=values.index, dtype=object)
 
 
 def evaluate(samples: DataFrame, coefficients: DataFrame, keys: Sequence[str], poles: np.ndarray, scale: float, axis: str = "freq_hz") -> DataFrame:
@@ -161,8 +195,8 @@ def evaluate(samples: DataFrame, coefficients: DataFrame, keys: Sequence[str], p
         F.arrays_zip(F.col("coef_re").alias("re"), F.col("coef_im").alias("im")),
         b,
         lambda c, x: F.struct(
-            (c["coef_re"] * x["re"] - c["coef_im"] * x["im"]).alias("re"),
-            (c["coef_re"] * x["im"] + c["coef_im"] * x["re"]).alias("im"),
+            (c["re"] * x["re"] - c["im"] * x["im"]).alias("re"),
+            (c["re"] * x["im"] + c["im"] * x["re"]).alias("im"),
         ),
     )
     with_terms = joined.withColumn("__t", terms)

@@ -151,7 +151,7 @@ def read_records(spark: SparkSession, path: str, with_values: bool = True) -> Da
                         (
                             source, split, pos, part,
                             [{"seq": s, "name": n, "value": v} for s, n, v in b["sticky"]],
-                            list(b["own"].items()), b["has_block"], b["format"], b["unit"], b["z0"],
+                            b["own"], b["has_block"], b["format"], b["unit"], b["z0"],
                             b["freq"], b["labels"], b["re"], b["im"],
                         )
                     )
