@@ -171,6 +171,16 @@ def common_label_set(response: DataFrame) -> DataFrame:
     )
 
 
+def incomplete_matrix_issues(expected_labels: DataFrame) -> DataFrame:
+    """The expected labels must be all N*N entries of an N-port."""
+    port = port_numbers(F.col("label"))
+    facts = expected_labels.agg(
+        F.count("*").alias("labels"), F.max(F.greatest(port["row"], port["col"])).alias("ports"), F.count(port["row"]).alias("parsed")
+    )
+    bad = facts.where("ports IS NULL OR parsed != labels OR labels != ports * ports")
+    return issue_rows(bad, "ERROR", "INCOMPLETE_SPARAM_MATRIX", F.format_string("%d labels are not a complete matrix.", "labels"))
+
+
 def labels_in_every_block(response: DataFrame, block: Sequence[str] = ("record_id",), label: str = "label") -> DataFrame:
     """Labels that occur in all blocks."""
     pairs = response.select(*block, label).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import logtext
 from ...functions.complexmath import port_numbers
-from ...functions.units import csv_number, to_unit
+from ...functions.units import csv_number, in_unit_cube, to_unit
 from ...operators import inventory, metrics, ordered, settings, solverlogs, trials
 from ...sources import artifacts, tabular
 from .base import RESPONSE_SQL, SAMPLES_SQL, query, r, response, samples, table
@@ -322,6 +322,16 @@ def constraint_violations(spark, folder):
     return inventory.constraint_violations(_points(spark, folder), KEY, checks, "dataset")
 
 
+@query(
+    "extension_precondition",
+    "SELECT 'inside_original_domain' AS rule, count(*) AS rows FROM part WHERE p_retailprice < 905 OR p_retailprice > 990 HAVING count(*) > 0",
+)
+def extension_precondition(spark, folder):
+    """Rows outside the original domain, before a range is extended."""
+    p = table(spark, folder, "part").select("p_partkey", to_unit(F.col("p_retailprice"), F.lit(905.0), F.lit(990.0), F.lit("linear")).alias("u"))
+    return inventory.constraint_violations(p, ["p_partkey"], {"inside_original_domain": in_unit_cube(F.array("u"))})
+
+
 @query(
     "rounded_unique_points",
     """WITH k AS (SELECT c_custkey, CAST(round_even(c_acctbal / 10000.0 / 0.01, 0) AS BIGINT) AS a FROM customer) SELECT min(c_custkey) AS c_custkey FROM k GROUP BY a""",

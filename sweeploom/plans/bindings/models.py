@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 
 from ...operators import acquire, align, dense, designs, metrics, ordered, quality, rational, search
+from ..export import sampled_grid
+from ..suggest import suggest
 from .base import RESPONSE_SQL, SAMPLES_SQL, SIGMA_SQL, query, r, response, samples, table, two_port
 from .inventories import ERROR_REGION_SQL, _regions
 
@@ -497,6 +499,44 @@ def verification_growth(spark, folder):
     )
 
 
+@query("suggested_points")
+def suggested_points(spark, folder):
+    """Recommendation, candidate pool, error model and greedy batch in one go."""
+    regions = _unit_regions(spark, folder).select("source_index", F.col("u0").alias("w"), F.col("u1").alias("l"), "score")
+    domain = [{"name": "w", "lower": 0.0, "upper": 1.0}, {"name": "l", "lower": 0.0, "upper": 1.0}]
+    known = _candidates(spark, folder).select(F.round(F.col("p")[0], 2).alias("w"), F.round(F.col("p")[1], 2).alias("l"), F.lit("train").alias("dataset"))
+    return suggest(regions, known, domain, 2, target=2000.0)
+
+
+@query("sampled_grid_export")
+def sampled_grid_export(spark, folder):
+    """Suppliers as parameter points times line frequencies, scored by a fitted model."""
+    resp = response(spark, folder)
+    nation = samples(spark, folder).groupBy(F.col("l_orderkey").alias("record_id")).agg((F.min("l_suppkey") % 25).cast("double").alias("w"))
+    rows = align.positive_rows(resp).where("label IN ('S11', 'S21')").groupBy("record_id", "freq_hz").agg(
+        F.max(F.when(F.col("label") == "S11", F.col("re"))).alias("a"), F.max(F.when(F.col("label") == "S21", F.col("re"))).alias("b"),
+        F.max(F.when(F.col("label") == "S11", F.col("im"))).alias("c"), F.max(F.when(F.col("label") == "S21", F.col("im"))).alias("d"),
+    ).join(nation, "record_id")
+    model = dense.fit(align.features(rows, ["w"], "freq_hz", ["a", "b", "c", "d"]), [4], epochs=3, learning_rate=0.05, seed=1)
+    points = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").cast("double").alias("w"))
+    freqs = resp.select("freq_hz").distinct()
+    return sampled_grid(points, freqs, ["w"], model, ["S11", "S21"])
+
+
+@query(
+    "coarse_model_on_fine_rows",
+    f"""WITH {SAMPLES_SQL} SELECT l_orderkey, l_linenumber, round(l_extendedprice - (2 * l_quantity + 3 * l_tax), 6) AS residual FROM samples""",
+)
+def coarse_model_on_fine_rows(spark, folder):
+    """A coarse model evaluated at every fine sample and matched one to one."""
+    s = samples(spark, folder)
+    fine = s.select("l_orderkey", "l_linenumber", "l_extendedprice", F.array("l_quantity", "l_tax").alias("x"))
+    line = dense.DenseModel([np.array([[2.0], [3.0]])], [np.zeros(1)], "tanh", np.zeros(2), np.ones(2), np.zeros(1), np.ones(1))
+    coarse = dense.predict(fine.select("l_orderkey", "l_linenumber", "x"), line).select("l_orderkey", "l_linenumber", F.col("prediction")[0].alias("c"))
+    out = fine.join(coarse, ["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", r(F.col("l_extendedprice") - F.col("c")).alias("residual"))
+
+
 @query("next_trial")
 def next_trial(spark, folder):
     """The next setting to try: parts as candidates, some of them tried already."""
