@@ -50,7 +50,7 @@ def largest_singular_2x2(m: Column) -> Column:
 
 def to_matrices(values: pd.Series) -> np.ndarray:
     """Stack a batch of equally sized arrays into complex (n, N, N)."""
-    flat = np.stack([np.asarray(v, dtype=float) for v in values])
+    flat = np.stack(list(values)).astype(float)
     half = flat.shape[1] // 2
     ports = int(round(half**0.5))
     return (flat[:, :half] + 1j * flat[:, half:]).reshape(-1, ports, ports)
@@ -63,6 +63,10 @@ def from_matrices(stack: np.ndarray) -> list[np.ndarray]:
 
 def by_size(values: pd.Series, work) -> pd.Series:
     """Apply ``work`` to the rows of each matrix size; NULL stays NULL."""
+    if not len(values):
+        return pd.Series([], dtype=object)
+    if not values.isna().any() and values.map(len).nunique() == 1:
+        return pd.Series(list(work(to_matrices(values))), index=values.index, dtype=object)
     out = pd.Series([None] * len(values), index=values.index, dtype=object)
     sizes = values.map(lambda v: None if v is None else len(v))
     for _size, rows in values.groupby(sizes):

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.complexmath import from_matrices, s_to_y_stack, to_matrices
+from ..functions.complexmath import s_to_y_stack, to_matrices
 
 # Optimiser constants.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -55,16 +55,21 @@ def xavier(sizes: Sequence[int], seed: int) -> tuple[list, list]:
 
 def predict(rows: DataFrame, model, x: str = "x", out: str = "prediction") -> DataFrame:
     """Score rows with any object that has ``predict(matrix)``; the model is
-    broadcast once and applied to Arrow batches."""
+    broadcast once and applied to Arrow batches.  A model that tells its input
+    width (``x_mean``) gets plain double columns, which need no unpacking."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    width = len(getattr(model, "x_mean", ()))
 
     @F.pandas_udf("array<double>")
-    def score(values: pd.Series) -> pd.Series:
-        if not len(values):
+    def score(*columns: pd.Series) -> pd.Series:
+        first = columns[0]
+        if not len(first):
             return pd.Series([], dtype=object)
-        return pd.Series(list(shared.value.predict(np.stack(values.to_numpy()).astype(float))), index=values.index)
+        matrix = np.column_stack([c.to_numpy(dtype=float) for c in columns]) if width else np.stack(first.to_numpy()).astype(float)
+        return pd.Series(list(shared.value.predict(matrix)), index=first.index)
 
-    return rows.withColumn(out, score(F.col(x)))
+    inputs = [F.get(x, F.lit(k)) for k in range(width)] if width else [F.col(x)]
+    return rows.withColumn(out, score(*inputs))
 
 
 def compose(prediction: Column, coarse: Column, mode: str, scale: float = 1.0) -> Column:
@@ -78,16 +83,13 @@ def compose(prediction: Column, coarse: Column, mode: str, scale: float = 1.0) -
 
 
 def array_scaler(rows: DataFrame, column: str, floor_constant: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population std per position of an array column (one grouped pass)."""
-    stats = (
-        rows.select(F.posexplode(column).alias("k", "v"))
-        .groupBy("k")
-        .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-        .orderBy("k")
-        .collect()
-    )
-    mean = np.array([r["m"] for r in stats])
-    std = np.array([r["s"] for r in stats])
+    """Mean and population std per position of an array column: one aggregate row."""
+    first = rows.select(F.size(column).alias("n")).first()
+    width = first["n"] if first else 0
+    at = [F.get(column, F.lit(k)).cast("double") for k in range(width)]
+    row = rows.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(at)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(at)]).first()
+    mean = np.array([row[f"m{k}"] for k in range(width)], dtype=float)
+    std = np.array([row[f"s{k}"] for k in range(width)], dtype=float)
     flat = std < 1e-12
     floor = float(np.median(std[~flat])) if floor_constant and (~flat).any() else 1.0
     return mean, np.where(flat, floor, std)
@@ -127,6 +129,9 @@ def fit(
     """
     spark = rows.sparkSession
     context = spark.sparkContext
+    rows = rows.select(
+        "x", "y", *([coarse] if coarse else []), *([row_weight] if row_weight else [])
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     x_mean, x_std = array_scaler(rows, "x", False)
     y_mean, y_std = array_scaler(rows, "y", True)
     wanted = np.ones(len(y_mean)) if output_weights is None else np.asarray(output_weights, dtype=float)
@@ -136,13 +141,21 @@ def fit(
     sizes = [len(x_mean), *hidden, len(y_mean)]
     weights, biases = xavier(sizes, seed)
     model = DenseModel(weights, biases, activation, x_mean, x_std, y_mean, y_std)
-    data = rows.select(
-        "x",
-        "y",
-        (F.col(row_weight) if row_weight else F.lit(1.0)).cast("double").alias("w"),
-        (F.col(coarse) if coarse else F.lit(None)).cast("array<double>").alias("c"),
-        F.xxhash64("x", "y").alias("h"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # Plain double columns reach the tasks as whole Arrow buffers; arrays would
+    # be unpacked row by row in every step.
+    xs, ys = [f"x{k}" for k in range(len(x_mean))], [f"y{k}" for k in range(len(y_mean))]
+    cs = [f"c{k}" for k in range(len(y_mean))] if coarse else []
+
+    def spread(df: DataFrame, weight: Column) -> DataFrame:
+        return df.select(
+            *[F.get("x", F.lit(k)).cast("double").alias(n) for k, n in enumerate(xs)],
+            *[F.get("y", F.lit(k)).cast("double").alias(n) for k, n in enumerate(ys)],
+            *[F.get(coarse, F.lit(k)).cast("double").alias(n) for k, n in enumerate(cs)],
+            weight.cast("double").alias("w"),
+            F.xxhash64("x", "y").alias("h"),
+        )
+
+    data = spread(rows, F.col(row_weight) if row_weight else F.lit(1.0))
     shapes = [w.shape for w in weights] + [b.shape for b in biases]
     total = sum(int(np.prod(s)) for s in shapes)
     penalised = passivity_penalty > 0 and passivity_target is not None
@@ -154,17 +167,20 @@ def fit(
 
     def raw_matrix(pdf, scaled):
         raw = scaled * y_std + y_mean
-        if pdf["c"].iloc[0] is not None:
-            raw = raw + np.stack(pdf["c"].to_numpy())
-        return raw
+        return raw + pdf[cs].to_numpy() if cs else raw
+
+    def stacked(raw: np.ndarray) -> np.ndarray:
+        half = raw.shape[1] // 2
+        ports = int(round(half**0.5))
+        return (raw[:, :half] + 1j * raw[:, half:]).reshape(-1, ports, ports)
 
     def spread_pass(shared):
         def work(batches):
             n, squares = 0, 0.0
             for pdf in batches:
                 m = shared.value
-                scaled = m.hidden((np.stack(pdf["x"].to_numpy()) - x_mean) / x_std)[-1]
-                stack = to_matrices(pd.Series(list(raw_matrix(pdf, scaled))))
+                scaled = m.hidden((pdf[xs].to_numpy() - x_mean) / x_std)[-1]
+                stack = stacked(raw_matrix(pdf, scaled))
                 sigma = np.linalg.svd(stack, compute_uv=False)[:, 0]
                 _, we2 = penalty_terms(sigma, pdf["w"].to_numpy(), passivity_target)
                 n += len(pdf)
@@ -181,8 +197,8 @@ def fit(
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = (np.stack(pdf["x"].to_numpy()) - x_mean) / x_std
-                y = (np.stack(pdf["y"].to_numpy()) - y_mean) / y_std
+                x = (pdf[xs].to_numpy() - x_mean) / x_std
+                y = (pdf[ys].to_numpy() - y_mean) / y_std
                 w = pdf["w"].to_numpy()[:, None]
                 layers = m.hidden(x)
                 error = layers[-1] - y
@@ -191,13 +207,14 @@ def fit(
                 n += len(pdf)
                 delta = 2.0 * weighted / error.shape[1]
                 if penalised:
-                    stack = to_matrices(pd.Series(list(raw_matrix(pdf, layers[-1]))))
+                    stack = stacked(raw_matrix(pdf, layers[-1]))
                     u, s, vh = np.linalg.svd(stack)
                     excess, we2 = penalty_terms(s[:, 0], w[:, 0], passivity_target)
                     loss += passivity_penalty * float(we2.sum())
                     pull = 2.0 * passivity_penalty * w[:, 0] * excess * (1.0 + we2 / max(rms, 1e-300))
                     top = u[:, :, :1] * vh[:, :1, :] * pull[:, None, None]
-                    delta = delta + np.stack(from_matrices(top)) * y_std
+                    flat = top.reshape(len(top), -1)
+                    delta = delta + np.concatenate([flat.real, flat.imag], axis=1) * y_std
                 if extra_gradient is not None:
                     more, slope = extra_gradient(layers[-1], y, w[:, 0])
                     loss += more
@@ -258,9 +275,8 @@ def fit(
 
     checking = None
     if check is not None:
-        checking = check.select(
-            "x", "y", F.lit(1.0).alias("w"), (F.col(coarse) if coarse else F.lit(None)).cast("array<double>").alias("c"),
-        ).withColumn("h", F.lit(0).cast("long"))
+        check = check.persist(StorageLevel.MEMORY_AND_DISK)
+        checking = spread(check, F.lit(1.0))
     for step in range(1, epochs + 1):
         model.weights, model.biases = unpack(flat)
         loss, gradient = step_sums(step, model)
@@ -277,7 +293,9 @@ def fit(
         second = BETA2 * second + (1 - BETA2) * gradient**2
         flat = flat - learning_rate * (first / (1 - BETA1**step)) / (np.sqrt(second / (1 - BETA2**step)) + EPSILON)
     model.weights, model.biases = unpack(best_flat)
-    data.unpersist()
+    rows.unpersist()
+    if check is not None:
+        check.unpersist()
     return model
 
 

@@ -19,7 +19,7 @@ PARAMETER_RTOL, PARAMETER_ATOL = 1e-10, 1e-15
 # --- tolerance equality -----------------------------------------------------
 
 
-def _cut(points: DataFrame, group: str, axis: str, rtol: float, atol: float) -> DataFrame:
+def cut_groups(points: DataFrame, group: str, axis: str, rtol: float, atol: float) -> DataFrame:
     """Split each group where sorted ``axis`` values lie further apart than the
     loosest tolerance.  Works on distinct values, so copies cost nothing."""
     values = points.select(group, axis).distinct()
@@ -59,7 +59,7 @@ def near_duplicate_groups(
     loose = vectors.withColumn("__g", F.lit(0).cast("long"))
     for _ in range(rounds if len(axes) > 1 else 1):
         for axis in axes:
-            loose = checkpointed(_cut(loose, "__g", axis, rtol, atol))
+            loose = checkpointed(cut_groups(loose, "__g", axis, rtol, atol))
         tagged = checkpointed(loose.join(_tight_groups(loose, axes, rtol, atol), "__g"))
         tight = tagged.where("__tight").select("__rep", F.col("__label").alias("group_id"), *axes)
         found = tight if found is None else found.unionByName(tight)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.complexmath import largest_singular
 from ...operators import align, coverage, grids, inventory, ordered, pairs, quality
+from ...session import checkpointed
 from ..audit import audit
 from .base import RESPONSE_SQL, SAMPLES_SQL, SIGMA_SQL, query, r, response, samples, table, two_port
 
@@ -247,7 +248,7 @@ def frequency_grids(spark, folder):
     """Grid ids over the line numbers of each order (gaps make different grids)."""
     s = samples(spark, folder).select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * F.lit(1e9)).alias("f"))
     indexed = ordered.number_rows(s, ["l_orderkey"], ["l_linenumber"], ordered.index_chunk(F.col("l_linenumber")), "i")
-    indexed = indexed.withColumn("i", F.col("i") - 1).withColumn("ordinal", F.col("l_orderkey"))
+    indexed = checkpointed(indexed.withColumn("i", F.col("i") - 1).withColumn("ordinal", F.col("l_orderkey")))
     ids = grids.grid_ids(indexed, "l_orderkey", "ordinal", "i", "f")
     out = ids.groupBy("grid_id").agg(
         F.count("*").alias("blocks"),
@@ -524,7 +525,7 @@ def audit_tables(spark, folder):
 def audit_issues(spark, folder):
     """The whole audit: every rule over every order, grouped into reasons."""
     block, resp = audit_tables(spark, folder)
-    out = audit(block, resp, ["W", "H"])
+    out = audit(checkpointed(block), checkpointed(resp), ["W", "H"])
     return out["reasons"].select("severity", "code", "count", "reason")
 
 
