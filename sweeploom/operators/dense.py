@@ -15,7 +15,9 @@ from ..functions.complexmath import s_to_y_stack, to_matrices
 
 # Optimiser constants.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
+# Partition sums meet in lanes; above the wide count a first level thins them out.
 GRADIENT_LANES = 16
+WIDE_LANES = 512
 
 
 @dataclass
@@ -189,7 +191,7 @@ def fit(
 
         return work
 
-    def gradient_pass(shared, count, rms):
+    def gradient_pass(shared, rms):
         def work(batches):
             m = shared.value
             grads = np.zeros(total)
@@ -232,9 +234,9 @@ def fit(
 
         return work
 
-    def fold(_key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
-            {"n": [int(pdf["n"].sum())], "loss": [float(pdf["loss"].sum())], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]}
+            {"lane": [int(pdf["lane"].iloc[0])], "n": [int(pdf["n"].sum())], "loss": [float(pdf["loss"].sum())], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]}
         )
 
     def step_sums(step: int, model_: DenseModel, source: DataFrame | None = None):
@@ -248,11 +250,14 @@ def fit(
                 .first()
             )
             rms = float(np.sqrt(row["s"] / max(row["n"], 1)))
+        sums = batch.mapInPandas(gradient_pass(shared, rms), "lane int, n long, loss double, g array<double>")
+        sums = sums.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(WIDE_LANES)))
+        if context.defaultParallelism > WIDE_LANES:
+            sums = sums.groupBy("lane").applyInPandas(fold, "lane int, n long, loss double, g array<double>")
         lanes = (
-            batch.mapInPandas(gradient_pass(shared, 0, rms), "lane int, n long, loss double, g array<double>")
-            .withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(GRADIENT_LANES)))
+            sums.withColumn("lane", F.pmod("lane", F.lit(GRADIENT_LANES)))
             .groupBy("lane")
-            .applyInPandas(fold, "n long, loss double, g array<double>")
+            .applyInPandas(fold, "lane int, n long, loss double, g array<double>")
             .collect()
         )
         n = sum(r["n"] for r in lanes)

@@ -278,7 +278,10 @@ def neighbour_outliers(
 # Points compared at once on either side of a task.
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 50_000
-PIVOTS = 256
+# Cells grow with the square root of the table, up to a table of pivots that is
+# small enough to share.
+PIVOTS = 4_096
+_SLICE = 4_000_000
 
 
 def _pivot_points(points: DataFrame, count: int) -> np.ndarray:
@@ -343,71 +346,73 @@ def _search(queries: DataFrame, points: DataFrame, exclude_self: bool, pivots: i
     shared = points.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches):
-        for pdf in batches:
-            d = _distances(np.stack(pdf["p"].to_numpy()).astype(float), shared.value)
-            cell = d.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
+        step = max(1, _SLICE // len(shared.value))
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                pdf = whole.iloc[start : start + step]
+                d = _distances(np.stack(pdf["p"].to_numpy()).astype(float), shared.value)
+                cell = d.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
 
     placed = points.mapInPandas(assign, "id long, p array<double>, cell int, r double")
     stats = placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("r").alias("far"), F.min(F.struct("r", "id")).alias("first")
     )
-    rows = {row["cell"]: row for row in small_rows(stats, PIVOTS * 4, "cell table")}
+    rows = {row["cell"]: row for row in small_rows(stats, PIVOTS, "cell table")}
     cells = np.array(sorted(rows), dtype=int)
     sizes = np.array([rows[c]["n"] for c in cells], dtype=float)
     far = np.array([rows[c]["far"] for c in cells])
     first_r = np.array([rows[c]["first"]["r"] for c in cells])
     first_id = np.array([rows[c]["first"]["id"] for c in cells])
     splits = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(int)
-    plan = points.sparkSession.sparkContext.broadcast((cells, far, first_r, first_id, splits))
+    plan = points.sparkSession.sparkContext.broadcast((cells, far, first_r, first_id))
 
     def visit(batches):
-        cells_, far_, first_r_, first_id_, splits_ = plan.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            q = np.stack(pdf["p"].to_numpy()).astype(float)
-            ids = pdf["id"].to_numpy()
-            d = _distances(q, shared.value[cells_])
-            # The point next to each pivot is a true candidate: its distance is
-            # at most d + r.  A query never bounds itself by its own copy.
-            reach = d + first_r_[None, :]
-            if exclude_self:
-                reach[ids[:, None] == first_id_[None, :]] = np.inf
-            best = reach.min(axis=1)
-            slack = 1e-9 * (1.0 + np.where(np.isfinite(best), best, 0.0))
-            keep = d - far_[None, :] <= (best + slack)[:, None]
-            row, col = np.nonzero(keep)
-            copies = splits_[col]
-            row, col = np.repeat(row, copies), np.repeat(col, copies)
-            part = np.concatenate([np.arange(n) for n in copies]) if len(copies) else np.array([], dtype=int)
-            for start in range(0, len(row), 20_000):
-                r = row[start : start + 20_000]
-                yield pd.DataFrame(
-                    {
-                        "id": ids[r],
-                        "p": list(q[r]),
-                        "cell": cells_[col[start : start + 20_000]].astype("int32"),
-                        "part": part[start : start + 20_000].astype("int32"),
-                    }
-                )
-
-    visits = queries.mapInPandas(visit, "id long, p array<double>, cell int, part int")
-    def by_cell(values: dict[int, int]) -> Column:
-        pairs = [F.lit(int(x)) for pair in values.items() for x in pair]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
-
-    parts = by_cell(dict(zip(cells, splits)))
-    data = placed.select("id", "p", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    # The queries of a busy cell are dealt over several tasks as well.
-    load = visits.where("part = 0").groupBy("cell").count()
-    busy = {
+        cells_, far_, first_r_, first_id_ = plan.value
+        near_pivots = shared.value[cells_]
+        step = max(1, _SLICE // len(cells_))
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                pdf = whole.iloc[start : start + step]
+                q = np.stack(pdf["p"].to_numpy()).astype(float)
+                ids = pdf["id"].to_numpy()
+                d = _distances(q, near_pivots)
+                # The point next to each pivot is a true candidate: its distance
+                # is at most d + r.  A query never bounds itself by its own copy.
+                reach = d + first_r_[None, :]
+                if exclude_self:
+                    reach[ids[:, None] == first_id_[None, :]] = np.inf
+                best = reach.min(axis=1)
+                slack = 1e-9 * (1.0 + np.where(np.isfinite(best), best, 0.0))
+                row, col = np.nonzero(d - far_[None, :] <= (best + slack)[:, None])
+                for at in range(0, len(row), 20_000):
+                    one = row[at : at + 20_000]
+                    yield pd.DataFrame({"id": ids[one], "p": list(q[one]), "cell": cells_[col[at : at + 20_000]].astype("int32")})
+
+    visits = queries.mapInPandas(visit, "id long, p array<double>, cell int")
+    # A crowded cell is cut into parts, and the queries of a busy cell into lanes;
+    # each query meets every part, each part every lane.
+    load = {
         row["cell"]: -(-row["count"] // QUERY_ROWS)
-        for row in small_rows(load.where(F.col("count") > QUERY_ROWS), PIVOTS * 4, "busy cells")
+        for row in small_rows(visits.groupBy("cell").count(), PIVOTS, "busy cells")
     }
-    lanes = by_cell(busy) if busy else F.lit(1)
-    data = data.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
-    visits = visits.withColumn("lane", F.pmod(F.xxhash64("id"), lanes).cast("int"))
+    layout = F.broadcast(  # one row per pivot
+        points.sparkSession.createDataFrame(
+            [(int(c), int(n), int(load.get(int(c), 1))) for c, n in zip(cells, splits)], "cell int, parts int, lanes int"
+        )
+    )
+    data = (
+        placed.join(layout, "cell")
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+        .select("id", "p", "cell", "part", "lane")
+    )
+    visits = (
+        visits.join(layout, "cell")
+        .withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("id", "p", "cell", "part", "lane")
+    )
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -258,7 +258,7 @@ def conditioning(
                 {"lane": [0], "n": [count], "re": [flat.real.copy()], "im": [flat.imag.copy()]}
             )
 
-    def fold(_key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         stack = np.concatenate(
             [(np.array(a) + 1j * np.array(b)).reshape(-1, size) for a, b in zip(pdf["re"], pdf["im"])]
         )

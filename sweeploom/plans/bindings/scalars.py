@@ -235,7 +235,7 @@ def metric_scores(spark, folder):
     """WITH e AS (SELECT event_id, value, CAST(event_id % 4 AS INT) AS k FROM events)
     SELECT event_id,
       round(value * [1.0, 1e3, 1e6, 1e9][k + 1], 3) AS hz,
-      round(CASE k WHEN 0 THEN value WHEN 1 THEN value + 30 WHEN 2 THEN 10 * log10(value * 1e-3 / 1e-3) ELSE 10 * log10(value / 1e-3) END, 6) AS dbm,
+      round(CASE k WHEN 0 THEN value WHEN 1 THEN value + 30 WHEN 2 THEN CASE WHEN value > 0 THEN 10 * log10(value * 1e-3 / 1e-3) END ELSE CASE WHEN value > 0 THEN 10 * log10(value / 1e-3) END END, 6) AS dbm,
       round(value * [1.0, 1e-3, 1e-6, 1.0][k + 1], 12) AS amperes,
       round(CASE k WHEN 0 THEN 3600.0 + (event_id % 50 + 10) * 60 + 5 WHEN 1 THEN (event_id % 50 + 10) * 60.0 + 7 WHEN 2 THEN (event_id % 100) * 60.0 ELSE (event_id % 100) * 1e-3 END, 6) AS seconds
     FROM e""",

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ordered
+from ..session import small_rows
 
 # Larger files are read in splits as UTF-8; smaller ones whole, with detection.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -41,7 +42,7 @@ def read_lines(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYT
     whole = small.select(
         F.col("path").alias("log"), F.posexplode(F.split(text_of("content"), r"\r\n|\r|\n")).alias("i", "line")
     ).select("log", (F.col("i") + 1).cast("long").alias("line_number"), "line")
-    big = [r["path"] for r in files.where(F.col("length") > whole_bytes).select("path").limit(10_000).collect()]
+    big = [r["path"] for r in small_rows(files.where(F.col("length") > whole_bytes).select("path"), 1_000_000, "list of large logs")]
     if not big:
         return whole
     # Splits of large files are numbered in file order, one chunk per split.
