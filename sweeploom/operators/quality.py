@@ -63,30 +63,35 @@ def grid_rows(response: DataFrame, block: Sequence[str] = ("record_id",)) -> Dat
     return response.groupBy(*block, "freq_idx").agg(F.min("freq_hz").alias("freq_hz"))
 
 
-def structure_issues(response: DataFrame, block: DataFrame, expected_labels: DataFrame) -> DataFrame:
+def structure_issues(
+    response: DataFrame, block: DataFrame, expected_labels: DataFrame, grid: DataFrame | None = None
+) -> DataFrame:
     """Label set, length, finiteness and ordering rules.
 
-    ``expected_labels``: one column ``label``.
+    ``expected_labels``: one column ``label``.  ``grid``: stored result of
+    :func:`grid_rows`, when there is one.
     """
     meta = block.select("record_id", *BLOCK_COLUMNS)
     per_label = response.groupBy("record_id", "label").agg(
         F.count("*").alias("rows"),
         F.count_if(~(is_finite(F.col("re")) & is_finite(F.col("im")))).alias("bad"),
     )
-    counts = response.groupBy("record_id").agg(
-        F.count_distinct("freq_idx").alias("grid_rows"),
+    if grid is None:
+        grid = grid_rows(response)
+    counts = grid.groupBy("record_id").agg(
+        F.count("*").alias("grid_rows"),
         F.count_if(~is_finite(F.col("freq_hz"))).alias("bad_frequency"),
         F.count_if(F.col("freq_hz") < 0.0).alias("negative"),
     )
     facts = counts.join(meta, "record_id")
     labelled = per_label.join(counts.select("record_id", "grid_rows"), "record_id").join(meta, "record_id")
     breaks = (
-        axis_breaks(grid_rows(response), ["record_id"], "freq_idx", "freq_hz")
+        axis_breaks(grid, ["record_id"], "freq_idx", "freq_hz")
         .groupBy("record_id")
         .agg(F.count("*").alias("breaks"))
         .join(meta, "record_id")
     )
-    wrong_labels = label_differences(response, expected_labels).join(meta, "record_id")
+    wrong_labels = label_differences(per_label, expected_labels).join(meta, "record_id")
     return (
         issue_rows(
             wrong_labels,

@@ -101,7 +101,7 @@ def test_domain_documents_and_companions(spark, tmp_path):
 
 def test_artifact_scan_and_settings(spark, tmp_path):
     (tmp_path / "deep").mkdir()
-    (tmp_path / "deep" / "meta.json").write_text(json.dumps({"model_type": "dnn", "activation": "tanh", "parameter_names": ["W", "L"]}))
+    (tmp_path / "deep" / "meta.json").write_text(json.dumps({"model_type": "direct", "activation": "tanh", "parameter_names": ["W", "L"]}))
     (tmp_path / "best.json").write_text(json.dumps({"config": {"activation": "relu"}, "selection_metric": "evm_db"}))
     (tmp_path / "x_report.md").write_text("text")
     files = artifacts.scan(spark, str(tmp_path))
