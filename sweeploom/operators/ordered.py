@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Rows of one key that a single task may order.
 CHUNK_ROWS = 1_000_000
 
+_KEY = "__key"
 _CHUNK = "__chunk"
 _CARRY = "__carry"
 
@@ -33,64 +34,68 @@ def time_chunk(ts: Column, seconds: int = 86_400) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = carry.select(
-        *[F.col(k).alias(f"__r_{i}") for i, k in enumerate(keys)],
-        F.col(_CHUNK).alias("__r_chunk"),
-        F.col(_CARRY),
-    )
-    on = F.col(_CHUNK) == F.col("__r_chunk")
-    for i, key in enumerate(keys):
-        on = on & F.col(key).eqNullSafe(F.col(f"__r_{i}"))
-    return df.join(renamed, on, "left").drop("__r_chunk", *[f"__r_{i}" for i in range(len(keys))])
+def _prepared(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Add the key as one struct and the chunk.  The struct is never NULL and
+    compares NULL fields as equal, so windows, aggregates and the join below
+    agree on it and the join reuses the partitioning of the window."""
+    key = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumn(_KEY, key).withColumn(_CHUNK, chunk)
+
+
+def _inside():
+    return Window.partitionBy(_KEY, _CHUNK)
+
+
+def _join_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
+    return df.join(carry, [_KEY, _CHUNK], "left")
 
 
-def _chunk_state(df: DataFrame, keys: Sequence[str], state: Column, carried) -> DataFrame:
+def _chunk_state(df: DataFrame, state: Column, carried) -> DataFrame:
     """One row per (key, chunk) with the state carried in from earlier chunks."""
-    parts = df.groupBy(*keys, _CHUNK).agg(state.alias("__state"))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_CHUNK)
-    return parts.select(*keys, _CHUNK, carried(F.col("__state"), order).alias(_CARRY))
+    parts = df.groupBy(_KEY, _CHUNK).agg(state.alias("__state"))
+    order = Window.partitionBy(_KEY).orderBy(_CHUNK)
+    return parts.select(_KEY, _CHUNK, carried(F.col("__state"), order).alias(_CARRY))
 
 
 def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, str]
 ) -> DataFrame:
     """Add ``values`` = {new column: source column} of the row before."""
-    data = df.withColumn(_CHUNK, chunk)
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    data = _prepared(df, keys, chunk)
+    inside = _inside().orderBy(*order)
     tail = F.max_by(F.struct(*[F.col(v).alias(k) for k, v in values.items()]), F.struct(*order))
-    carry = _chunk_state(data, keys, tail, lambda s, w: F.lag(s).over(w))
+    carry = _chunk_state(data, tail, lambda s, w: F.lag(s).over(w))
     out = data.withColumn("__first", F.row_number().over(inside) == 1)
     for name, source in values.items():
         out = out.withColumn(name, F.lag(source).over(inside))
-    out = _join_carry(out, carry, keys)
+    out = _join_carry(out, carry)
     for name in values:
         out = out.withColumn(name, F.when(F.col("__first"), F.col(_CARRY)[name]).otherwise(F.col(name)))
-    return out.drop("__first", _CARRY, _CHUNK)
+    return out.drop("__first", _CARRY, _KEY, _CHUNK)
 
 
 def following(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, str]
 ) -> DataFrame:
     """Add ``values`` of the row after."""
-    data = df.withColumn(_CHUNK, chunk)
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*[F.col(o).desc() for o in order])
+    data = _prepared(df, keys, chunk)
+    inside = _inside().orderBy(*[F.col(o).desc() for o in order])
     head = F.min_by(F.struct(*[F.col(v).alias(k) for k, v in values.items()]), F.struct(*order))
-    carry = _chunk_state(data, keys, head, lambda s, w: F.lead(s).over(w))
+    carry = _chunk_state(data, head, lambda s, w: F.lead(s).over(w))
     out = data.withColumn("__first", F.row_number().over(inside) == 1)
     for name, source in values.items():
         out = out.withColumn(name, F.lag(source).over(inside))
-    out = _join_carry(out, carry, keys)
+    out = _join_carry(out, carry)
     for name in values:
         out = out.withColumn(name, F.when(F.col("__first"), F.col(_CARRY)[name]).otherwise(F.col(name)))
-    return out.drop("__first", _CARRY, _CHUNK)
+    return out.drop("__first", _CARRY, _KEY, _CHUNK)
 
 
 def _fill(df, keys, order, chunk, values, backward: bool) -> DataFrame:
-    data = df.withColumn(_CHUNK, chunk)
+    data = _prepared(df, keys, chunk)
     ordering = [F.col(o).desc() if backward else F.col(o).asc() for o in order]
     inside = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        _inside().orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     pick = F.min_by if backward else F.max_by
     last = F.struct(
@@ -109,14 +114,14 @@ def _fill(df, keys, order, chunk, values, backward: bool) -> DataFrame:
         choose = F.first if backward else F.last
         return F.struct(*[choose(state[k], ignorenulls=True).over(span).alias(k) for k in values])
 
-    carry = _chunk_state(data, keys, last, carried)
+    carry = _chunk_state(data, last, carried)
     out = data
     for name, source in values.items():
         out = out.withColumn(f"__in_{name}", F.last(source, ignorenulls=True).over(inside))
-    out = _join_carry(out, carry, keys)
+    out = _join_carry(out, carry)
     for name in values:
         out = out.withColumn(name, F.coalesce(F.col(f"__in_{name}"), F.col(_CARRY)[name]))
-    return out.drop(_CARRY, _CHUNK, *[f"__in_{name}" for name in values])
+    return out.drop(_CARRY, _KEY, _CHUNK, *[f"__in_{name}" for name in values])
 
 
 def forward_fill(df, keys, order, chunk: Column, values: dict[str, str]) -> DataFrame:
@@ -131,11 +136,11 @@ def backward_fill(df, keys, order, chunk: Column, values: dict[str, str]) -> Dat
 
 def running(df, keys, order, chunk: Column, sums: dict[str, Column]) -> DataFrame:
     """Add running sums, current row included."""
-    data = df.withColumn(_CHUNK, chunk)
+    data = _prepared(df, keys, chunk)
     for name, value in sums.items():
         data = data.withColumn(f"__v_{name}", value)
     inside = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        _inside().orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     total = F.struct(*[F.sum(f"__v_{name}").alias(name) for name in sums])
 
@@ -143,27 +148,27 @@ def running(df, keys, order, chunk: Column, sums: dict[str, Column]) -> DataFram
         span = window.rowsBetween(Window.unboundedPreceding, -1)
         return F.struct(*[F.sum(state[k]).over(span).alias(k) for k in sums])
 
-    carry = _chunk_state(data, keys, total, carried)
+    carry = _chunk_state(data, total, carried)
     out = data
     for name in sums:
         out = out.withColumn(name, F.sum(f"__v_{name}").over(inside))
-    out = _join_carry(out, carry, keys)
+    out = _join_carry(out, carry)
     for name in sums:
         out = out.withColumn(name, F.coalesce(F.col(_CARRY)[name], F.lit(0)) + F.coalesce(F.col(name), F.lit(0)))
-    return out.drop(_CARRY, _CHUNK, *[f"__v_{name}" for name in sums])
+    return out.drop(_CARRY, _KEY, _CHUNK, *[f"__v_{name}" for name in sums])
 
 
 def running_min(df, keys, order, chunk: Column, name: str, value: Column) -> DataFrame:
     """Add the smallest ``value`` at or before each row."""
-    data = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
+    data = _prepared(df, keys, chunk).withColumn("__v", value)
     inside = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        _inside().orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     carry = _chunk_state(
-        data, keys, F.min("__v"), lambda s, w: F.min(s).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        data, F.min("__v"), lambda s, w: F.min(s).over(w.rowsBetween(Window.unboundedPreceding, -1))
     )
-    out = _join_carry(data.withColumn("__in", F.min("__v").over(inside)), carry, keys)
-    return out.withColumn(name, F.least("__in", _CARRY)).drop(_CARRY, _CHUNK, "__in", "__v")
+    out = _join_carry(data.withColumn("__in", F.min("__v").over(inside)), carry)
+    return out.withColumn(name, F.least("__in", _CARRY)).drop(_CARRY, _KEY, _CHUNK, "__in", "__v")
 
 
 def number_rows(df, keys, order, chunk: Column, name: str = "row_number") -> DataFrame:
