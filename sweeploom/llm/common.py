@@ -142,3 +142,85 @@ def word_spans(data: np.ndarray, ends: np.ndarray):
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
+
+
+def text_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, offsets and a mask of present values of an Arrow text column, without copies."""
+    import pyarrow as pa
+
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, places, data = column.buffers()
+    n = len(column)
+    kind = np.dtype(np.int64 if wide else np.int32)
+    if n and places is not None:
+        ends = np.frombuffer(places, kind)[column.offset : column.offset + n + 1].astype(np.int64)
+    else:
+        ends = np.zeros(n + 1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw, ends, np.asarray(column.is_valid().to_numpy(zero_copy_only=False), bool)
+
+
+def parts(column, most: int = BATCH_BYTES):
+    """(lo, hi, data, ends) of consecutive texts of about ``most`` bytes together.
+
+    ``ends`` are offsets into ``data``, one more than texts; a text longer than
+    ``most`` comes alone.
+    """
+    raw, ends, _ = text_bytes(column)
+    lo, n = 0, len(ends) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+        yield lo, hi, raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        lo = hi
+
+
+def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function) -> DataFrame:
+    """``keep`` columns of ``docs`` and new fields that ``function`` computes.
+
+    ``function`` gets the Arrow array of texts and gives one array per field.
+    Rows are handled in the order and the tasks they came in; nothing moves.
+    """
+    from pyspark.sql import types as T
+
+    keep = [c for c in keep if c not in {f.name for f in fields}]
+    schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
+    names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [x if isinstance(x, pa.Array) else pa.array(x) for x in function(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1 + i) for i in range(len(keep))] + made, names=names)
+
+    taken = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)])
+    return taken.mapInArrow(run, schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """Texts of the folds to learn from with a 0/1 label, as (doc_id, text, label)."""
+    wanted = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter("label in (0, 1)")
+    return docs.select("doc_id", "text").filter(fold_of(F.col("doc_id")) != 0).join(wanted, "doc_id")
+
+
+def bounded(rows: DataFrame, group: str, most: int, seed: str) -> DataFrame:
+    """About ``most`` rows of each group, chosen by a hash of doc_id."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
+    drawn = rows.join(sizes, F.col(group) == F.col("__g"))
+    return drawn.filter(unit_hash(F.col("doc_id"), F.lit(seed)) * F.col("__n") < most).drop("__n", "__g")
+
+
+def logistic_fit(x: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Newton steps of a logistic regression with an intercept and a small ridge."""
+    x = np.column_stack([np.ones(len(x)), x])
+    beta = np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], 1e-3)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (weight * (label - p)) - ridge * beta
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(bend, slope)
+        beta = beta + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import langid, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op5_langid": langid.op5_langid,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality": quality.op8_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {"op2_mixing": mixing.OP2_SQL}
