@@ -21,52 +21,74 @@ WINDOW = 56
 OVERLAP = 12
 # A window counts when it saves at least so many bytes.
 LEAST_SAVING = 2
-GRAM = 5
+GRAMS = (5,)
 # Bounds of the training sample: documents of each label, and bytes of each.
 TOXIC_DOCS = 2_000
 ORDINARY_DOCS = 4_000
-SAMPLE_BYTES = 16_384
-# An n-gram is toxic when it is in this share of toxic samples at least, with these log odds.
-LEAST_SHARE = 0.012
-LEAST_ODDS = 4.0
+SAMPLE_BYTES = 8_192
+# An n-gram is toxic when its test statistic and its log odds are at least these.
+LEAST_RATIO = 30.0
+LEAST_ODDS = 3.5
+# Longer runs are passages that copies of one toxic text share, not toxic words.
+LONGEST = 20
 TOXIC_DICT = 4_096
 ORDINARY_DICT = 32_768
 CELL = 1 / 64
 
 
-def _grams(text: bytes) -> np.ndarray:
+def _grams(text: bytes, n: int) -> np.ndarray:
     data = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = max(len(data) - GRAM + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        out = (out << np.uint64(8)) | data[j : j + n]
+    count = max(len(data) - n + 1, 0)
+    out = np.zeros(count, np.uint64)
+    for j in range(n):
+        out = (out << np.uint64(8)) | data[j : j + count]
     return out
 
 
-def _in_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams and the number of texts that have them."""
-    found = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+def _in_texts(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and the number of texts that have them, but no more than the
+    number of different contexts they have on one side: passages that copies
+    share come in one context, words in many."""
+    found = [np.unique(_grams(t, n)) for t in texts]
+    gram, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    wide = [_grams(t, 8) for t in texts]
+    wide = np.unique(np.concatenate(wide)) if wide else gram
+    most = np.zeros(len(gram), np.int64)
+    for inner in (wide & np.uint64((1 << 8 * n) - 1), wide >> np.uint64(8 * (8 - n))):
+        same, contexts = np.unique(inner, return_counts=True)
+        at = np.searchsorted(gram, same)
+        most[at] = np.maximum(most[at], contexts)
+    return gram, np.minimum(count, np.maximum(most, 1))
+
+
+def toxic_grams(toxic: list[bytes], ordinary: list[bytes], n: int) -> np.ndarray:
+    """N-grams with high odds of a toxic text, by a likelihood-ratio test over texts."""
+    gram, count = _in_texts(toxic, n)
+    keep = count >= 3
+    gram, count = gram[keep], count[keep]
+    other, often = _in_texts(ordinary, n)
+    at = np.minimum(np.searchsorted(other, gram), max(len(other) - 1, 0))
+    base = np.where(other[at] == gram, often[at], 0) if len(other) else np.zeros(len(gram), np.int64)
+    odds = np.log((count + 0.5) / (len(toxic) + 1)) - np.log((base + 0.5) / (len(ordinary) + 1))
+    expected = (count + base) * (len(toxic) / (len(toxic) + len(ordinary)))
+    rest = count + base - expected
+    ratio = 2 * (count * np.log(count / expected) + base * np.log(np.maximum(base, 1) / rest))
+    return gram[(ratio >= LEAST_RATIO) & (odds >= LEAST_ODDS)]
 
 
 def fragments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Maximal runs of toxic texts covered by n-grams that ordinary texts lack."""
-    gram, count = _in_texts(toxic)
-    other, often = _in_texts(ordinary)
-    at = np.minimum(np.searchsorted(other, gram), max(len(other) - 1, 0))
-    base = np.where(other[at] == gram, often[at], 0) if len(other) else np.zeros(len(gram))
-    smooth = 0.5
-    odds = np.log((count + smooth) / (len(toxic) + 1)) - np.log((base + smooth) / (len(ordinary) + 1))
-    chosen = gram[(count >= max(3, LEAST_SHARE * len(toxic))) & (odds >= LEAST_ODDS)]
+    chosen = {n: toxic_grams(toxic, ordinary, n) for n in GRAMS}
     out = []
     for text in toxic:
-        hit = np.flatnonzero(np.isin(_grams(text), chosen))
         cover = np.zeros(len(text) + 1, np.int64)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + GRAM, -1)
+        for n, grams in chosen.items():
+            hit = np.flatnonzero(np.isin(_grams(text, n), grams))
+            np.add.at(cover, hit, 1)
+            np.add.at(cover, hit + n, -1)
         inside = np.concatenate(([0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]))
         edge = np.flatnonzero(np.diff(inside))
-        out += [text[a:b] for a, b in zip(edge[::2], edge[1::2])]
+        out += [text[a:b] for a, b in zip(edge[::2], edge[1::2]) if b - a <= LONGEST]
     return out
 
 
