@@ -197,19 +197,23 @@ def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function) ->
     return taken.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Texts of the folds to learn from with a 0/1 label, as (doc_id, text, label)."""
-    wanted = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter("label in (0, 1)")
-    return docs.select("doc_id", "text").filter(fold_of(F.col("doc_id")) != 0).join(wanted, "doc_id")
-
-
 def bounded(rows: DataFrame, group: str, most: int, seed: str) -> DataFrame:
-    """About ``most`` rows of each group, chosen by a hash of doc_id."""
+    """About ``most`` rows of each group, chosen by a hash of doc_id.
+
+    Only the group sizes are shared with the tasks: one row for each class that
+    a model is about to learn.
+    """
     sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
-    drawn = rows.join(sizes, F.col(group) == F.col("__g"))
+    drawn = rows.join(F.broadcast(sizes), F.col(group) == F.col("__g"))
     return drawn.filter(unit_hash(F.col("doc_id"), F.lit(seed)) * F.col("__n") < most).drop("__n", "__g")
 
 
+def labelled(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the folds to learn from with a 0/1 label."""
+    rows = labels.select("doc_id", F.col(column).cast("int").alias("label"))
+    return rows.filter("label in (0, 1)").filter(fold_of(F.col("doc_id")) != 0)
+
+
 def logistic_fit(x: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
     """Newton steps of a logistic regression with an intercept and a small ridge."""
     x = np.column_stack([np.ones(len(x)), x])

@@ -145,8 +145,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Discriminant:
     grouped sum, so the driver sees 2 * (1 + d + d^2) numbers at any size.
     """
     d = len(NAMES)
-    wanted = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
-    rows = stats.filter(common.fold_of(F.col("doc_id")) != 0).join(wanted, "doc_id").select("stats", "label")
+    rows = stats.join(common.labelled(labels, "quality"), "doc_id").select("stats", "label")
 
     def fold(batches):
         import pyarrow as pa

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, sharding, toxicity
+from . import embed, langid, mixing, pieces, quality, sharding, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_langid": langid.op5_langid,
+    "op6_pieces": pieces.op6_pieces,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
+    "op9_embed": embed.op9_embed,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -174,15 +174,17 @@ class Distance:
 
 def train(docs: DataFrame, labels: DataFrame) -> Distance | None:
     """Dictionaries from a bounded sample of labelled rows outside the held-out fold."""
-    rows = common.labelled(docs, labels, "toxic")
+    rows = common.labelled(labels, "toxic")
     slack = F.greatest(F.octet_length("text") - F.lit(SAMPLE_BYTES), F.lit(0))
     place = F.floor(common.unit_hash(F.col("doc_id"), F.lit("place")) * slack).cast("int") + 1
     piece = F.col("text").cast("binary").substr(place, F.lit(SAMPLE_BYTES))
     texts = {}
     for label, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS)):
-        drawn = common.bounded(rows.filter(F.col("label") == label), "label", most, "toxicity")
-        found = drawn.filter(F.col("text").isNotNull()).select("doc_id", piece.alias("piece")).collect()
-        texts[label] = [bytes(r["piece"]) for r in sorted(found, key=lambda r: (str(r["doc_id"]), bytes(r["piece"])))]
+        # The drawn ids are bounded by ``most``, so they go to the documents and no text moves.
+        drawn = common.bounded(rows.filter(F.col("label") == label), "label", most, "toxicity").select("doc_id")
+        found = docs.filter(F.col("text").isNotNull()).join(F.broadcast(drawn.distinct()), "doc_id")
+        pieces = found.select("doc_id", piece.alias("piece")).collect()
+        texts[label] = [bytes(r["piece"]) for r in sorted(pieces, key=lambda r: (str(r["doc_id"]), bytes(r["piece"])))]
     if not texts[0] or not texts[1]:
         return None
     return Distance(texts[1], texts[0])
@@ -204,8 +206,7 @@ def described(docs: DataFrame, model: Distance | None, keep) -> DataFrame:
 def calibrate(evidence: DataFrame, labels: DataFrame) -> tuple[np.ndarray | None, float]:
     """Line of a logistic regression over all labelled rows outside the held-out fold,
     from counts by cell of the evidence; a constant where a class is missing."""
-    wanted = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)")
-    rows = evidence.filter(common.fold_of(F.col("doc_id")) != 0).join(wanted, "doc_id")
+    rows = evidence.join(common.labelled(labels, "toxic"), "doc_id")
     cell = F.round(F.col("evidence") / CELL).cast("long").alias("cell")
     counts = rows.select(cell, "label").groupBy("cell", "label").count().collect()
     label = np.array([r["label"] for r in counts])
