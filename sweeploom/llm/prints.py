@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 from ..operators import ordered
 
-SUBTABLES = 3
+SUBTABLES = 3  # bits 0 to 35 of a digest; the slices read bits 40 and 52 upwards
 # Cells of a sub-table: of the fingerprint, and of the retries after it.
-SIZES = (8, 32, 128)
+SIZES = (8, 16, 64)
 # Digests for which one table is meant.
-SLICE = 16
-ROUNDS = 10
+SLICE = 6
+ROUNDS = 6
 # Documents whose order one task sorts.
 CHUNK_ROWS = 20_000
 _BREAK = r"\n+|(?<=\.)[ \t]+"
@@ -38,41 +38,52 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _index(digest: Column, subtable: int, size: int) -> Column:
-    """Cell of a digest in a sub-table; each sub-table reads 16 bits of its own."""
-    return F.shiftrightunsigned(digest, 16 * subtable).bitwiseAND(F.lit(size - 1))
+def _placed(digest: Column, sign: Column, size: int) -> Column:
+    """A digest with its sign, its check and its cell in each sub-table.
+
+    Each sub-table reads 12 bits of its own.
+    """
+    places = [
+        (F.shiftrightunsigned(digest, 12 * t).bitwiseAND(F.lit(size - 1)) + F.lit(t * size)).cast("int").alias(f"p{t}")
+        for t in range(SUBTABLES)
+    ]
+    return F.struct(sign.cast("int").alias("n"), digest.alias("d"), _check(digest).alias("c"), *places)
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
 
-def _moved(cell: Column, digest: Column, sign: Column | int) -> Column:
+def _void() -> Column:
+    return F.struct(F.lit(0).alias("n"), F.lit(0).cast(_LONG).alias("d"), F.lit(0).cast(_LONG).alias("c"))
+
+
+def _with(cell: Column, key: Column, count: Column) -> Column:
     return F.struct(
-        (cell["n"] + sign).cast("int").alias("n"),
-        cell["d"].bitwiseXOR(digest).alias("d"),
-        cell["c"].bitwiseXOR(_check(digest)).alias("c"),
+        count.cast("int").alias("n"),
+        cell["d"].bitwiseXOR(key["d"]).alias("d"),
+        cell["c"].bitwiseXOR(key["c"]).alias("c"),
     )
 
 
-def _void() -> Column:
-    return F.struct(F.lit(0).alias("n"), F.lit(0).cast(_LONG).alias("d"), F.lit(0).cast(_LONG).alias("c"))
+def _hits(key: Column, at: Column) -> Column:
+    return (key["p0"] == at) | (key["p1"] == at) | (key["p2"] == at)
 
 
 def table(items: Column, size: int) -> Column:
     """Cells of the digests: sub-table after sub-table."""
+    # One element, so that places and checks are computed once for all cells.
+    keyed = F.array(F.transform(items, lambda x: _placed(x, F.lit(1), size)))
 
-    def cells(subtable: int) -> Column:
+    def filled(keys: Column) -> Column:
         def cell(at: Column) -> Column:
             return F.aggregate(
-                items,
-                _void(),
-                lambda acc, x: F.when(_index(x, subtable, size) == at, _moved(acc, x, 1)).otherwise(acc),
+                keys, _void(), lambda acc, k: F.when(_hits(k, at), _with(acc, k, acc["n"] + 1)).otherwise(acc)
             )
 
-        return F.transform(F.sequence(F.lit(0).cast(_LONG), F.lit(size - 1).cast(_LONG)), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(SUBTABLES * size - 1)), cell)
 
-    return F.concat(*[cells(t) for t in range(SUBTABLES)])
+    return F.element_at(F.transform(keyed, filled), 1)
 
 
 def subtracted(left: Column, right: Column) -> Column:
@@ -89,23 +100,19 @@ def subtracted(left: Column, right: Column) -> Column:
 
 def peeled(difference: Column, size: int) -> Column:
     """(only_left, only_right): digests of one side; NULL where peeling gets stuck."""
-    none = F.array().cast("array<struct<n:int,d:bigint>>")
-    start = F.struct(difference.alias("cells"), none.alias("found"))
+    none = F.array().cast("array<struct<n:int,d:bigint,c:bigint,p0:int,p1:int,p2:int>>")
+    start = F.struct(difference.alias("cells"), none.alias("found"), F.lit(False).alias("done"))
 
     def pure(cells: Column) -> Column:
         lone = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["d"])))
-        return F.array_distinct(F.transform(lone, lambda c: F.struct(c["n"].alias("n"), c["d"].alias("d"))))
+        keys = F.transform(lone, lambda c: _placed(c["d"], c["n"], size))
+        # A digest alone in several cells is taken once.
+        return F.array_distinct(keys)
 
     def taken(cells: Column, keys: Column) -> Column:
         def out(cell: Column, at: Column) -> Column:
-            place, part = at % size, F.floor(at / size)
-
-            def hits(digest: Column) -> Column:
-                index = F.when(part == 0, _index(digest, 0, size)).when(part == 1, _index(digest, 1, size))
-                return index.otherwise(_index(digest, 2, size)) == place
-
             return F.aggregate(
-                keys, cell, lambda acc, k: F.when(hits(k["d"]), _moved(acc, k["d"], -k["n"])).otherwise(acc)
+                keys, cell, lambda acc, k: F.when(_hits(k, at), _with(acc, k, acc["n"] - k["n"])).otherwise(acc)
             )
 
         return F.transform(cells, out)
@@ -114,11 +121,18 @@ def peeled(difference: Column, size: int) -> Column:
         # One element, so that the keys of a round are computed once.
         made = F.transform(
             F.array(pure(state["cells"])),
-            lambda keys: F.when(F.size(keys) == 0, state).otherwise(
-                F.struct(taken(state["cells"], keys).alias("cells"), F.concat(state["found"], keys).alias("found"))
+            lambda keys: F.when(
+                F.size(keys) == 0,
+                F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done")),
+            ).otherwise(
+                F.struct(
+                    taken(state["cells"], keys).alias("cells"),
+                    F.concat(state["found"], keys).alias("found"),
+                    F.lit(False).alias("done"),
+                )
             ),
         )
-        return F.element_at(made, 1)
+        return F.when(state["done"], state).otherwise(F.element_at(made, 1))
 
     def summary(state: Column) -> Column:
         clean = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["c"] == 0))
@@ -129,33 +143,50 @@ def peeled(difference: Column, size: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, summary)
 
 
-def differing(left: Column, right: Column) -> Column:
+def cuts_for(left: Column, right: Column) -> Column:
+    """Logarithm of the number of slices that leaves at most SLICE digests in one on average."""
+    most = F.greatest(F.size(left), F.size(right), F.lit(1)) / F.lit(float(SLICE))
+    return F.greatest(F.ceil(F.log2(most)), F.lit(0)).cast(_LONG)
+
+
+def differing(left: Column, right: Column, first: Column, second: Column) -> Column:
     """(only_left, only_right) of two sets of digests, by tables that grow until one peels.
 
-    A slice that no size resolves (three digests that share all their cells in
-    the largest one) is compared as plain sets.
+    The sets are cut twice, ``first`` and ``second`` times, both columns with a
+    power of two; both cuts read bits of their own.  A slice that no size
+    resolves (three digests that share all their cells in the largest one) is
+    compared as plain sets.
     """
-    most = F.greatest(F.size(left), F.size(right))
-    slices = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(most / F.lit(float(SLICE)), F.lit(1.0))))).cast("int")
 
-    def part(items: Column, at: Column) -> Column:
-        return F.filter(items, lambda x: F.shiftrightunsigned(x, 48).bitwiseAND((slices - 1).cast(_LONG)) == at)
+    def sliced(pairs: Column, cuts: Column, shift: int) -> Column:
+        def one(pair: Column) -> Column:
+            def part(at: Column) -> Column:
+                def mine(x: Column) -> Column:
+                    return F.shiftrightunsigned(x, shift).bitwiseAND(cuts - 1) == at
 
-    def one(pair: Column) -> Column:
+                return F.struct(F.filter(pair["a"], mine).alias("a"), F.filter(pair["b"], mine).alias("b"))
+
+            return F.transform(F.sequence(F.lit(0).cast(_LONG), cuts - 1), part)
+
+        return F.flatten(F.transform(pairs, one))
+
+    def resolved(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]
         tries = [peeled(subtracted(table(a, s), table(b, s)), s) for s in SIZES]
         plain = F.struct(F.array_except(a, b).alias("only_left"), F.array_except(b, a).alias("only_right"))
         return F.coalesce(*tries, plain)
 
-    pairs = F.transform(
-        F.sequence(F.lit(0), slices - 1),
-        lambda at: F.struct(part(left, at.cast(_LONG)).alias("a"), part(right, at.cast(_LONG)).alias("b")),
-    )
-    found = F.transform(pairs, one)
-    return F.struct(
-        F.flatten(F.transform(found, lambda f: f["only_left"])).alias("only_left"),
-        F.flatten(F.transform(found, lambda f: f["only_right"])).alias("only_right"),
-    )
+    pairs = sliced(sliced(F.array(F.struct(left.alias("a"), right.alias("b"))), first, 52), second, 40)
+    # One element, so that the slices are resolved once for both sides.
+    found = F.array(F.transform(pairs, resolved))
+
+    def joined(each: Column) -> Column:
+        return F.struct(
+            F.flatten(F.transform(each, lambda f: f["only_left"])).alias("only_left"),
+            F.flatten(F.transform(each, lambda f: f["only_right"])).alias("only_right"),
+        )
+
+    return F.element_at(F.transform(found, joined), 1)
 
 
 def likeness(left: Column, right: Column, difference: Column) -> Column:
@@ -223,10 +254,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("e"),
         digests(F.col("next")).alias("n"),
     )
+    sets = sets.withColumns({"ce": cuts_for(F.col("a"), F.col("e")), "cn": cuts_for(F.col("a"), F.col("n"))})
+
+    def halved(k: str, round_) -> Column:
+        return F.pow(F.lit(2.0), round_(F.col(k) / 2)).cast(_LONG)
+
+    sets = sets.withColumns({f"{k}{i}": halved(k, r) for k in ("ce", "cn") for i, r in ((1, F.ceil), (2, F.floor))})
     compared = sets.withColumns(
         {
-            "de": differing(F.col("a"), F.col("e")),
-            "dn": differing(F.col("a"), F.col("n")),
+            "de": differing(F.col("a"), F.col("e"), F.col("ce1"), F.col("ce2")),
+            "dn": differing(F.col("a"), F.col("n"), F.col("cn1"), F.col("cn2")),
         }
     )
     return compared.select(
