@@ -27,7 +27,7 @@ SAMPLE = 20_000
 STEPS = 8
 # Distance from a border between cells up to which a vector visits the other side.
 MARGIN = 0.1
-BLOCK = 1_024
+BLOCK = 2_048
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 3) -> np.ndarray:

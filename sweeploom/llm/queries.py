@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embed, langid, mixing, pieces, prints, quality, sharding, toxicity
+from . import embed, langid, minhash, mixing, pieces, prints, quality, sharding, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_minhash": minhash.op3_minhash,
     "op4_prints": prints.op4_prints,
     "op5_langid": langid.op5_langid,
     "op6_pieces": pieces.op6_pieces,
