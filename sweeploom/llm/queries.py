@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embed, langid, minhash, mixing, pieces, prints, quality, sharding, toxicity
+from . import embed, langid, minhash, mixing, pieces, prints, quality, sharding, suffixes, toxicity
 
 QUERIES = {
+    "op1_suffixes": suffixes.op1_suffixes,
     "op2_mixing": mixing.op2_mixing,
     "op3_minhash": minhash.op3_minhash,
     "op4_prints": prints.op4_prints,
