@@ -8,9 +8,11 @@ few of each document (prefix filter), which keeps common lines and phrases out.
 The sketch of the union estimates the likeness of a candidate pair, and pairs
 that pass are confirmed on the full sets.
 
-Lists are first linked as stars around their most typical member.  Only members
-that are still apart from the main component of a list are then compared with
-the rest of it, so a large group of near copies costs its size, not its square.
+Lists are first linked as stars around their most typical member.  Members of a
+list that are still apart are then looked at with their full sets: shingles
+that only one of them has rule out most, and what is left is compared with the
+members of other components, so a large group of near copies costs about its
+size, not its square.
 
 The share of retained values that a true pair must have in common is LOSS_SIGMAS
 standard deviations below its mean, so a pair is lost with a chance of about one
@@ -184,6 +186,53 @@ def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("i") * 100 >= (F.size("xa") + F.size("xb") - F.col("i")) * percent).select("a", "b")
 
 
+def remaining(index: DataFrame, parts: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may still be alike.
+
+    They share a list of the index.  The full sets rule out nearly all of them:
+    shingles are ordered by how many of these documents have them, a pair must
+    meet among the first few of both, and what follows the meeting place must
+    suffice for the overlap it needs.
+    """
+    member = index.join(parts, F.col("rep") == F.col("node")).select("value", "rep", "label")
+    mixed = member.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    apart = member.join(mixed.select("value"), "value", "left_semi").select("rep", "label").distinct()
+    apart = common.stored(apart, "minhash-apart")
+    each = whole.join(apart, F.col("doc_id") == F.col("rep")).select(
+        "rep", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")
+    )
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    lists = each.join(often, "shingle").groupBy("rep", "label", "n").agg(
+        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("list")
+    )
+    # Shingles that no other document has come first in the order.
+    lone = F.col("n") - F.size("list")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    lists = lists.withColumns({"lone": lone, "open": (first - lone).cast("int")}).filter("open > 0")
+    placed = lists.select("rep", "label", "n", "lone", F.posexplode(F.slice("list", F.lit(1), F.col("open"))))
+    placed = placed.select(
+        "rep", "label", "n", F.col("col.shingle").alias("shingle"), (F.col("n") - F.col("lone") - F.col("pos")).alias("left")
+    )
+    placed = common.stored(placed, "minhash-places")
+    count = placed.groupBy("shingle", "label").agg(F.count("*").alias("c"))
+    main = count.groupBy("shingle").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels"))
+    placed = placed.join(main.filter("labels > 1").drop("labels"), "shingle")
+    one = placed.filter("label != main").select(
+        "shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("left").alias("fa")
+    )
+    two = placed.select(
+        "shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("left").alias("fb"), "main"
+    )
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    pairs = one.join(two, "shingle").filter(
+        (F.col("la") != F.col("lb"))
+        & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+        & _alike_sizes(F.col("na"), F.col("nb"), percent)
+        & (F.least("fa", "fb") >= needed)
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id,
     n_shingles, component_id, kept.
@@ -224,30 +273,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = stars.filter(_alike_sizes(F.col("n"), F.col("nb"), percent))
     stars = stars.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     likely = common.stored(estimated(stars, sets), "minhash-stars")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = common.stored(full_sets(_texts(docs, ends), words), "minhash-star-sets")
+    # Full sets only of documents that have a candidate at all.
+    whole = common.stored(full_sets(_texts(docs, nodes.withColumnRenamed("node", "doc_id")), words), "minhash-full")
+    whole = whole.dropDuplicates(["doc_id"])
     links = common.stored(confirmed(likely, whole, percent), "minhash-star-links")
     parts = common.stored(connected_labels(nodes, links), "minhash-parts")
-    # The rest: members outside the main component of a list, with all others of the list.
-    member = index.join(parts, F.col("rep") == F.col("node")).select("value", "rep", "n", "label")
-    count = member.groupBy("value", "label").agg(F.count("*").alias("c"))
-    main = count.groupBy("value").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels"))
-    apart = member.join(main.filter("labels > 1"), "value")
-    apart = common.stored(apart.drop("labels"), "minhash-apart")
-    left = apart.filter("label != main").select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = apart.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    rest = left.join(right, "value").filter(
-        (F.col("la") != F.col("lb"))
-        & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & _alike_sizes(F.col("na"), F.col("nb"), percent)
-    )
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = common.stored(estimated(rest.join(likely, ["a", "b"], "left_anti"), sets), "minhash-rest")
+    more = common.stored(remaining(index, parts, whole, percent), "minhash-rest")
     if not more.isEmpty():
-        ends = more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        fresh = ends.join(whole, "doc_id", "left_anti")
-        known = whole.unionByName(common.stored(full_sets(_texts(docs, fresh), words), "minhash-rest-sets"))
-        links = common.stored(links.unionByName(confirmed(more, known, percent)), "minhash-links")
+        links = common.stored(links.unionByName(confirmed(more, whole, percent)), "minhash-links")
         parts = common.stored(connected_labels(nodes, links), "minhash-labels")
     named = sets.select("s1", "s2", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     named = named.select("s1", "s2", "n", F.coalesce("label", "rep").alias("found"))
