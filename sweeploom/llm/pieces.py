@@ -82,25 +82,24 @@ class Pieces:
         best = [0.0] + [float("-inf")] * n
         came: list = [None] * (n + 1)
         done = 0  # positions up to here are settled but for their lone character
-
-        def settle(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                done += 1
-                if best[done - 1] + self.lone > best[done]:
-                    best[done] = best[done - 1] + self.lone
-                    came[done] = (done - 1, -1)
-
+        lone = self.lone
         if len(self.automaton):
             for last, (length, score, i) in self.automaton.iter(text):
-                end = last + 1
-                settle(end - 1)
-                start = end - length
+                while done < last:
+                    done += 1
+                    if best[done - 1] + lone > best[done]:
+                        best[done] = best[done - 1] + lone
+                        came[done] = (done - 1, -1)
+                start = last + 1 - length
                 value = best[start] + score
-                if value > best[end]:
-                    best[end] = value
-                    came[end] = (start, i)
-        settle(n)
+                if value > best[last + 1]:
+                    best[last + 1] = value
+                    came[last + 1] = (start, i)
+        while done < n:
+            done += 1
+            if best[done - 1] + lone > best[done]:
+                best[done] = best[done - 1] + lone
+                came[done] = (done - 1, -1)
         ids = []
         at = n
         while at:

@@ -26,15 +26,16 @@ SIZES = (8, 16, 64)
 # Digests for which one table is meant.
 SLICE = 6
 ROUNDS = 6
-# Documents whose order one task sorts.
-CHUNK_ROWS = 20_000
-_BREAK = r"\n+|(?<=\.)[ \t]+"
+# Documents whose order one task sorts, unless there are more than MOST_CUTS times as many.
+CHUNK_ROWS = 2_000
+MOST_CUTS = 10_000
 _LONG = "bigint"
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs; NULL and empty texts have none."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda p: F.length(p) > 0)
+    lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(". "), F.lit(".\n")), "\n")
+    parts = F.filter(lines, lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -66,22 +67,21 @@ def _with(cell: Column, key: Column, count: Column) -> Column:
     )
 
 
-def _hits(key: Column, at: Column) -> Column:
-    return (key["p0"] == at) | (key["p1"] == at) | (key["p2"] == at)
-
-
 def table(items: Column, size: int) -> Column:
     """Cells of the digests: sub-table after sub-table."""
     # One element, so that places and checks are computed once for all cells.
     keyed = F.array(F.transform(items, lambda x: _placed(x, F.lit(1), size)))
 
     def filled(keys: Column) -> Column:
-        def cell(at: Column) -> Column:
-            return F.aggregate(
-                keys, _void(), lambda acc, k: F.when(_hits(k, at), _with(acc, k, acc["n"] + 1)).otherwise(acc)
-            )
+        def cells(t: int) -> Column:
+            def cell(at: Column) -> Column:
+                return F.aggregate(
+                    keys, _void(), lambda acc, k: F.when(k[f"p{t}"] == at, _with(acc, k, acc["n"] + 1)).otherwise(acc)
+                )
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBTABLES * size - 1)), cell)
+            return F.transform(F.sequence(F.lit(t * size), F.lit((t + 1) * size - 1)), cell)
+
+        return F.concat(*[cells(t) for t in range(SUBTABLES)])
 
     return F.element_at(F.transform(keyed, filled), 1)
 
@@ -110,12 +110,17 @@ def peeled(difference: Column, size: int) -> Column:
         return F.array_distinct(keys)
 
     def taken(cells: Column, keys: Column) -> Column:
-        def out(cell: Column, at: Column) -> Column:
-            return F.aggregate(
-                keys, cell, lambda acc, k: F.when(_hits(k, at), _with(acc, k, acc["n"] - k["n"])).otherwise(acc)
-            )
+        def part(t: int) -> Column:
+            def out(cell: Column, at: Column) -> Column:
+                return F.aggregate(
+                    keys,
+                    cell,
+                    lambda acc, k: F.when(k[f"p{t}"] == at + t * size, _with(acc, k, acc["n"] - k["n"])).otherwise(acc),
+                )
 
-        return F.transform(cells, out)
+            return F.transform(F.slice(cells, t * size + 1, size), out)
+
+        return F.concat(*[part(t) for t in range(SUBTABLES)])
 
     def step(state: Column, _: Column) -> Column:
         # One element, so that the keys of a round are computed once.
@@ -197,26 +202,22 @@ def likeness(left: Column, right: Column, difference: Column) -> Column:
 
 
 def as_text(items: Column) -> Column:
-    """The table of the first size as hexadecimal: per cell count, digests, checks."""
+    """The table of the first size: per cell the count, and digests and checks in hexadecimal."""
 
     def cell(c: Column) -> Column:
-        return F.concat(
-            F.lpad(F.hex(c["n"].bitwiseAND(F.lit(0xFFFF))), 4, "0"),
-            F.lpad(F.hex(c["d"]), 16, "0"),
-            F.lpad(F.hex(c["c"].bitwiseAND(F.lit(0xFFFF).cast(_LONG))), 4, "0"),
-        )
+        return F.concat_ws(".", c["n"].cast("string"), F.hex(c["d"]), F.hex(c["c"].bitwiseAND(F.lit(0xFFFF).cast(_LONG))))
 
-    return F.lower(F.array_join(F.transform(table(items, SIZES[0]), cell), ""))
+    return F.lower(F.array_join(F.transform(table(items, SIZES[0]), cell), "-"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``next``, the text of the next doc_id; after the last comes the first.
+    """``docs`` (doc_id, text, own) with ``next`` and ``next_own`` of the next doc_id; after the last comes the first.
 
     Equal ids are ordered by their text's hash; a NULL id comes first.  The
     order is cut at quantiles of the ids, so no task sorts the whole table.
     """
     rows = docs.count()
-    cuts = max(1, -(-rows // CHUNK_ROWS))
+    cuts = max(1, min(MOST_CUTS, -(-rows // CHUNK_ROWS)))
     edges = docs.stat.approxQuantile("doc_id", [i / cuts for i in range(1, cuts)], 0.25 / cuts) if cuts > 1 else []
     splits = [float("-inf"), *sorted(set(edges)), float("inf")]
     data = docs.withColumn("__place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
@@ -224,11 +225,19 @@ def with_next(docs: DataFrame) -> DataFrame:
         data = Bucketizer(splits=splits, inputCol="__place", outputCol="__bucket").transform(data)
     else:
         data = data.withColumn("__bucket", F.lit(0.0))
-    data = data.withColumn("__tie", F.xxhash64("text")).withColumn("__me", F.struct("text"))
-    out = ordered.following(data, [], ["doc_id", "__tie"], F.col("__bucket").cast("long"), {"__after": "__me"})
-    first = docs.agg(F.min_by(F.struct("text"), F.struct("doc_id", F.xxhash64("text"))).alias("__first"))
+    data = data.withColumn("__tie", F.xxhash64("text")).withColumn("__here", F.lit(True))
+    after = {"__after": "text", "__after_own": "own", "__found": "__here"}
+    out = ordered.following(data, [], ["doc_id", "__tie"], F.col("__bucket").cast("long"), after)
+    first = docs.agg(F.min_by(F.struct("text", "own"), F.struct("doc_id", F.xxhash64("text"))).alias("__first"))
     out = out.crossJoin(F.broadcast(first))  # one row
-    return out.select("doc_id", "text", F.coalesce("__after", "__first")["text"].alias("next"))
+    found = F.col("__found").isNotNull()
+    return out.select(
+        "doc_id",
+        "text",
+        "own",
+        F.when(found, F.col("__after")).otherwise(F.col("__first")["text"]).alias("next"),
+        F.when(found, F.col("__after_own")).otherwise(F.col("__first")["own"]).alias("next_own"),
+    )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -240,8 +249,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     its last floor(n / 2) code points replaced by the first as many of the next.
     """
     empty = F.lit("")
-    base = with_next(docs.select("doc_id", "text")).select(
-        "doc_id", F.coalesce("text", empty).alias("text"), F.coalesce("next", empty).alias("next")
+    base = with_next(docs.select("doc_id", "text", digests(F.col("text")).alias("own"))).select(
+        "doc_id", F.coalesce("text", empty).alias("text"), F.coalesce("next", empty).alias("next"), "own", "next_own"
     )
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
@@ -250,9 +259,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("a"),
+        F.col("own").alias("a"),
         digests(F.col("edited")).alias("e"),
-        digests(F.col("next")).alias("n"),
+        F.col("next_own").alias("n"),
     )
     sets = sets.withColumns({"ce": cuts_for(F.col("a"), F.col("e")), "cn": cuts_for(F.col("a"), F.col("n"))})
 
