@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.complexmath import magnitude
 from ..functions.scores import metric_score
-from ..functions.units import csv_number, is_finite
+from ..functions.units import is_finite
 from ..session import broadcast_small
 
 # Metrics tried in this order when none is named.
@@ -244,12 +244,11 @@ def ranked(rows: DataFrame, score: str, ties: Sequence[str], name: str = "rank")
     chunks of the score's magnitude, never one global window."""
     from . import ordered
 
-    size = F.greatest(F.abs(F.col(score)), F.lit(1e-300))
+    # NaN sorts last: its negative is NaN again, which is behind every number.
+    known = F.when(~F.isnan(F.col(score)), F.col(score))
+    size = F.least(F.greatest(F.abs(known), F.lit(1e-300)), F.lit(1e300))
     level = F.floor(F.log2(size) * F.lit(256.0)).cast("long") + F.lit(300_000)
-    chunk = F.when(F.col(score) > 0, -level).when(F.col(score) < 0, level).otherwise(F.lit(0))
+    chunk = F.when(known > 0, -level).when(known < 0, level).when(known == 0, F.lit(0))
+    chunk = F.coalesce(chunk, F.when(F.col(score).isNull(), F.lit(-1_000_000)).otherwise(F.lit(1_000_000)))
     order = ["__neg", *ties]
     return ordered.global_index(rows.withColumn("__neg", -F.col(score)), order, chunk, name).drop("__neg")
-
-
-def number(name: str) -> Column:
-    return csv_number(F.col(name).cast("string"))

@@ -8,16 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 RANK = ("priority", "mtime", "source")
 
-# Confidence of each kind of artifact.
-ARTIFACT_PRIORITY = {
-    "domain_json": 90,
-    "model_metadata": 80,
-    "best_config": 70,
-    "audit_summary": 60,
-    "trial_csv": 50,
-    "log_report": 40,
-}
-
 
 def winners(settings: DataFrame, path: Sequence[str] = ("path",), value: str = "value") -> DataFrame:
     """Highest (priority, mtime, source) of each path, with its distinct sources counted."""

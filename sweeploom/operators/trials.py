@@ -45,12 +45,14 @@ def rerank(trials: DataFrame, metric: str, accept: Column, by: Sequence[str] = (
 
     Chunks of the metric's magnitude keep a large group off a single task.
     """
-    size = F.greatest(F.abs(F.col(metric)), F.lit(1e-300))
+    # NaN sorts behind every number, so it takes the last chunk, as NULL does.
+    known = F.when(~F.isnan(F.col(metric)), F.col(metric))
+    size = F.least(F.greatest(F.abs(known), F.lit(1e-300)), F.lit(1e300))
     level = F.floor(F.log2(size) * F.lit(64.0)).cast("long") + F.lit(80_000)
-    signed = F.when(F.col(metric) == 0.0, F.lit(0)).when(F.col(metric) > 0.0, level).otherwise(-level)
+    signed = F.when(known == 0.0, F.lit(0)).when(known > 0.0, level).when(known < 0.0, -level)
     if chunk is None:
         chunk = F.col("__late") * F.lit(1_000_000) + F.coalesce(signed, F.lit(400_000))
-    data = trials.withColumn("eligible", accept & F.col(metric).isNotNull()).withColumn(
+    data = trials.withColumn("eligible", accept & known.isNotNull()).withColumn(
         "__late", F.when(F.col("eligible"), 0).otherwise(1)
     ).withColumn("__null", F.col(metric).isNull())
     return ordered.number_rows(data, list(by), ["__late", "__null", metric, trial], chunk, "rank").drop("__late", "__null")

@@ -189,13 +189,15 @@ def declared_coverage(spark, folder):
 
 @query(
     "coarse_range_check",
-    """WITH v AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'coarse' ELSE 'fine' END AS k, l_quantity, l_tax FROM lineitem WHERE l_returnflag <> 'A' OR l_quantity < 50)
+    """WITH v AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'coarse' ELSE 'fine' END AS k, CASE WHEN l_returnflag = 'A' THEN least(l_quantity, 49) ELSE l_quantity END AS l_quantity, l_tax FROM lineitem)
     SELECT parameter, min(value) FILTER (k = 'fine') AS fine_min, max(value) FILTER (k = 'fine') AS fine_max, min(value) FILTER (k = 'coarse') AS coarse_min, max(value) FILTER (k = 'coarse') AS coarse_max,
       min(value) FILTER (k = 'fine') < min(value) FILTER (k = 'coarse') OR max(value) FILTER (k = 'fine') > max(value) FILTER (k = 'coarse') AS outside
     FROM (SELECT k, 'quantity' AS parameter, l_quantity AS value FROM v UNION ALL SELECT k, 'tax', l_tax FROM v) GROUP BY parameter""",
 )
 def coarse_range_check(spark, folder):
-    lines = table(spark, folder, "lineitem").where("l_returnflag <> 'A' OR l_quantity < 50")
+    lines = table(spark, folder, "lineitem").withColumn(
+        "l_quantity", F.when(F.col("l_returnflag") == "A", F.least("l_quantity", F.lit(49.0))).otherwise(F.col("l_quantity"))
+    )
     pairs_ = F.array(
         F.struct(F.lit("quantity").alias("parameter"), F.col("l_quantity").alias("value")),
         F.struct(F.lit("tax").alias("parameter"), F.col("l_tax").alias("value")),
@@ -372,11 +374,11 @@ def neighbour_jumps(spark, folder):
 
 @query(
     "label_sets",
-    """WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS labels, min(event_id) AS first_seen FROM events WHERE value < 20 GROUP BY user_id)
+    """WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS labels, min(event_id) AS first_seen FROM events GROUP BY user_id)
     SELECT labels, count(*) AS blocks FROM s GROUP BY labels ORDER BY count(*) DESC, min(first_seen) LIMIT 1""",
 )
 def label_sets(spark, folder):
-    e = table(spark, folder, "events").where("value < 20").select(
+    e = table(spark, folder, "events").select(
         F.col("user_id").alias("record_id"), F.col("event_type").alias("label"), F.col("event_id").alias("ordinal")
     )
     return quality.common_label_set(e)
@@ -384,7 +386,7 @@ def label_sets(spark, folder):
 
 @query(
     "label_set_differences",
-    """WITH s AS (SELECT user_id AS record_id, list_distinct(list(event_type)) AS ls FROM events WHERE value < 20 GROUP BY user_id),
+    """WITH s AS (SELECT user_id AS record_id, list_distinct(list(event_type)) AS ls FROM events GROUP BY user_id),
     x AS (SELECT list_sort(list_distinct(list(event_type))) AS ex FROM events WHERE event_type <> 'error'),
     d AS (SELECT record_id, list_filter(ex, lambda e: NOT list_contains(ls, e)) AS missing, list_sort(list_filter(ls, lambda e: NOT list_contains(ex, e))) AS extra FROM s, x)
     SELECT record_id, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra FROM d WHERE len(missing) > 0 OR len(extra) > 0""",
@@ -392,16 +394,16 @@ def label_sets(spark, folder):
 def label_set_differences(spark, folder):
     e = table(spark, folder, "events").select(F.col("user_id").alias("record_id"), F.col("event_type").alias("label"), "value")
     expected = e.where("label <> 'error'").select("label").distinct()
-    d = quality.label_differences(e.where("value < 20"), expected)
+    d = quality.label_differences(e, expected)
     return d.select("record_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
 @query(
     "labels_of_all_blocks",
-    """SELECT event_type AS label FROM events WHERE value < 40 GROUP BY event_type HAVING count(DISTINCT user_id) = (SELECT count(DISTINCT user_id) FROM events WHERE value < 40)""",
+    """SELECT event_type AS label FROM events GROUP BY event_type HAVING count(DISTINCT user_id) = (SELECT count(DISTINCT user_id) FROM events)""",
 )
 def labels_of_all_blocks(spark, folder):
-    e = table(spark, folder, "events").where("value < 40").select("user_id", F.col("event_type").alias("label"))
+    e = table(spark, folder, "events").select("user_id", F.col("event_type").alias("label"))
     return quality.labels_in_every_block(e, ["user_id"])
 
 

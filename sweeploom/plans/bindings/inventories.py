@@ -629,13 +629,13 @@ def filled_settings(spark, folder):
 
 @query(
     "metrics_sources",
-    """WITH c AS (SELECT user_id, event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 END AS o, max(event_id) AS e FROM events WHERE value < 3 GROUP BY ALL) SELECT user_id, arg_min(e, o) AS path FROM c WHERE o IS NOT NULL AND o < 3 GROUP BY user_id""",
+    """WITH c AS (SELECT user_id, event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 END AS o, max(event_id) AS e FROM events GROUP BY ALL) SELECT user_id, arg_min(e, o) AS path FROM c WHERE o IS NOT NULL AND o < 3 GROUP BY user_id""",
 )
 def metrics_sources(spark, folder):
     kind = (
         F.when(F.col("event_type") == "click", "fit_dir").when(F.col("event_type") == "view", "best_model").when(F.col("event_type") == "error", "nonpassive_fallback")
     )
-    e = table(spark, folder, "events").where("value < 3").groupBy("user_id", "event_type").agg(F.max("event_id").alias("path"))
+    e = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("path"))
     out = settings.metrics_source(e.withColumn("kind", kind).withColumn("exists", F.lit(True)), ["user_id"])
     return out.select("user_id", "path")
 

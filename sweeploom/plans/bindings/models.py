@@ -191,11 +191,11 @@ def value_statistics(spark, folder):
 
 @query(
     "blank_template",
-    f"WITH {SAMPLES_SQL} SELECT o.k AS record_id, f.f AS freq_hz, l.label, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im FROM (SELECT DISTINCT l_orderkey AS k FROM samples WHERE l_orderkey % 20 = 0) o, (SELECT DISTINCT l_linenumber * 1e9 AS f FROM lineitem) f, (VALUES ('S11'), ('S21')) AS l(label)",
+    f"WITH {SAMPLES_SQL} SELECT o.k AS record_id, f.f AS freq_hz, l.label, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im FROM (SELECT DISTINCT l_orderkey AS k FROM samples) o, (SELECT DISTINCT l_linenumber * 1e9 AS f FROM lineitem) f, (VALUES ('S11'), ('S21')) AS l(label)",
 )
 def blank_template(spark, folder):
     lines = table(spark, folder, "lineitem")
-    block = lines.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("record_id")).distinct()
+    block = lines.select(F.col("l_orderkey").alias("record_id")).distinct()
     freqs = lines.select((F.col("l_linenumber") * F.lit(1e9)).alias("freq_hz")).distinct()
     return align.blank_template(block, freqs, spark.createDataFrame([("S11",), ("S21",)], "label string"))
 
@@ -541,7 +541,7 @@ def coarse_model_on_fine_rows(spark, folder):
 def next_trial(spark, folder):
     """The next setting to try: parts as candidates, some of them tried already."""
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rate"), "p_type")
-    types = [row["p_type"] for row in parts.select("p_type").distinct().orderBy("p_type").limit(20).collect()]
+    types = [row["p_type"] for row in parts.select("p_type").distinct().orderBy("p_type").collect()]
     pool = search.features(parts, ["rate"], ["rate"], {"p_type": types})
     tried = pool.where("id % 97 = 0").withColumn("metric", F.abs(F.col("rate") - 950.0)).withColumn("violations", F.lit(0)).withColumn("max_sigma", F.lit(1.0))
     chosen = search.next_trial(pool, tried, {"p_type": types}, F.lit(True))

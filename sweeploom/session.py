@@ -33,9 +33,19 @@ def local_session(cpus: str | int = "*", app: str = "sweeploom") -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one in tests."""
+    """The folder the cluster names for checkpoints.
+
+    A temporary folder is made only for a session on one machine; on a cluster
+    it would be the driver's alone.
+    """
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="spark-shared-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="spark-shared-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,10 +60,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     the session names none, as in tests.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_SETTING, None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -10,6 +10,8 @@ from ..session import small_rows
 
 # Larger files are read in splits as UTF-8; smaller ones whole, with detection.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
+# A file is tested for UTF-16 if it has a NUL within so many bytes.
+PROBE_BYTES = 4096
 
 
 def decode(content: bytes) -> str:
@@ -18,14 +20,11 @@ def decode(content: bytes) -> str:
         return content.decode("utf-16", "replace")
     if content[:3] == b"\xef\xbb\xbf":
         return content[3:].decode("utf-8", "replace")
-    probe = content[:4096]
-    if len(probe) > 3:
-        even, odd = probe[0::2].count(0), probe[1::2].count(0)
-        half = len(probe) // 2
-        if odd > 0.3 * half and odd > even:
-            return content.decode("utf-16-le", "replace")
-        if even > 0.3 * half and even > odd:
-            return content.decode("utf-16-be", "replace")
+    if b"\0" in content[:PROBE_BYTES]:
+        # Text in UTF-16 without a mark: high bytes of common letters are NUL, counted over the whole file.
+        even, odd = content[0::2].count(0), content[1::2].count(0)
+        if even != odd:
+            return content.decode("utf-16-le" if odd > even else "utf-16-be", "replace")
     return content.decode("utf-8", "replace")
 
 

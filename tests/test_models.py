@@ -182,3 +182,14 @@ def test_adaptive_trials_balance_categories(spark):
     trials = pool.where(F.col("id").isin(done)).withColumn("metric", F.col("rate")).withColumn("violations", F.lit(3)).withColumn("max_sigma", F.lit(1.2))
     got = search.next_trial(pool, trials, {"act": acts, "form": forms}, F.col("violations") == 0, initial=6)
     assert got["stage"] == "gp_lcb" and got["id"] not in done
+
+
+def test_nan_metrics_rank_last_and_are_not_eligible(spark):
+    from sweeploom.operators import metrics, trials
+
+    rows = [(1, 0.5), (2, 1.0), (3, float("nan")), (4, 1e6), (5, None), (6, float("inf"))]
+    data = spark.createDataFrame(rows, "trial int, metric double")
+    got = {r["trial"]: (r["rank"], r["eligible"]) for r in trials.rerank(data, "metric", F.lit(True)).collect()}
+    assert got == {1: (1, True), 2: (2, True), 4: (3, True), 6: (4, True), 3: (5, False), 5: (6, False)}
+    best = {r["trial"]: r["rank"] for r in metrics.ranked(data.filter("metric is not null"), "metric", ["trial"]).collect()}
+    assert best == {6: 1, 4: 2, 2: 3, 1: 4, 3: 5}
