@@ -2,12 +2,11 @@
 
 Centroids are fitted on a bounded sample; every vector is placed.  A vector is
 at home in the cell of its nearest centroid and visits each cell whose border
-is nearer than MARGIN, so close pairs across a border meet.  Inside a cell,
-blocks of vectors are compared by one matrix product each; a cell of any size
-is cut into blocks, and a block sends counts and one edge per member, never
-pairs.  Equal vectors are collapsed before.  Pairs whose vectors lie further
-apart across a border than the margin can be missed; the tests measure recall
-against brute force.
+is nearer than half the largest distance of a linked pair.  Of two linked
+vectors on both sides of a border one is that near to it, so every pair meets.
+Inside a cell, blocks of vectors are compared by one matrix product each; a
+cell of any size is cut into blocks, and a block sends counts and one edge per
+member, never pairs.  Equal vectors are collapsed before.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ MOST_CELLS = 4_096
 # Bound of the fitting sample, and its Lloyd steps.
 SAMPLE = 20_000
 STEPS = 8
-# Distance from a border between cells up to which a vector visits the other side.
-MARGIN = 0.1
 BLOCK = 2_048
 
 
@@ -71,8 +68,14 @@ def _same_width(column, width: int):
     return mask, flat[np.repeat(mask, size)].reshape(int(mask.sum()), width)
 
 
-def placed(units: DataFrame, centre: np.ndarray, margin: float = MARGIN) -> DataFrame:
-    """One row per vector and cell it is in: (cell, home, rep, copies, unit, visits).
+def margin_of(cosine: float) -> float:
+    """Distance from a border up to which a vector visits the other side: half the
+    distance of unit vectors at ``cosine``, and a little for rounding."""
+    return float(np.sqrt(max(2 - 2 * cosine, 0.0))) / 2 * 1.001 + 1e-6
+
+
+def placed(units: DataFrame, centre: np.ndarray, margin: float) -> DataFrame:
+    """One row per vector: (at, rep, copies, unit, visits), its home and the other cells it is in.
 
     A vector of another width than the fit goes to a cell of that width alone.
     """
@@ -84,40 +87,29 @@ def placed(units: DataFrame, centre: np.ndarray, margin: float = MARGIN) -> Data
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 mask, x = _same_width(part.column(2), width)
                 near = x @ centre.T
                 home = near.argmax(axis=1)
                 lead = near[np.arange(len(x)), home]
                 inside = (lead[:, None] - near) <= margin * gap[home]
-                inside[np.arange(len(x)), home] = True
+                inside[np.arange(len(x)), home] = False
                 row, cell = np.nonzero(inside)
-                row, at_home = np.flatnonzero(mask)[row], cell == home[row]
-                visits = np.split(cell, np.cumsum(inside.sum(axis=1))[:-1]) if len(x) else []
-                lists = [[] for _ in range(part.num_rows)]
-                for i, v in zip(np.flatnonzero(mask), visits):
-                    lists[i] = v.tolist()
-                odd = np.flatnonzero(~mask)
-                sizes = np.diff(part.column(2).offsets.to_numpy())
-                row = np.concatenate([row, odd])
-                cell = np.concatenate([cell, -sizes[odd]])
-                at_home = np.concatenate([at_home, np.ones(len(odd), bool)])
-                pick = pa.array(row)
+                most = np.zeros(part.num_rows, np.int64)
+                most[np.flatnonzero(mask)] = inside.sum(axis=1)
+                at = -np.diff(part.column(2).offsets.to_numpy()).astype(np.int32)
+                at[mask] = home
+                offsets = np.concatenate(([0], np.cumsum(most))).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(at_home),
-                        part.column(0).take(pick),
-                        part.column(1).take(pick),
-                        part.column(2).take(pick),
-                        pa.array(lists, pa.list_(pa.int32())).take(pick),
-                    ],
-                    names=["cell", "home", "rep", "copies", "unit", "visits"],
+                    [pa.array(at), part.column(0), part.column(1), part.column(2), visits],
+                    names=["at", "rep", "copies", "unit", "visits"],
                 )
 
-    schema = "cell int, home boolean, rep long, copies long, unit array<double>, visits array<int>"
-    return units.select("rep", "copies", "unit").mapInArrow(run, schema)
+    return units.select("rep", "copies", "unit").mapInArrow(
+        run, "at int, rep long, copies long, unit array<double>, visits array<int>"
+    )
 
 
 def _compare(table, cosine: float = COSINE):
@@ -155,7 +147,7 @@ def _compare(table, cosine: float = COSINE):
     return pa.table({"rep": rep[some], "root": rep[root[some]], "links": links[some]})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding; other columns are ignored):
     vec_id, n_links, component_id, kept.
 
@@ -179,19 +171,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float =
     width = max(sorted(set(widths)), key=widths.count)
     sample = np.array([u for u in drawn if len(u) == width], float)
     centre = spherical_kmeans(sample, max(1, min(MOST_CELLS, -(-count // CELL_ROWS))))
-    cells = common.stored(placed(reps, centre, margin), "embed-cells")
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = cells.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    homes = cells.filter("home").select("rep", F.col("cell").alias("at"))
-    rows = rows.join(homes, "rep")
+    homes = common.stored(placed(reps, centre, margin_of(cosine)), "embed-cells")
+    rows = homes.withColumn("cell", F.explode(F.concat(F.array("at"), "visits")))
+    # Members of a cell are cut into blocks, and so are the ones at home in it: each member meets all of these.
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    parts = rows.groupBy("cell").agg(
+        blocks(F.count("*")).alias("lefts"), blocks(F.count_if(F.col("cell") == F.col("at"))).alias("rights")
+    )
+    rows = rows.join(parts, "cell").withColumns(
+        {
+            "home": F.col("cell") == F.col("at"),
+            "left": F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int"),
+            "right": F.pmod(F.xxhash64(F.lit("right"), "rep"), F.col("rights")).cast("int"),
+        }
+    )
     shared = ["cell", "rep", "copies", "unit", "visits", "at"]
     lefts = rows.select(
-        *shared, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "home", "part"
-    ).select(*shared, "i", "j", F.lit(True).alias("x"), (F.col("home") & (F.col("j") == F.col("part"))).alias("y"))
+        *shared, F.col("left").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "home", "right"
+    ).select(*shared, "i", "j", F.lit(True).alias("x"), (F.col("home") & (F.col("j") == F.col("right"))).alias("y"))
     rights = (
         rows.filter("home")
-        .select(*shared, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"))
-        .filter("i != j")
+        .select(*shared, "left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.col("right").alias("j"))
+        .filter("i != left")
         .select(*shared, "i", "j", F.lit(False).alias("x"), F.lit(True).alias("y"))
     )
     found = common.stored(

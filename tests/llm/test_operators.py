@@ -431,6 +431,19 @@ def test_vectors_match_brute_force(spark):
     assert embed.near_duplicates(data.filter("vec_id < 5").unionByName(data.filter("vec_id < 5"))).filter("n_links = 1").count() == 10
 
 
+@pytest.mark.parametrize("cosine", [0.95, 0.9])
+def test_pairs_across_borders_meet(spark, monkeypatch, cosine):
+    monkeypatch.setattr(embed, "CELL_ROWS", 8)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 4))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= cosine
+    np.fill_diagonal(hit, False)
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed.near_duplicates(data, cosine).collect()}
+    assert [got[i] for i in range(len(x))] == hit.sum(axis=1).tolist()
+
+
 # The pipeline and the registry
 
 
