@@ -93,8 +93,8 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> tupl
     return value, np.searchsorted(owner, np.arange(n + 1))
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (hashes of the set), sketch (its K smallest values).
+def sketches(docs: DataFrame, words: int = WORDS, keep=("doc_id",)) -> DataFrame:
+    """``keep`` columns, n (set size), s1 and s2 (hashes of the set), sketch (its K smallest values).
 
     NULL texts and texts without words have an empty set.
     """
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(join(flat)))
         return [pa.array(join(size).astype(np.int64)), pa.array(join(one)), pa.array(join(two)), lists]
 
-    return common.with_text_results(docs, ["doc_id"], fields, run)
+    return common.with_text_results(docs, keep, fields, run)
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -233,21 +233,27 @@ def remaining(index: DataFrame, parts: DataFrame, whole: DataFrame, percent: int
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id,
-    n_shingles, component_id, kept.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two hashes of the whole row, NULLs by their place."""
+    row = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return docs.withColumns({"__k1": F.xxhash64(*row), "__k2": F.xxhash64(F.lit("row"), *row)})
+
 
-    A NULL text or one without words links with nothing; rows of one doc_id count
-    as one document; an empty table gives no rows.
+def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row per row of ``rows`` (``keyed``): doc_id, __k1, __k2, n, first, rows.
+
+    ``first`` is the smallest (none, doc_id, __k1, __k2) of its component, NULL ids
+    last, and ``rows`` the number of rows there; both are NULL without words.
     """
-    docs = docs.select("doc_id", "text")
-    per_doc = common.stored(sketches(docs, words), "minhash-sketches")
+    per_doc = common.stored(sketches(rows, words, ["doc_id", "__k1", "__k2"]), "minhash-sketches")
+    # A set is known by a number, so rows of one doc_id with different texts stay apart.
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")
     sets = (
-        per_doc.filter("n > 0 and doc_id is not null")
+        per_doc.filter("n > 0")
         .groupBy("s1", "s2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+        .agg(F.min(own).alias("least"), F.count("*").alias("rows"), F.first("sketch").alias("sketch"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
-    # A document with rows of different texts stands for each of them.
     sets = common.stored(sets, "minhash-sets")
     values = sets.select("rep", "n", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
@@ -274,18 +280,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = stars.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     likely = common.stored(estimated(stars, sets), "minhash-stars")
     # Full sets only of documents that have a candidate at all.
-    whole = common.stored(full_sets(_texts(docs, nodes.withColumnRenamed("node", "doc_id")), words), "minhash-full")
-    whole = whole.dropDuplicates(["doc_id"])
+    asked = sets.join(nodes, F.col("rep") == F.col("node")).select(
+        F.col("least.__k1").alias("__k1"), F.col("least.__k2").alias("__k2"), "rep"
+    )
+    texts = rows.select("text", "__k1", "__k2").join(asked, ["__k1", "__k2"]).select(F.col("rep").alias("doc_id"), "text")
+    # Rows that repeat wholly have one set.
+    whole = common.stored(full_sets(texts, words), "minhash-full").dropDuplicates(["doc_id"])
     links = common.stored(confirmed(likely, whole, percent), "minhash-star-links")
     parts = common.stored(connected_labels(nodes, links), "minhash-parts")
     more = common.stored(remaining(index, parts, whole, percent), "minhash-rest")
     if not more.isEmpty():
         links = common.stored(links.unionByName(confirmed(more, whole, percent)), "minhash-links")
         parts = common.stored(connected_labels(nodes, links), "minhash-labels")
-    named = sets.select("s1", "s2", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select("s1", "s2", "n", F.coalesce("label", "rep").alias("found"))
-    out = per_doc.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
+    group = parts.join(sets.select("rep", "least", "rows"), F.col("node") == F.col("rep"))
+    group = group.groupBy("label").agg(F.min("least").alias("first"), F.sum("rows").alias("together"))
+    named = sets.join(parts.join(group, "label"), F.col("rep") == F.col("node"), "left").select(
+        "s1", "s2", "n", F.coalesce("first", "least").alias("first"), F.coalesce("together", "rows").alias("rows")
+    )
+    out = per_doc.select("doc_id", "__k1", "__k2", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    return out.select("doc_id", "__k1", "__k2", "n", "first", "rows")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id,
+    n_shingles, component_id, kept.
+
+    A NULL text or one without words links with nothing; each row is linked by its
+    own text; a component is named by its smallest doc_id that is not NULL, and all
+    its rows of that doc_id are kept; an empty table gives no rows.
+    """
+    out = _grouped(keyed(docs.select("doc_id", "text")), words, percent)
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -294,8 +319,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi")
+def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with exactly one row of each component, one of its smallest doc_id
+    (NULL ids last); rows without words all stay."""
+    rows = keyed(docs)
+    found = _grouped(rows, words, percent).filter("n > 0 and rows > 1")
+    stays = (F.col("__k1") == F.col("first.__k1")) & (F.col("__k2") == F.col("first.__k2"))
+    fate = found.groupBy("__k1", "__k2").agg(F.max(stays).alias("stays"), F.count("*").alias("copies"))
+    fate = common.stored(fate.filter("not stays or copies > 1"), "minhash-fate")
+    left = rows.join(fate, ["__k1", "__k2"], "left_anti")
+    again = fate.filter("stays").select("__k1", "__k2")
+    if not again.isEmpty():  # of rows that repeat wholly one stays
+        left = left.unionByName(rows.join(again, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,6 +458,20 @@ def test_stages_take_odd_rows(spark, odd, none):
     assert docs.count() == 0
 
 
+def test_one_row_of_a_repeated_document_survives(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d = (sentence(rng, 160) for _ in range(4))
+    near = a.replace(" ", " x", 1)
+    rows = [(1, a), (1, a), (2, near), (3, b), (3, near), (4, c), (4, c), (None, d), (None, d), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (3, b), (4, c), (None, d)], key=str)
+    cut = corpus_pipeline.cut_repeats(spark, common.stored(kept, "kept"), FOLDER).collect()
+    assert sorted(r.text for r in cut) == sorted([a, b, c, d])
+    links = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert {(3, 3, True), (3, 1, False), (None, 4, False)} <= links
+
+
 def test_pipeline_stages_match_brute_force(spark, small):
     docs = small
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
