@@ -59,7 +59,7 @@ def latin_hypercube_strata(spark, folder):
 def maximin_design(spark, folder):
     """The best of several designs with one point per supplier."""
     s = table(spark, folder, "supplier").select("s_suppkey")
-    return designs.maximin_latin_hypercube(s, "s_suppkey", s.count(), 2, seed=3, designs=8)
+    return designs.maximin_latin_hypercube(s, "s_suppkey", s.count(), 2, seed=3)
 
 
 @query(
@@ -283,9 +283,9 @@ def _training(spark, folder):
     return lines.select("l_orderkey", x.alias("x"), y.alias("y"), "l_linestatus")
 
 
-def _model(spark, folder, epochs=5, **options):
+def _model(spark, folder, **options):
     data = _training(spark, folder).where("l_linestatus = 'F'").select("x", "y")
-    return dense.fit(data, [6], epochs=epochs, learning_rate=0.05, patience=epochs, seed=7, **options)
+    return dense.fit(data, [6], learning_rate=0.05, seed=7, **options)
 
 
 @query("dense_fit_history")
@@ -309,7 +309,7 @@ def dense_predictions(spark, folder):
 @query("passivity_penalised_fit")
 def passivity_penalised_fit(spark, folder):
     """Fit with a passivity penalty, then contraction of what is left."""
-    model = _model(spark, folder, epochs=3, passivity_target=0.4, passivity_penalty=1.0)
+    model = _model(spark, folder, passivity_target=0.4, passivity_penalty=1.0)
     scored = dense.predict(_training(spark, folder), model)
     factor = dense.contraction(scored, margin=0.02)
     dense.project_outputs(model, dense.reciprocity_projection(2))
@@ -358,7 +358,7 @@ def dc_regression(spark, folder):
     x = samples(spark, folder).groupBy(F.col("l_orderkey").alias("record_id")).agg(
         F.array((F.min("l_quantity") / 48.0), F.max("l_tax")).alias("x")
     )
-    model = dense.fit(wide.join(x, "record_id"), [4], epochs=3, learning_rate=0.05, seed=3)
+    model = dense.fit(wide.join(x, "record_id"), [4], learning_rate=0.05, seed=3)
     return dense.predict(x, model).select("record_id", F.col("prediction")[0].alias("log_g1"), F.col("prediction")[1].alias("log_g2"))
 
 
@@ -410,7 +410,7 @@ def _candidates(spark, folder):
 
 
 def _existing(spark, folder):
-    return table(spark, folder, "customer").where("c_nationkey = 7").select(
+    return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 10000.0, F.col("c_nationkey") / 25.0).alias("p")
     )
 
@@ -517,7 +517,7 @@ def sampled_grid_export(spark, folder):
         F.max(F.when(F.col("label") == "S11", F.col("re"))).alias("a"), F.max(F.when(F.col("label") == "S21", F.col("re"))).alias("b"),
         F.max(F.when(F.col("label") == "S11", F.col("im"))).alias("c"), F.max(F.when(F.col("label") == "S21", F.col("im"))).alias("d"),
     ).join(nation, "record_id")
-    model = dense.fit(align.features(rows, ["w"], "freq_hz", ["a", "b", "c", "d"]), [4], epochs=3, learning_rate=0.05, seed=1)
+    model = dense.fit(align.features(rows, ["w"], "freq_hz", ["a", "b", "c", "d"]), [4], learning_rate=0.05, seed=1)
     points = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").cast("double").alias("w"))
     freqs = resp.select("freq_hz").distinct()
     return sampled_grid(points, freqs, ["w"], model, ["S11", "S21"])

@@ -193,3 +193,27 @@ def test_nan_metrics_rank_last_and_are_not_eligible(spark):
     assert got == {1: (1, True), 2: (2, True), 4: (3, True), 6: (4, True), 3: (5, False), 5: (6, False)}
     best = {r["trial"]: r["rank"] for r in metrics.ranked(data.filter("metric is not null"), "metric", ["trial"]).collect()}
     assert best == {6: 1, 4: 2, 2: 3, 1: 4, 3: 5}
+
+
+@pytest.mark.parametrize("name", ["dense_fit_history", "dense_predictions", "passivity_penalised_fit", "dc_regression", "sampled_grid_export", "maximin_design"])
+def test_queries_keep_the_defaults_of_fits_and_designs(spark, monkeypatch, name):
+    from sweeploom.plans.bindings import models
+
+    class Called(Exception):
+        pass
+
+    def stop(*args, **options):
+        raise Called({"epochs", "patience", "designs"} & set(options))
+
+    monkeypatch.setattr(models.dense, "fit", stop)
+    monkeypatch.setattr(models.designs, "maximin_latin_hypercube", stop)
+    with pytest.raises(Called) as found:
+        getattr(models, name)(spark, "/root/testdata/sf0.001")
+    assert found.value.args[0] == set()
+
+
+def test_batches_see_the_existing_points_of_all_nations(spark):
+    from sweeploom.plans.bindings import models
+
+    folder = "/root/testdata/sf0.001"
+    assert models._existing(spark, folder).count() == models.table(spark, folder, "customer").count()
