@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed, langid, minhash, mixing, pieces, prints, quality, sharding, suffixes, toxicity
+from . import embed, langid, minhash, mixing, negatives, pieces, prints, quality, sharding, suffixes, tokenlinks, topk, toxicity
 
 QUERIES = {
     "op1_suffixes": suffixes.op1_suffixes,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_embed": embed.op9_embed,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_topk": topk.op11_topk,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_tokenlinks": tokenlinks.op13_tokenlinks,
 }
 
-SQL = {"op2_mixing": mixing.OP2_SQL}
+SQL = {"op2_mixing": mixing.OP2_SQL, "op11_topk": topk.OP11_SQL, "op12_negatives": negatives.OP12_SQL}
