@@ -174,11 +174,13 @@ def parts(column, most: int = BATCH_BYTES):
         lo = hi
 
 
-def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function) -> DataFrame:
+def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function, most: int | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` and new fields that ``function`` computes.
 
     ``function`` gets the Arrow array of texts and gives one array per field.
     Rows are handled in the order and the tasks they came in; nothing moves.
+    With ``most`` it gets texts of about that many bytes at a time, which bounds
+    the results held at once.
     """
     from pyspark.sql import types as T
 
@@ -189,9 +191,12 @@ def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function) ->
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            made = [x if isinstance(x, pa.Array) else pa.array(x) for x in function(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1 + i) for i in range(len(keep))] + made, names=names)
+        for whole in batches:
+            ranges = [(lo, hi) for lo, hi, _, _ in parts(whole.column(0), most)] if most else [(0, whole.num_rows)]
+            for lo, hi in ranges:
+                batch = whole.slice(lo, hi - lo)
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in function(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([batch.column(1 + i) for i in range(len(keep))] + made, names=names)
 
     taken = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)])
     return taken.mapInArrow(run, schema)

@@ -16,8 +16,9 @@ text and pair, and joined back to these rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Sequence
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -27,11 +28,14 @@ from . import common
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PART_BYTES = 1 << 20
+# Characters that a tokenizer gets at a time, where a text can be cut.
+SEGMENT = 1 << 16
 # Most rows of a table of pair counts that tasks share whole; a larger one is joined by key.
 SHARED_PAIRS = 1_000_000
 # Rows of one pair are spread over so many keys in that join.
 SALTS = 32
 _ID_BITS = 20
+_CUT = re.compile(r"(?<=\w) (?=\w)")
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -81,8 +85,8 @@ class Vocabulary:
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.empty = bool((self.sizes == 0).any())
 
-    def joined(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
     def written(self, plain: bytes, last: bytes) -> list[bytes]:
         """Each id followed by ``plain``, then each id followed by ``last``."""
@@ -115,6 +119,11 @@ class Tokenizers:
         self.vb = Vocabulary([self._piece(i) for i in range(self.b.get_piece_size())])
         self.text_a = self.va.written(b",", b"|")
         self.text_b = self.vb.written(b",", b";")
+        # The first tokenizer splits a text before a space between two words, and no piece of
+        # the second has a space behind another character: there a long text can be cut.
+        split = json.loads(byte_model).get("pre_tokenizer") or {}
+        words = split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        self.cuttable = words and not any(b" " in p.lstrip(b" ") for p in self.vb.pieces)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -122,9 +131,31 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return b"" if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return a, self.b.encode(texts, num_threads=1)
+    def segments(self, text: str) -> list[str]:
+        """The text in cuts of about SEGMENT characters; the space of a cut is left out."""
+        out, at = [], 0
+        while self.cuttable and len(text) - at > SEGMENT:
+            cut = _CUT.search(text, at + SEGMENT)
+            if cut is None:
+                break
+            out.append(text[at : cut.start()])
+            at = cut.end()
+        return [*out, text[at:]]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of space + text by the first and of the text by the second tokenizer."""
+        cuts = [self.segments(t) for t in texts]
+        flat = [c for cut in cuts for c in cut]
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for lo, hi in common.by_bytes(flat, PART_BYTES):
+            some = flat[lo:hi]
+            coded = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
+            a += [np.array(e.ids, np.int32) for e in coded]
+            b += [np.array(ids, np.int32) for ids in self.b.encode(some, num_threads=1)]
+        first = np.cumsum([0, *map(len, cuts)])
+        whole = lambda ids: [np.concatenate(ids[i:j]) for i, j in zip(first[:-1], first[1:])]
+        return whole(a), whole(b)
 
 
 class Aligned:
@@ -137,16 +168,16 @@ class Aligned:
     def __init__(self, coders: Tokenizers, texts: list[str | None]) -> None:
         full = [i for i, t in enumerate(texts) if t]
         a, b = coders.encode([texts[i] for i in full]) if full else ([], [])
-        ids_a: list[list[int]] = [[] for _ in texts]
-        ids_b: list[list[int]] = [[] for _ in texts]
+        none = np.zeros(0, np.int32)
+        ids_a, ids_b = [none] * len(texts), [none] * len(texts)
         for i, x, y in zip(full, a, b):
             wanted = b" " + texts[i].encode()
             if coders.va.joined(x) == wanted and coders.vb.joined(y) == wanted:
                 ids_a[i], ids_b[i] = x, y
         self.first_a = np.cumsum([0, *map(len, ids_a)])
         self.first_b = np.cumsum([0, *map(len, ids_b)])
-        self.a = np.fromiter((t for x in ids_a for t in x), np.int64, int(self.first_a[-1]))
-        self.b = np.fromiter((t for x in ids_b for t in x), np.int64, int(self.first_b[-1]))
+        self.a = np.concatenate([none, *ids_a]).astype(np.int64)
+        self.b = np.concatenate([none, *ids_b]).astype(np.int64)
         end_a, end_b = np.cumsum(coders.va.sizes[self.a]), np.cumsum(coders.vb.sizes[self.b])
         cut = shared_cuts(end_a, end_b, self.first_a[:-1], np.maximum(self.first_a[1:] - 1, self.first_a[:-1]))
         some = self.first_a[1:] > self.first_a[:-1]
@@ -225,30 +256,22 @@ def align(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIEC
         if not held:
             held["both"] = Tokenizers(*shared.value)
         coders = held["both"]
-        parts: list[list] = [[] for _ in fields]
+        made = Aligned(coders, column.to_pylist())
+        group = made.first_group
         ints = lambda ends, flat: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        for lo, hi, _, _ in common.parts(column, PART_BYTES):
-            made = Aligned(coders, column.slice(lo, hi - lo).to_pylist())
-            group = made.first_group
-            for out, f in zip(parts, fields):
-                if f in ("n_a", "n_b", "n_groups"):
-                    out.append(pa.array(np.diff({"n_a": made.first_a, "n_b": made.first_b, "n_groups": group}[f]), pa.int64()))
-                elif f == "groups_sha256":
-                    out.append(pa.array(made.digests(coders), pa.string()))
-                elif f == "links":
-                    offsets, *columns = made.links()
-                    pairs = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["a", "b", "times"])
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs))
-                elif f in ("ids_a", "ids_b"):
-                    out.append(ints(made.first_a if f == "ids_a" else made.first_b, made.a if f == "ids_a" else made.b))
-                else:
-                    first, ends = (made.first_a, made.ends_a) if f == "group_ends_a" else (made.first_b, made.ends_b)
-                    out.append(ints(group, ends - np.repeat(first[:-1], np.diff(group))))
-        kinds = {_INTS: pa.list_(pa.int32())}
-        empty = [pa.array([], kinds.get(FIELDS[f], pa.int64() if f.startswith("n_") else pa.string())) for f in fields]
-        return [pa.concat_arrays(p) if p else e for p, e in zip(parts, empty)]
-
-    return common.with_text_results(docs, docs.columns if keep is None else keep, wanted, run)
+        out = {f: pa.array(np.diff(x), pa.int64()) for f, x in (("n_a", made.first_a), ("n_b", made.first_b), ("n_groups", group))}
+        if "groups_sha256" in fields:
+            out["groups_sha256"] = pa.array(made.digests(coders), pa.string())
+        if "links" in fields:
+            offsets, *columns = made.links()
+            pairs = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["a", "b", "times"])
+            out["links"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+        out["ids_a"], out["ids_b"] = ints(made.first_a, made.a), ints(made.first_b, made.b)
+        for f, first, ends in (("group_ends_a", made.first_a, made.ends_a), ("group_ends_b", made.first_b, made.ends_b)):
+            out[f] = ints(group, ends - np.repeat(first[:-1], np.diff(group)))
+        return [out[f] for f in fields]
+
+    return common.with_text_results(docs, docs.columns if keep is None else keep, wanted, run, PART_BYTES)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

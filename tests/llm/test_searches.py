@@ -195,6 +195,19 @@ def brute_alignment(texts):
     return out
 
 
+def test_cut_texts_have_the_tokens_of_whole_ones(monkeypatch):
+    with open(tokenlinks.BYTE_MODEL, encoding="utf-8") as a, open(tokenlinks.PIECE_MODEL, "rb") as b:
+        coders = tokenlinks.Tokenizers(a.read(), b.read())
+    rng = np.random.default_rng(6)
+    words = ["the", "quick", "naïve", "漢字", "x2", "it's", "(a)", "-", "  ", "\n", "tokenisers", "9,5", "a_b", "² m", "ß"]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(20)] + [t for t in odd_texts() if t]
+    whole = coders.encode(texts)
+    monkeypatch.setattr(tokenlinks, "SEGMENT", 17)
+    assert len(coders.segments(texts[0])) > 20
+    for x, y in zip(whole, coders.encode(texts)):
+        assert [i.tolist() for i in x] == [i.tolist() for i in y]
+
+
 def odd_texts():
     return [
         None, "", " ", "  two  spaces\n\n\ttabs ", "a▁sign", "<|endoftext|> <s> </s> <unk> <0x41>", "é 漢字 \U0001f600 \x00 end",
@@ -205,6 +218,7 @@ def odd_texts():
 @pytest.mark.parametrize("part,shared", [(tokenlinks.PART_BYTES, tokenlinks.SHARED_PAIRS), (100, 0)])
 def test_token_links_match_brute_force(spark, monkeypatch, part, shared):
     monkeypatch.setattr(tokenlinks, "PART_BYTES", part)
+    monkeypatch.setattr(tokenlinks, "SEGMENT", part)
     texts = odd_texts()
     docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, n_a int, row string, own string")
     made = tokenlinks.align(docs).withColumn("row", tokenlinks.F.monotonically_increasing_id())
