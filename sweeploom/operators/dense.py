@@ -3,21 +3,26 @@ post-fit contraction, and DC conductance extraction."""
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.complexmath import s_to_y_stack, to_matrices
+from .together import TreeSum
 
 # Optimiser constants.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
-# Partition sums meet in lanes; above the wide count a first level thins them out.
-GRADIENT_LANES = 16
-WIDE_LANES = 512
+# Most tasks of a fit, and the rows a task works on at a time.
+MOST_WORKERS = 64
+CHUNK_ROWS = 16_384
 
 
 @dataclass
@@ -103,6 +108,134 @@ def penalty_terms(sigma: np.ndarray, weights: np.ndarray, target: float) -> tupl
     return excess, weights * excess**2
 
 
+class Rows:
+    """Rows of one task as doubles in an unnamed file, so that memory does not grow with them."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.count, self.file = width, 0, tempfile.TemporaryFile()
+
+    def add(self, values: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(values, dtype=float).tobytes())
+        self.count += len(values)
+
+    def chunks(self):
+        if self.count:
+            self.file.flush()
+            held = np.memmap(self.file, float, "r", shape=(self.count, self.width))
+            for at in range(0, self.count, CHUNK_ROWS):
+                yield held[at : at + CHUNK_ROWS]
+
+
+@dataclass
+class FitState:
+    """Where a fit stands after ``step`` steps; what a lost stage goes on from."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    best_flat: np.ndarray
+    best: float = np.inf
+    best_step: int = 0
+    step: int = 0
+    done: bool = False
+    history: list = field(default_factory=list)
+
+    def update(self, gradient: np.ndarray, learning_rate: float) -> None:
+        self.first = BETA1 * self.first + (1 - BETA1) * gradient
+        self.second = BETA2 * self.second + (1 - BETA2) * gradient**2
+        upright = self.first / (1 - BETA1**self.step), self.second / (1 - BETA2**self.step)
+        self.flat = self.flat - learning_rate * upright[0] / (np.sqrt(upright[1]) + EPSILON)
+
+
+@dataclass
+class Objective:
+    """Weighted squared error in scaled outputs, with a passivity penalty on the response.
+
+    The penalty is lambda * (mean(w e^2) + sqrt(mean((w e^2)^2))).  The slope of its
+    root needs a mean over all rows, so that part is summed apart and scaled when
+    the mean is known: one exchange a step.  With ``coarse`` columns the response
+    is their sum with the outputs.
+    """
+
+    model: DenseModel
+    column_weight: np.ndarray
+    target: float | None
+    penalty: float
+    coarse: bool
+    extra: Callable | None
+
+    def __post_init__(self) -> None:
+        self.shapes = [w.shape for w in self.model.weights] + [b.shape for b in self.model.biases]
+        self.size = sum(int(np.prod(s)) for s in self.shapes)
+        self.inputs, self.outputs = len(self.model.x_mean), len(self.model.y_mean)
+
+    def load(self, flat: np.ndarray) -> None:
+        parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1])
+        shaped = [p.reshape(s) for p, s in zip(parts, self.shapes)]
+        n = len(self.model.weights)
+        self.model.weights, self.model.biases = shaped[:n], shaped[n:]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.reshape(-1) for w in self.model.weights] + list(self.model.biases))
+
+    def _back(self, layers: list, delta: np.ndarray) -> np.ndarray:
+        by_weight, by_bias = [], []
+        for k in range(len(self.model.weights) - 1, -1, -1):
+            by_weight.append((layers[k].T @ delta).reshape(-1))
+            by_bias.append(delta.sum(axis=0))
+            if k:
+                back = delta @ self.model.weights[k].T
+                delta = back * (1.0 - layers[k] ** 2 if self.model.activation == "tanh" else layers[k] > 0)
+        return np.concatenate(by_weight[::-1] + by_bias[::-1])
+
+    def sums(self, chunks, slope: bool = True) -> np.ndarray:
+        """Rows, loss, sum of squared penalties, then both parts of the gradient."""
+        out = np.zeros(3 + (2 * self.size if slope else 0))
+        for rows in chunks:
+            x, y = rows[:, : self.inputs], rows[:, self.inputs : self.inputs + self.outputs]
+            w = rows[:, -1]
+            layers = self.model.hidden(x)
+            error = layers[-1] - y
+            weighted = w[:, None] * self.column_weight * error
+            out[0] += len(rows)
+            out[1] += float((weighted * error).sum()) / self.outputs
+            delta = 2.0 * weighted / self.outputs
+            if self.penalty > 0:
+                raw = layers[-1] * self.model.y_std + self.model.y_mean
+                if self.coarse:
+                    raw = raw + rows[:, self.inputs + self.outputs : -1]
+                half = self.outputs // 2
+                ports = int(round(half**0.5))
+                u, s, vh = np.linalg.svd((raw[:, :half] + 1j * raw[:, half:]).reshape(-1, ports, ports))
+                excess, squared = penalty_terms(s[:, 0], w, self.target)
+                out[1] += self.penalty * float(squared.sum())
+                out[2] += float((squared**2).sum())
+                if slope:
+                    top = (u[:, :, :1] * vh[:, :1, :]).reshape(len(rows), -1)
+                    pull = np.concatenate([top.real, top.imag], axis=1) * self.model.y_std
+                    pull *= (2.0 * self.penalty * w * excess)[:, None]
+                    delta = delta + pull
+                    out[3 + self.size :] += self._back(layers, pull * squared[:, None])
+            if slope:
+                if self.extra is not None:
+                    more, lean = self.extra(layers[-1], y, w)
+                    out[1] += more
+                    delta = delta + lean
+                out[3 : 3 + self.size] += self._back(layers, delta)
+        return out
+
+    def loss(self, total: np.ndarray) -> float:
+        return float(total[1] / max(total[0], 1.0) + self.penalty * self._root(total))
+
+    def gradient(self, total: np.ndarray) -> np.ndarray:
+        plain, rooted = total[3 : 3 + self.size], total[3 + self.size :]
+        return (plain + rooted / max(self._root(total), 1e-300)) / max(total[0], 1.0)
+
+    @staticmethod
+    def _root(total: np.ndarray) -> float:
+        return float(np.sqrt(total[2] / max(total[0], 1.0)))
+
+
 def fit(
     rows: DataFrame,
     hidden: Sequence[int],
@@ -120,190 +253,138 @@ def fit(
     batch_share: float = 1.0,
     check: DataFrame | None = None,
     check_interval: int = 1,
+    workers: int | None = None,
+    save_interval: int = 100,
+    state: str | None = None,
 ) -> DenseModel:
     """Fit ``y`` arrays from ``x`` arrays with synchronous data-parallel Adam.
 
-    Each step is one Spark job: partitions return loss and gradient sums, which
-    are folded on executors in a few lanes; the driver sees lane totals and
-    applies the update.  ``batch_share`` < 1 uses a hash-chosen share of rows per step.
-    The passivity penalty is lambda * (mean(w e^2) + sqrt(mean((w e^2)^2))); its
-    second term needs the global mean first, so it costs a second pass.
+    ``workers`` tasks of one barrier stage (as many as the session's parallelism,
+    up to MOST_WORKERS) hold the rows over all steps; a step adds their gradient
+    sums along a tree, and every task makes the same update.  The stage ends every
+    ``save_interval`` steps with the weights and the optimiser's state: a lost
+    executor costs the steps since then, and with a ``state`` folder a new session
+    goes on from there too.  ``batch_share`` < 1 uses a hash-chosen share of rows
+    per step.  ``coarse`` names the coarse response that the composite form adds
+    before the passivity penalty.  Barrier stages need a fixed number of executors.
     """
     spark = rows.sparkSession
-    context = spark.sparkContext
-    rows = rows.select(
-        "x", "y", *([coarse] if coarse else []), *([row_weight] if row_weight else [])
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    names = ["x", "y", *([coarse] if coarse else []), *([row_weight] if row_weight else [])]
+    rows = rows.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
     x_mean, x_std = array_scaler(rows, "x", False)
     y_mean, y_std = array_scaler(rows, "y", True)
     wanted = np.ones(len(y_mean)) if output_weights is None else np.asarray(output_weights, dtype=float)
     # The requested weight is one on physical error, not on the scaled column.
     column_weight = wanted * y_std**2
     column_weight = column_weight / column_weight.mean()
-    sizes = [len(x_mean), *hidden, len(y_mean)]
-    weights, biases = xavier(sizes, seed)
+    weights, biases = xavier([len(x_mean), *hidden, len(y_mean)], seed)
     model = DenseModel(weights, biases, activation, x_mean, x_std, y_mean, y_std)
-    # Plain double columns reach the tasks as whole Arrow buffers; arrays would
-    # be unpacked row by row in every step.
-    xs, ys = [f"x{k}" for k in range(len(x_mean))], [f"y{k}" for k in range(len(y_mean))]
-    cs = [f"c{k}" for k in range(len(y_mean))] if coarse else []
-
-    def spread(df: DataFrame, weight: Column) -> DataFrame:
-        return df.select(
-            *[F.get("x", F.lit(k)).cast("double").alias(n) for k, n in enumerate(xs)],
-            *[F.get("y", F.lit(k)).cast("double").alias(n) for k, n in enumerate(ys)],
-            *[F.get(coarse, F.lit(k)).cast("double").alias(n) for k, n in enumerate(cs)],
-            weight.cast("double").alias("w"),
-            F.xxhash64("x", "y").alias("h"),
-        )
-
-    data = spread(rows, F.col(row_weight) if row_weight else F.lit(1.0))
-    shapes = [w.shape for w in weights] + [b.shape for b in biases]
-    total = sum(int(np.prod(s)) for s in shapes)
     penalised = passivity_penalty > 0 and passivity_target is not None
+    goal = Objective(model, column_weight, passivity_target, passivity_penalty if penalised else 0.0, bool(coarse), extra_gradient)
+
+    # Plain scaled double columns reach the tasks as whole Arrow buffers.
+    def spread(df: DataFrame, weight: Column, checking: bool) -> DataFrame:
+        scaled = lambda c, mean, std: [
+            ((F.get(c, F.lit(k)).cast("double") - F.lit(float(m))) / F.lit(float(d))).alias(f"{c}{k}")
+            for k, (m, d) in enumerate(zip(mean, std))
+        ]
+        added = [F.get(coarse, F.lit(k)).cast("double").alias(f"c{k}") for k in range(len(y_mean) if coarse else 0)]
+        return df.select(
+            *scaled("x", x_mean, x_std), *scaled("y", y_mean, y_std), *added, weight.cast("double").alias("w"),
+            F.lit(checking).alias("checking"), F.xxhash64("x", "y").alias("h") if batch_share < 1.0 else F.lit(0).cast("long").alias("h"),
+        )
 
-    def batch_of(step: int) -> DataFrame:
-        if batch_share >= 1.0:
-            return data
-        return data.where(F.pmod(F.xxhash64(F.lit(step), "h"), F.lit(1_000_000)) < int(batch_share * 1_000_000))
-
-    def raw_matrix(pdf, scaled):
-        raw = scaled * y_std + y_mean
-        return raw + pdf[cs].to_numpy() if cs else raw
-
-    def stacked(raw: np.ndarray) -> np.ndarray:
-        half = raw.shape[1] // 2
-        ports = int(round(half**0.5))
-        return (raw[:, :half] + 1j * raw[:, half:]).reshape(-1, ports, ports)
+    data = spread(rows, F.col(row_weight) if row_weight else F.lit(1.0), False)
+    if check is not None:
+        data = data.unionByName(spread(check.select("x", "y", *([coarse] if coarse else [])), F.lit(1.0), True))
+    tasks = workers or max(1, min(MOST_WORKERS, spark.sparkContext.defaultParallelism))
+    data = data.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    has_check = check is not None
 
-    def spread_pass(shared):
-        def work(batches):
-            n, squares = 0, 0.0
-            for pdf in batches:
-                m = shared.value
-                scaled = m.hidden((pdf[xs].to_numpy() - x_mean) / x_std)[-1]
-                stack = stacked(raw_matrix(pdf, scaled))
-                sigma = np.linalg.svd(stack, compute_uv=False)[:, 0]
-                _, we2 = penalty_terms(sigma, pdf["w"].to_numpy(), passivity_target)
-                n += len(pdf)
-                squares += float((we2**2).sum())
-            yield pd.DataFrame({"n": [n], "squares": [squares]})
-
-        return work
-
-    def gradient_pass(shared, rms):
+    def run(start: FitState, until: int, token: bytes) -> bytes:
         def work(batches):
-            m = shared.value
-            grads = np.zeros(total)
-            loss, n = 0.0, 0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = (pdf[xs].to_numpy() - x_mean) / x_std
-                y = (pdf[ys].to_numpy() - y_mean) / y_std
-                w = pdf["w"].to_numpy()[:, None]
-                layers = m.hidden(x)
-                error = layers[-1] - y
-                weighted = w * column_weight[None, :] * error
-                loss += float((weighted * error).sum()) / error.shape[1]
-                n += len(pdf)
-                delta = 2.0 * weighted / error.shape[1]
-                if penalised:
-                    stack = stacked(raw_matrix(pdf, layers[-1]))
-                    u, s, vh = np.linalg.svd(stack)
-                    excess, we2 = penalty_terms(s[:, 0], w[:, 0], passivity_target)
-                    loss += passivity_penalty * float(we2.sum())
-                    pull = 2.0 * passivity_penalty * w[:, 0] * excess * (1.0 + we2 / max(rms, 1e-300))
-                    top = u[:, :, :1] * vh[:, :1, :] * pull[:, None, None]
-                    flat = top.reshape(len(top), -1)
-                    delta = delta + np.concatenate([flat.real, flat.imag], axis=1) * y_std
-                if extra_gradient is not None:
-                    more, slope = extra_gradient(layers[-1], y, w[:, 0])
-                    loss += more
-                    delta = delta + slope
-                parts_w, parts_b = [], []
-                for k in range(len(m.weights) - 1, -1, -1):
-                    parts_w.append((layers[k].T @ delta).reshape(-1))
-                    parts_b.append(delta.sum(axis=0))
-                    if k:
-                        back = delta @ m.weights[k].T
-                        slope = 1.0 - layers[k] ** 2 if m.activation == "tanh" else (layers[k] > 0)
-                        delta = back * slope
-                grads += np.concatenate(parts_w[::-1] + parts_b[::-1])
-            yield pd.DataFrame({"lane": [0], "n": [n], "loss": [loss], "g": [grads]})
-
-        return work
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"lane": [int(pdf["lane"].iloc[0])], "n": [int(pdf["n"].sum())], "loss": [float(pdf["loss"].sum())], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]}
-        )
-
-    def step_sums(step: int, model_: DenseModel, source: DataFrame | None = None):
-        shared = context.broadcast(model_)
-        batch = batch_of(step) if source is None else source
-        rms = 0.0
-        if penalised:
-            row = (
-                batch.mapInPandas(spread_pass(shared), "n long, squares double")
-                .agg(F.sum("n").alias("n"), F.sum("squares").alias("s"))
-                .first()
-            )
-            rms = float(np.sqrt(row["s"] / max(row["n"], 1)))
-        sums = batch.mapInPandas(gradient_pass(shared, rms), "lane int, n long, loss double, g array<double>")
-        sums = sums.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(WIDE_LANES)))
-        if context.defaultParallelism > WIDE_LANES:
-            sums = sums.groupBy("lane").applyInPandas(fold, "lane int, n long, loss double, g array<double>")
-        lanes = (
-            sums.withColumn("lane", F.pmod("lane", F.lit(GRADIENT_LANES)))
-            .groupBy("lane")
-            .applyInPandas(fold, "lane int, n long, loss double, g array<double>")
-            .collect()
-        )
-        n = sum(r["n"] for r in lanes)
-        loss = sum(r["loss"] for r in lanes) / max(n, 1) + (passivity_penalty * rms if penalised else 0.0)
-        gradient = np.sum([np.array(r["g"]) for r in lanes], axis=0) / max(n, 1)
-        shared.unpersist()
-        return loss, gradient
-
-    flat = np.concatenate([w.reshape(-1) for w in weights] + list(biases))
-    first, second = np.zeros(total), np.zeros(total)
-    best, best_flat, best_step = np.inf, flat.copy(), 0
-
-    def unpack(vector):
-        out, at = [], 0
-        for shape in shapes:
-            size = int(np.prod(shape))
-            out.append(vector[at : at + size].reshape(shape))
-            at += size
-        return out[: len(weights)], out[len(weights) :]
-
-    checking = None
-    if check is not None:
-        check = check.persist(StorageLevel.MEMORY_AND_DISK)
-        checking = spread(check, F.lit(1.0))
-    for step in range(1, epochs + 1):
-        model.weights, model.biases = unpack(flat)
-        loss, gradient = step_sums(step, model)
-        judged = loss
-        if checking is not None and step % check_interval == 0:
-            judged, _ = step_sums(step, model, checking)
-        model.history.append((step, float(loss), float(judged)))
-        if checking is None or step % check_interval == 0:
-            if judged < best:
-                best, best_flat, best_step = judged, flat.copy(), step
-            elif step - best_step >= patience:
-                break
-        first = BETA1 * first + (1 - BETA1) * gradient
-        second = BETA2 * second + (1 - BETA2) * gradient**2
-        flat = flat - learning_rate * (first / (1 - BETA1**step)) / (np.sqrt(second / (1 - BETA2**step)) + EPSILON)
-    model.weights, model.biases = unpack(best_flat)
+            import pyarrow as pa
+            from pyspark import BarrierTaskContext
+
+            at = start
+            width = goal.inputs + goal.outputs * (2 if goal.coarse else 1) + 1
+            train, judge, marks = Rows(width), Rows(width), []
+            for batch in batches:
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:width]])
+                checking = np.asarray(batch.column(width).to_numpy(zero_copy_only=False), bool)
+                train.add(values[~checking])
+                judge.add(values[checking])
+                if batch_share < 1.0:
+                    marks.append(batch.column(width + 1).to_numpy()[~checking])
+            mark = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+            tree = TreeSum(BarrierTaskContext.get(), token)
+            while at.step < until and not at.done:
+                at.step += 1
+                goal.load(at.flat)
+                total = tree.total(goal.sums(_batch(train, mark, at.step, batch_share)))
+                loss = judged = goal.loss(total)
+                looked = not has_check or at.step % check_interval == 0
+                if has_check and looked:
+                    judged = goal.loss(tree.total(goal.sums(judge.chunks(), False)))
+                at.history.append((at.step, loss, judged))
+                if looked and judged < at.best:
+                    at.best, at.best_flat, at.best_step = judged, at.flat.copy(), at.step
+                elif looked and at.step - at.best_step >= patience:
+                    at.done = True
+                    break
+                at.update(goal.gradient(total), learning_rate)
+            tree.close()
+            if tree.rank == 0:
+                yield pa.RecordBatch.from_pydict({"state": [pickle.dumps(at)]})
+
+        # Spark starts a failed barrier stage again only if a shuffle follows it.
+        return data.mapInArrow(work, "state binary", barrier=True).repartition(1).collect()[0]["state"]
+
+    flat = goal.flat()
+    at = FitState(flat, np.zeros(len(flat)), np.zeros(len(flat)), flat.copy())
+    saved = _last_state(spark, state)
+    if saved is not None:
+        at = saved
+    while at.step < epochs and not at.done:
+        packed = run(at, min(epochs, at.step + save_interval), uuid.uuid4().bytes)
+        at = pickle.loads(packed)
+        if state:
+            spark.createDataFrame([(at.step, packed)], "step int, state binary").write.mode("append").parquet(state)
+    goal.load(at.best_flat)
+    model.history = at.history
+    data.unpersist()
     rows.unpersist()
-    if check is not None:
-        check.unpersist()
     return model
 
 
+def _batch(train: Rows, mark: np.ndarray, step: int, share: float):
+    """All rows, or those whose hash with the step falls into the share."""
+    if share >= 1.0:
+        yield from train.chunks()
+        return
+    done = 0
+    for rows in train.chunks():
+        with np.errstate(over="ignore"):
+            x = mark[done : done + len(rows)].view(np.uint64) ^ (np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = x ^ (x >> np.uint64(31))
+        done += len(rows)
+        yield rows[(x % np.uint64(1_000_000)) < np.uint64(int(share * 1_000_000))]
+
+
+def _last_state(spark, folder: str | None) -> FitState | None:
+    """The latest state in ``folder``; None where nothing was saved yet."""
+    if not folder:
+        return None
+    try:
+        last = spark.read.parquet(folder).orderBy(F.desc("step")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return pickle.loads(last["state"]) if last else None
+
+
 def project_outputs(model: DenseModel, projection: np.ndarray) -> DenseModel:
     """Fold a linear map of the physical outputs into the last layer."""
     scaled = (model.y_std[:, None] / model.y_std[None, :]) * projection

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 from functools import reduce
 
@@ -161,53 +163,106 @@ def design_scores(table: DataFrame, design: str, index: str, axes: Sequence[str]
 
 # --- Sobol -------------------------------------------------------------------
 
-# Primitive polynomials and initial direction numbers of the
-# first dimensions (Joe and Kuo, new-joe-kuo-6): degree, coefficients, m.
-SOBOL_TABLE = (
-    (1, 0, (1,)),
-    (2, 1, (1, 3)),
-    (3, 1, (1, 3, 1)),
-    (3, 2, (1, 1, 1)),
-    (4, 1, (1, 1, 3, 3)),
-    (4, 4, (1, 3, 5, 13)),
-    (5, 2, (1, 1, 5, 5, 17)),
-    (5, 4, (1, 1, 5, 5, 5)),
-    (5, 7, (1, 1, 7, 11, 19)),
+# Initial direction numbers of the first dimensions (Joe and Kuo,
+# new-joe-kuo-6).  Later dimensions draw theirs by rule.
+SOBOL_INITIAL = (
+    (1,),
+    (1, 3),
+    (1, 3, 1),
+    (1, 1, 1),
+    (1, 1, 3, 3),
+    (1, 3, 5, 13),
+    (1, 1, 5, 5, 17),
+    (1, 1, 5, 5, 5),
+    (1, 1, 7, 11, 19),
 )
-SOBOL_BITS = 30
-
-
-def sobol_directions(dimension: int) -> list[int]:
-    """Direction integers of one dimension, most significant bit first."""
-    if dimension == 0:
-        return [1 << (SOBOL_BITS - 1 - k) for k in range(SOBOL_BITS)]
-    if dimension > len(SOBOL_TABLE):
-        raise ValueError(f"Sobol designs are limited to {len(SOBOL_TABLE) + 1} dimensions")
-    degree, coefficients, initial = SOBOL_TABLE[dimension - 1]
-    m = list(initial)
-    for k in range(degree, SOBOL_BITS):
-        value = m[k - degree] ^ (m[k - degree] << degree)
-        for j in range(1, degree):
-            if coefficients >> (degree - 1 - j) & 1:
-                value ^= m[k - j] << j
-        m.append(value)
-    return [m[k] << (SOBOL_BITS - 1 - k) for k in range(SOBOL_BITS)]
+# As many bits as a double keeps below one.
+SOBOL_BITS = 52
+
+
+def _is_primitive(polynomial: int, degree: int) -> bool:
+    """True if x generates all non-zero residues of the polynomial over GF(2)."""
+
+    def times(a: int, b: int) -> int:
+        out = 0
+        while b:
+            if b & 1:
+                out ^= a
+            a <<= 1
+            if a >> degree:
+                a ^= polynomial
+            b >>= 1
+        return out
+
+    def power(e: int) -> int:
+        out, x = 1, 2 if degree > 1 else 1
+        while e:
+            if e & 1:
+                out = times(out, x)
+            x = times(x, x)
+            e >>= 1
+        return out
+
+    order = (1 << degree) - 1
+    rest, factors, n = order, set(), 2
+    while n * n <= rest:
+        while rest % n == 0:
+            factors.add(n)
+            rest //= n
+        n += 1
+    factors |= {rest} - {1}
+    return power(order) == 1 and all(power(order // f) != 1 for f in factors)
+
+
+def primitive_polynomials(count: int) -> list[tuple[int, int]]:
+    """(degree, polynomial) in order of degree and then of value."""
+    found: list[tuple[int, int]] = []
+    degree = 1
+    while len(found) < count:
+        for polynomial in range((1 << degree) + 1, 2 << degree, 2):
+            if len(found) < count and _is_primitive(polynomial, degree):
+                found.append((degree, polynomial))
+        degree += 1
+    return found
+
+
+def sobol_directions(dimensions: int) -> list[list[int]]:
+    """Direction integers of each dimension, most significant bit first."""
+    out = [[1 << (SOBOL_BITS - 1 - k) for k in range(SOBOL_BITS)]]
+    for axis, (degree, polynomial) in enumerate(primitive_polynomials(dimensions - 1)):
+        if axis < len(SOBOL_INITIAL):
+            m = list(SOBOL_INITIAL[axis])
+        else:  # any odd number below 2^(k + 1) may stand at place k
+            draw = random.Random(axis)
+            m = [2 * draw.randrange(1 << k) + 1 for k in range(degree)]
+        for k in range(degree, SOBOL_BITS):
+            value = m[k - degree] ^ (m[k - degree] << degree)
+            for j in range(1, degree):
+                if polynomial >> (degree - j) & 1:
+                    value ^= m[k - j] << j
+            m.append(value)
+        out.append([m[k] << (SOBOL_BITS - 1 - k) for k in range(SOBOL_BITS)])
+    return out[:dimensions]
 
 
 def sobol(
     rows: DataFrame, index: str, dimensions: int, seed: int = 0, scramble: bool = False, skip: int = 0, prefix: str = "u"
 ) -> DataFrame:
-    """Sobol coordinates of 0-based row numbers (Gray-code order).  The scramble
-    is a digital shift, which differs from a nested one."""
+    """Sobol coordinates of 0-based row numbers below 2^52 (Gray-code order).  The
+    scramble is a digital shift, which differs from a nested one."""
     at = (F.col(index) + F.lit(skip)).cast("long")
     gray = at.bitwiseXOR(F.shiftright(at, 1))
+
+    def mixed(table: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.length(F.bin(gray))),
+            F.lit(0).cast("long"),
+            lambda sum_, k: sum_.bitwiseXOR(F.element_at(table, k) * F.getbit(gray, k - 1)),
+        )
+
     coords = {}
-    for d in range(dimensions):
-        terms = [
-            F.when(F.shiftright(gray, k).bitwiseAND(F.lit(1)) == 1, F.lit(v)).otherwise(F.lit(0))
-            for k, v in enumerate(sobol_directions(d))
-        ]
-        bits = reduce(lambda x, y: x.bitwiseXOR(y), terms)
+    for d, directions in enumerate(sobol_directions(dimensions)):
+        bits = mixed(F.array(*[F.lit(v).cast("long") for v in directions]))
         if scramble:
             bits = bits.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(d)).bitwiseAND(F.lit((1 << SOBOL_BITS) - 1)))
         coords[f"{prefix}{d}"] = bits.cast("double") / F.lit(float(1 << SOBOL_BITS))
@@ -239,6 +294,38 @@ def grid_capacity(sizes: Sequence[int]) -> int:
     return total
 
 
+def grid_steps(p: dict, places: int) -> tuple[int, int]:
+    """First and last step of one axis on its decimal grid."""
+    step = p.get("unit_scale", 1.0)
+    low, high = p["lower"] / step * 10**places, p["upper"] / step * 10**places
+    return math.ceil(low - 1e-12 * max(1.0, abs(low))), math.floor(high + 1e-12 * max(1.0, abs(high)))
+
+
+def free_grid_points(
+    spark: SparkSession, domain: Sequence[dict], places: int, count: int, seed: int, taken: DataFrame | None
+) -> DataFrame:
+    """``count`` points of the grid that are not taken, chosen by hash (all, if fewer); ``row`` numbers the grid.
+
+    Point numbers are turned into one step per axis, so nothing is listed twice.
+    """
+    from ..functions.units import round_to_grid
+
+    names, rest = [p["name"] for p in domain], F.col("id")
+    steps = [grid_steps(p, places) for p in domain]
+    table = spark.range(grid_capacity([hi - lo + 1 for lo, hi in steps]))
+    values = {}
+    for p, (lo, hi) in zip(domain, steps):
+        step = F.lit(float(p.get("unit_scale", 1.0)))
+        value = (F.pmod(rest, F.lit(hi - lo + 1)) + F.lit(lo)).cast("double") / F.lit(10.0**places) * step
+        values[p["name"]] = round_to_grid(value, F.lit(float(p["lower"])), F.lit(float(p["upper"])), step, places)
+        rest = F.call_function("div", rest, F.lit(hi - lo + 1).cast("long"))
+    table = table.withColumns(values)
+    if taken is not None:
+        table = table.join(taken.select(*names), names, "left_anti")
+    chosen = inventory.hash_ranked(table, "id", seed, count).where("chosen")
+    return chosen.select(*names, F.col("id").alias("row"))
+
+
 def unique_points(
     spark: SparkSession,
     method: str,
@@ -254,30 +341,28 @@ def unique_points(
 
     ``domain``: dicts with name, lower, upper, scale and unit_scale (bounds in
     SI).  The first design usually suffices; refills continue its order with a
-    new seed and skip, at most 32 times.
+    new seed and skip, 32 times.  What is missing then comes from the free points of
+    the grid, which is crowded by that time, in a seeded order.
     """
-    import math
-
-    sizes = []
-    for p in domain:
-        step = p.get("unit_scale", 1.0)
-        low, high = p["lower"] / step * 10**places, p["upper"] / step * 10**places
-        sizes.append(math.floor(high + 1e-12 * max(1.0, abs(high))) - math.ceil(low - 1e-12 * max(1.0, abs(low))) + 1)
+    sizes = [last - first + 1 for first, last in (grid_steps(p, places) for p in domain)]
     if count > grid_capacity(sizes):
         raise ValueError(f"only {grid_capacity(sizes)} distinct points exist, fewer than {count}")
     names = [p["name"] for p in domain]
     taken = occupied
     chosen = None
     have = 0
-    for attempt in range(REFILL_ATTEMPTS):
+    for attempt in range(REFILL_ATTEMPTS + 1):
         missing = count - have
-        batch_size = count if attempt == 0 else max(missing, min(count, max(8, 2 * len(domain))))
-        batch = unit_points(spark, method, batch_size, len(domain), seed + attempt * REFILL_SEED_STEP, skip, designs=designs)
-        skip += batch_size
-        batch = on_grid(batch, domain, places)
-        fresh = inventory.keep_first(batch, names, "row")
-        if taken is not None:
-            fresh = fresh.join(taken.select(*names), names, "left_anti")
+        if attempt == REFILL_ATTEMPTS:
+            fresh = free_grid_points(spark, domain, places, missing, seed, taken)
+        else:
+            batch_size = count if attempt == 0 else max(missing, min(count, max(8, 2 * len(domain))))
+            batch = unit_points(spark, method, batch_size, len(domain), seed + attempt * REFILL_SEED_STEP, skip, designs=designs)
+            skip += batch_size
+            batch = on_grid(batch, domain, places)
+            fresh = inventory.keep_first(batch, names, "row")
+            if taken is not None:
+                fresh = fresh.join(taken.select(*names), names, "left_anti")
         fresh = checkpointed(fresh.select(*names, (F.col("row") + F.lit(attempt * 10**12)).alias("row")))
         got = fresh.count()
         if have + got > count:

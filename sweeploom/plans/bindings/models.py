@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ...operators import acquire, align, dense, designs, metrics, ordered, quality, rational, search
 from ..export import sampled_grid
+from ..extend import extended_inventory
 from ..suggest import suggest
 from .base import RESPONSE_SQL, SAMPLES_SQL, SIGMA_SQL, query, r, response, samples, table, two_port
 from .inventories import ERROR_REGION_SQL, _regions
@@ -33,6 +34,24 @@ def halton_design(spark, folder):
     return out.select("o_orderkey", *[r(f"u{d}", 9).alias(f"u{d}") for d in range(3)])
 
 
+@query(
+    "sobol_strata",
+    """WITH RECURSIVE a AS (SELECT 0 AS axis UNION ALL SELECT axis + 1 FROM a WHERE axis < 39), n AS (SELECT count(DISTINCT p_partkey) AS n FROM part)
+    SELECT axis, CAST(power(2, floor(log2(n))) AS BIGINT) AS points, CAST(power(2, floor(log2(n))) AS BIGINT) AS cells FROM a, n""",
+)
+def sobol_strata(spark, folder):
+    """Of the first 2^k parts every interval of length 2^-k holds one point, on each of 40 axes."""
+    axes = 40
+    keys = table(spark, folder, "part").select("p_partkey").distinct()
+    numbered = ordered.global_index(keys, ["p_partkey"], ordered.index_chunk(F.col("p_partkey")), "n")
+    numbered = numbered.withColumn("i", F.col("n") - 1)
+    size = numbered.agg(F.pow(F.lit(2), F.floor(F.log2(F.count("*")))).cast("long").alias("size"))
+    points = designs.sobol(numbered.join(F.broadcast(size), F.col("i") < F.col("size")), "i", axes)
+    cells = F.array(*[F.floor(F.col(f"u{d}") * F.col("size")) for d in range(axes)])
+    spread = points.select("size", F.posexplode(cells).alias("axis", "cell"))
+    return spread.groupBy("axis").agg(F.count("*").alias("points"), F.count_distinct("cell").alias("cells"))
+
+
 @query("sobol_design")
 def sobol_design(spark, folder):
     o = table(spark, folder, "orders").select("o_orderkey")
@@ -275,6 +294,51 @@ def response_coordinates(spark, folder):
 # --- dense fits -----------------------------------------------------------------------
 
 
+EXTENSION_SQL = """
+old AS (SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey, round(c_acctbal / 1000, 1) FROM customer)),
+wanted AS (SELECT count(*) AS n FROM supplier),
+slab AS (SELECT * FROM (VALUES (0, 'w above', 6.0::DOUBLE / 30), (1, 'l below', 24.0::DOUBLE / 30 * 2 / 15), (2, 'l above', 24.0::DOUBLE / 30 * 2 / 15)) AS t(k, slab, share)),
+part_ AS (SELECT k, slab, n, n * share / (SELECT sum(share) FROM slab) AS wish FROM slab, wanted),
+rest AS (SELECT *, n - sum(floor(wish)) OVER () AS missing, row_number() OVER (ORDER BY floor(wish) - wish, k) AS up FROM part_)"""
+
+
+@query(
+    "extension_inventory",
+    f"""WITH {EXTENSION_SQL}
+    SELECT slab, CAST(floor(wish) + CASE WHEN up <= missing THEN 1 ELSE 0 END AS BIGINT) AS points, CAST(floor(wish) + CASE WHEN up <= missing THEN 1 ELSE 0 END AS BIGINT) AS inside, TRUE AS behind_old FROM rest
+    UNION ALL SELECT 'old', n, n, FALSE FROM old
+    UNION ALL SELECT 'verification', CAST(floor(n / 4) AS BIGINT), CAST(floor(n / 4) AS BIGINT), TRUE FROM wanted
+    UNION ALL SELECT 'numbered', old.n + wanted.n, old.n + wanted.n, FALSE FROM old, wanted""",
+)
+def extension_inventory(spark, folder):
+    """Customers' points and as many new ones as there are suppliers, beyond the old ranges of both axes."""
+    old = [{"name": "w", "lower": 0.0, "upper": 24.0}, {"name": "l", "lower": -1.0, "upper": 10.0}]
+    new = [{"name": "w", "lower": 0.0, "upper": 30.0}, {"name": "l", "lower": -3.0, "upper": 12.0}]
+    known = table(spark, folder, "customer").groupBy(
+        F.col("c_nationkey").cast("double").alias("w"), F.round(F.col("c_acctbal") / 1000, 1).alias("l")
+    ).agg(F.min("c_custkey").alias("row"))
+    count = table(spark, folder, "supplier").count()
+    out = extended_inventory(known.withColumn("dataset", F.lit("train")), old, new, count, count // 4, 1, "halton")
+    w, l = F.col("w"), F.col("l")  # noqa: E741
+    inside = (
+        F.when(F.col("slab") == "w above", (w > 24) & (w <= 30) & l.between(-3, 12))
+        .when(F.col("slab") == "l below", w.between(0, 24) & (l >= -3) & (l < -1))
+        .when(F.col("slab") == "l above", w.between(0, 24) & (l > 10) & (l <= 12))
+        .otherwise(w.between(0, 24) & l.between(-1, 10))
+    )
+    old_rows = F.lit(known.count())
+    named = out.select(F.coalesce("slab", F.lit("old")).alias("slab"), "dataset", "w", "l", "point_index", inside.alias("in"))
+    facts = [
+        F.count_distinct("w", "l").alias("points"), F.count_if("in").alias("inside"),
+        (F.min("point_index") > old_rows).alias("behind_old"),
+    ]
+    checks = named.where("dataset = 'verification'").groupBy(F.lit("verification").alias("slab")).agg(*facts)
+    numbered = named.agg(
+        F.lit("numbered").alias("slab"), F.count_distinct("point_index").alias("points"), F.max("point_index").alias("inside"), F.lit(False).alias("behind_old")
+    )
+    return named.groupBy("slab").agg(*facts).unionByName(checks).unionByName(numbered)
+
+
 def _training(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linestatus", "l_orderkey")
     q = F.col("l_quantity") / 48.0
@@ -306,7 +370,7 @@ def dense_predictions(spark, folder):
     return metrics.verification_metrics(long, [], ["t"], ["p"])
 
 
-@query("passivity_penalised_fit")
+@query("passivity_penalised_fit", "SELECT count(*) AS rows, TRUE AS passive FROM lineitem")
 def passivity_penalised_fit(spark, folder):
     """Fit with a passivity penalty, then contraction of what is left."""
     model = _model(spark, folder, passivity_target=0.4, passivity_penalty=1.0)
@@ -319,6 +383,33 @@ def passivity_penalised_fit(spark, folder):
     return sigma.agg(F.count("*").alias("rows"), (F.max("s") <= 1.0).alias("passive"))
 
 
+@query("composite_passivity_fit", "SELECT count(*) AS rows, TRUE AS passive, TRUE AS learned, TRUE AS milder FROM lineitem")
+def composite_passivity_fit(spark, folder):
+    """A residual over a coarse response, fitted under the passivity of their sum."""
+    q = F.col("l_quantity") / 48.0
+    coarse = F.array(q * 0.4, *[F.lit(0.0)] * 6, q * 0.1)
+    rows = table(spark, folder, "lineitem").select(
+        "l_linestatus", F.array(q, F.col("l_discount") * 10).alias("x"), coarse.alias("coarse"),
+        F.array(q * 0.1, q * 0.2, q * 0.2, F.col("l_discount"), q * 0.0, q * 0.1, q * 0.1, F.col("l_discount") * 0.5).alias("y"),
+    )
+    learn = rows.where("l_linestatus = 'F'")
+    options = {"epochs": 60, "learning_rate": 0.05, "seed": 7, "coarse": "coarse"}
+    plain = dense.fit(learn, [6], **options)
+    held = dense.fit(learn, [6], passivity_target=0.4, passivity_penalty=1.0, **options)
+
+    def largest(model):
+        response = dense.compose(F.col("prediction"), F.col("coarse"), "residual")
+        return dense.predict(rows, model).withColumn("response", response)
+
+    worst = [largest(m).agg(F.max(quality.largest_singular(F.col("response")))).first()[0] for m in (plain, held)]
+    factor = dense.contraction(largest(held), "response", margin=0.02)
+    scaled = largest(held).select((quality.largest_singular(F.col("response")) * F.lit(factor)).alias("s"))
+    return scaled.agg(
+        F.count("*").alias("rows"), (F.max("s") <= 1.0).alias("passive"),
+        F.lit(held.history[-1][1] < held.history[0][1]).alias("learned"), F.lit(worst[1] < worst[0]).alias("milder"),
+    )
+
+
 @query(
     "composite_response",
     """SELECT l_orderkey, l_linenumber, l_partkey, round((l_discount + l_tax) * 0.9, 9) AS residual, round(l_discount * 0.9, 9) AS plain FROM lineitem""",
@@ -441,6 +532,35 @@ def error_focus(spark, folder):
     return out.select("id", r("focus", 3).alias("focus"))
 
 
+HYBRID_SQL = """
+RECURSIVE share AS (SELECT r.regime, k.k, CASE k.k WHEN 0 THEN r.e WHEN 1 THEN r.u ELSE r.c END AS share FROM
+    (VALUES ('sparse-error-observations', 0.35::DOUBLE, 0.35::DOUBLE, 0.30::DOUBLE), ('plateau', 0.40, 0.25, 0.35),
+     ('far-from-target', 0.60, 0.20, 0.20), ('near-target', 0.45, 0.25, 0.30), ('balanced', 0.50, 0.25, 0.25)) AS r(regime, e, u, c),
+    (VALUES (0), (1), (2)) AS k(k)),
+counts AS (SELECT DISTINCT count(*) % 61 AS n FROM orders GROUP BY o_custkey UNION SELECT DISTINCT p_partkey % 61 FROM part),
+base AS (SELECT n, regime, k, n * share AS wish, greatest(floor(n * share), CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS base FROM counts, share),
+ranked AS (SELECT *, n - sum(base) OVER (PARTITION BY n, regime) AS missing,
+    row_number() OVER (PARTITION BY n, regime ORDER BY base - wish, k) AS up,
+    row_number() OVER (PARTITION BY n, regime ORDER BY base > 1 DESC, base - wish DESC, k) AS down FROM base),
+given AS (SELECT n, regime, k, CAST(base + CASE WHEN up <= missing THEN 1 ELSE 0 END - CASE WHEN down <= -missing THEN 1 ELSE 0 END AS BIGINT) AS g FROM ranked),
+wide AS (SELECT n, regime, max(g) FILTER (k = 0) AS e, max(g) FILTER (k = 1) AS u, max(g) FILTER (k = 2) AS c FROM given GROUP BY n, regime),
+steps AS (SELECT n, regime, e, u, c, 0 AS step, 0 AS de, 0 AS du, 0 AS dc, '' AS plan FROM wide
+    UNION ALL SELECT n, regime, e, u, c, step + 1, de + (pick = 'e')::INT, du + (pick = 'u')::INT, dc + (pick = 'c')::INT, plan || pick FROM (
+      SELECT *, CASE WHEN be >= bu AND be >= bc THEN 'e' WHEN bu >= bc THEN 'u' ELSE 'c' END AS pick FROM (
+        SELECT *, CASE WHEN de < e THEN e * (step + 1) - n * de ELSE -1000000 END AS be, CASE WHEN du < u THEN u * (step + 1) - n * du ELSE -1000000 END AS bu,
+          CASE WHEN dc < c THEN c * (step + 1) - n * dc ELSE -1000000 END AS bc FROM steps WHERE step < n)))"""
+
+
+@query("hybrid_schedules", f"WITH {HYBRID_SQL} SELECT n, regime, plan FROM steps WHERE step = n")
+def hybrid_schedules(spark, folder):
+    """Order of the kinds for every regime and batch size that the orders and parts give."""
+    per_customer = table(spark, folder, "orders").groupBy("o_custkey").agg((F.count("*") % 61).alias("n")).select("n")
+    sizes = per_customer.unionByName(table(spark, folder, "part").select((F.col("p_partkey") % 61).alias("n"))).distinct()
+    regimes = F.explode(F.array(*[F.lit(name) for name in acquire.HYBRID_SHARES]))
+    plans = sizes.withColumn("regime", regimes).withColumn("kinds", acquire.hybrid_plan(F.col("n"), F.col("regime")))
+    return plans.select("n", "regime", F.array_join(F.transform("kinds", lambda k: F.substring(k, 1, 1)), "").alias("plan"))
+
+
 @query("ucb_batch")
 def ucb_batch(spark, folder):
     """Four points by upper confidence bound and distance to existing points."""

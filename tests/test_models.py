@@ -1,9 +1,15 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from sweeploom.functions.complexmath import from_matrices, y_to_s_stack
 from sweeploom.operators import acquire, dense, designs, rational, search
+from sweeploom.plans import extend
 
 
 def sweep_rows(spark, groups, n, seed=0):
@@ -84,6 +90,118 @@ def test_passivity_penalty_reduces_sigma(spark):
     assert abs(held.predict(x)[0, 0]) < abs(plain.predict(x)[0, 0])
 
 
+def line_rows(spark, n=200):
+    rng = np.random.default_rng(0)
+    return spark.createDataFrame(
+        [([float(a), float(b)], [float(2 * a - b), float(a * b)]) for a, b in rng.uniform(-1, 1, (n, 2))],
+        "x array<double>, y array<double>",
+    )
+
+
+LOST_TASK = """
+import os
+import sys
+import numpy as np
+from pyspark.sql import SparkSession
+from sweeploom.operators import dense
+
+spark = SparkSession.builder.master("local[3,4]").config("spark.ui.enabled", "false").getOrCreate()
+rng = np.random.default_rng(0)
+rows = [([float(a), float(b)], [float(2 * a - b), float(a * b)]) for a, b in rng.uniform(-1, 1, (200, 2))]
+df = spark.createDataFrame(rows, "x array<double>, y array<double>")
+seen, mark = [], sys.argv[1]
+
+def once_lost(out, y, w):
+    from pyspark import BarrierTaskContext
+
+    seen.append(1)
+    if len(seen) == 3 and BarrierTaskContext.get().partitionId() == 1 and not os.path.exists(mark):
+        open(mark, "w").close()
+        raise OSError("lost")
+    return 0.0, np.zeros_like(out)
+
+options = {"epochs": 12, "learning_rate": 0.05, "workers": 3}
+want = dense.fit(df, [3], **options)
+got = dense.fit(df, [3], save_interval=5, extra_gradient=once_lost, **options)
+np.testing.assert_allclose([h[1:] for h in got.history], [h[1:] for h in want.history], rtol=1e-9)
+"""
+
+
+def test_a_lost_task_starts_the_stage_again_from_the_saved_steps(tmp_path):
+    # A session of its own: the shared one gives up after the first failure of a task.
+    mark = tmp_path / "lost"
+    made = subprocess.run(
+        [sys.executable, "-c", LOST_TASK, str(mark)], env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300
+    )
+    assert made.returncode == 0, made.stderr[-2000:]
+    assert mark.exists()
+
+
+def test_a_fit_goes_on_from_its_folder(spark, tmp_path):
+    df, folder = line_rows(spark), str(tmp_path / "state")
+    options = {"learning_rate": 0.05, "workers": 2, "save_interval": 4}
+    want = dense.fit(df, [3], epochs=12, **options)
+    dense.fit(df, [3], epochs=8, state=folder, **options)
+    got = dense.fit(df, [3], epochs=12, state=folder, **options)
+    assert spark.read.parquet(folder).count() == 3
+    np.testing.assert_allclose([h[1] for h in got.history], [h[1] for h in want.history], rtol=1e-9)
+
+
+def test_shares_checks_and_extra_terms_of_a_fit(spark):
+    df = line_rows(spark)
+    model = dense.fit(df, [3], epochs=30, learning_rate=0.05, batch_share=0.5, check=df.limit(40), check_interval=5, patience=10)
+    assert min(h[2] for h in model.history) < model.history[0][2]
+
+    def pull(out, y, w):  # the same squared error once more
+        return float(((out - y) ** 2).sum()) / out.shape[1], 2.0 * (out - y) / out.shape[1]
+
+    # With equal spreads of both outputs the weights of the columns are one.
+    even = df.select("x", F.array(F.col("y")[0], -F.col("y")[0]).alias("y"))
+    one, two = (dense.fit(even, [], epochs=5, learning_rate=0.05, extra_gradient=e) for e in (None, pull))
+    np.testing.assert_allclose(two.history[0][1], 2 * one.history[0][1], rtol=1e-9)
+
+
+def test_composite_penalty_equals_the_sum_of_both_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [([float(a)], [0.9 + 0.1 * float(a), 0.0], [0.2, 0.1], [1.1 + 0.1 * float(a), 0.1]) for a in rng.uniform(-1, 1, 50)]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>, c array<double>, whole array<double>")
+    options = {"epochs": 15, "learning_rate": 0.05, "passivity_target": 1.0, "passivity_penalty": 2.0}
+    # Fitting the residual with its coarse part must see the same excess as fitting the whole response,
+    # because a constant coarse response only moves the mean of the outputs.
+    whole = dense.fit(df.select("x", F.col("whole").alias("y")), [], **options)
+    parts = dense.fit(df.select("x", "y", "c"), [], coarse="c", **options)
+    np.testing.assert_allclose([h[1] for h in parts.history], [h[1] for h in whole.history], rtol=1e-9)
+
+
+def test_sobol_tells_far_indexes_apart(spark):
+    assert [p for _, p in designs.primitive_polynomials(5)] == [0b11, 0b111, 0b1011, 0b1101, 0b10011]
+    far = designs.sobol(spark.createDataFrame([(5,), ((1 << 31) + 5,), ((1 << 51) + 5,)], "i long"), "i", 40).collect()
+    assert len({r["u39"] for r in far}) == 3 and all(0 <= v < 1 for r in far for v in r[1:])
+    rows = designs.sobol(spark.range(1 << 6).withColumnRenamed("id", "i"), "i", 40).collect()
+    for axis in range(40):
+        assert sorted(int(r[f"u{axis}"] * 64) for r in rows) == list(range(64))
+
+
+def test_range_extension(spark):
+    one = [{"name": "w", "lower": 0.0, "upper": 1.0}]
+    known = spark.createDataFrame([(1, 0.0, "training"), (2, 1.0, "Verify")], "row long, w double, dataset string")
+    out = extend.extended_inventory(known, one, [{**one[0], "upper": 2.0}], 1, 0, 0, "halton").orderBy("point_index").collect()
+    assert [(r.w, r.dataset, r.slab) for r in out] == [(0.0, "train", None), (1.0, "verification", None), (2.0, "train", "w above")]
+    two = [{"name": "w", "lower": 1.0, "upper": 10.0, "scale": "log"}, {"name": "l", "lower": 0.0, "upper": 2.0}]
+    wide = [{**two[0], "upper": 12.0}, {**two[1], "lower": -1.0, "upper": 3.0}]
+    parts = extend.slabs(two, wide, 0)
+    assert [p["name"] for p in parts] == ["w above", "l below", "l above"] and [p["capacity"] for p in parts] == [10, 10, 10]
+    # Every free point of the added part, and not one more.
+    known = spark.createDataFrame([(1, 2.0, 1.0, "train"), (2, 11.0, -1.0, "train")], "row long, w double, l double, dataset string")
+    out = extend.extended_inventory(known, two, wide, 29, 9, 0, "latin-hypercube").collect()
+    points = {(r.w, r.l) for r in out}
+    assert len(out) == len(points) == 31
+    assert points == {(float(w), float(l)) for w in range(1, 13) for l in range(-1, 4) if w > 10 or not 0 <= l <= 2} | {(2.0, 1.0)}
+    assert sum(r.dataset == "verification" for r in out) == 9 and sorted(r.point_index for r in out) == list(range(1, 32))
+    with pytest.raises(ValueError, match="only 29 free points"):
+        extend.extended_inventory(known, two, wide, 30, 0, 0)
+
+
 def test_projection_makes_outputs_reciprocal():
     w, b = dense.xavier([2, 3, 8], 0)
     model = dense.DenseModel(w, b, "tanh", np.zeros(2), np.ones(2), np.arange(8.0), np.arange(1.0, 9.0))
@@ -118,7 +236,13 @@ def test_hybrid_shares_add_up():
         for n in range(0, 25):
             given = acquire.hybrid_allocation(n, regime)
             assert sum(given.values()) == n and (n < 3 or min(given.values()) >= 1)
-            assert sorted(acquire.hybrid_schedule(given)) == sorted(k for k, v in given.items() for _ in range(v))
+            order = acquire.hybrid_schedule(given)
+            assert sorted(order) == sorted(k for k, v in given.items() for _ in range(v))
+            # No kind is ever a whole pick ahead of its share.
+            for step in range(1, n + 1):
+                assert all(order[:step].count(k) * n < v * step + n for k, v in given.items())
+    letters = "".join(k[0] for k in acquire.hybrid_schedule({"exploitation": 6, "uncertainty": 2, "coverage": 2}))
+    assert letters == "eueceeuece"
 
 
 def test_greedy_equals_brute_force(spark):
