@@ -74,13 +74,34 @@ def common_numeric_parameters(spark, folder):
     return align.numeric_parameters(_blocks(spark, folder))
 
 
-@query("log_file_lines", "SELECT count(*) * 3 + count(*) FILTER (event_type = 'click') + count(*) FILTER (event_type = 'error') AS lines FROM events")
+LINES_SQL = """
+lines AS (
+  SELECT 'Frequency = ' || CAST(floor(value) AS BIGINT) || ' GHz' AS line FROM events WHERE event_type = 'click'
+  UNION ALL SELECT 'Newton solver:      Linear solver:' FROM events
+  UNION ALL SELECT 'Iter KCL residual Damp Iters Residual' FROM events
+  UNION ALL SELECT '1 mA 100.0 ' || CAST(floor(value) AS BIGINT) || ' 1.0e-3' FROM events
+  UNION ALL SELECT 'Analysis failed to converge' FROM events WHERE event_type = 'error')"""
+
+
+@query(
+    "log_file_lines",
+    f"""WITH {LINES_SQL} SELECT charset, line, CAST(count(*) AS BIGINT) AS times, TRUE AS numbered
+    FROM lines, (VALUES ('UTF-8'), ('UTF-16LE'), ('UTF-16BE')) AS c(charset) GROUP BY charset, line""",
+)
 def log_file_lines(spark, folder):
-    """Log text written as files and read back with line numbers."""
-    path = scratch(spark, "logs")
-    _log_lines(spark, folder).select(F.col("line").alias("value")).write.text(path)
-    lines = textlogs.read_lines(spark, f"{path}/part-*")
-    return lines.where("line != ''").agg(F.count("*").alias("lines"))
+    """Log text written in three encodings and read back in splits with line numbers."""
+    lines = _log_lines(spark, folder).select(F.regexp_replace("line", r"^1 \S+ mA", "1 mA").alias("line"))
+    out = None
+    for charset in ("UTF-8", "UTF-16LE", "UTF-16BE"):
+        path = scratch(spark, "logs")
+        # Lines without quotes and separators: the text sink itself knows UTF-8 only.
+        lines.write.option("encoding", charset).option("sep", "\x01").option("quote", "").csv(path)
+        back = textlogs.read_lines(spark, f"{path}/part-*", split_bytes=1 << 20).withColumn("charset", F.lit(charset))
+        out = back if out is None else out.unionByName(back)
+    whole = out.groupBy("charset", "log").agg((F.max("line_number") == F.count_distinct("line_number")).alias("numbered"))
+    fine = whole.groupBy("charset").agg(F.every("numbered").alias("numbered"))
+    counts = out.groupBy("charset", "line").agg(F.count("*").alias("times"))
+    return counts.join(F.broadcast(fine), "charset")  # one row an encoding
 
 
 @query(

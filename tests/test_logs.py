@@ -77,14 +77,3 @@ def test_timing_and_unassigned_messages(parsed):
     assert (timing["paired"]["wall_clock_seconds"], timing["paired"]["cpu_time_seconds"]) == (123.5, 7.25)
     table = solverlogs.message_table(notes).where("log = 'paired'").collect()
     assert [(r["message"], r["scope"]) for r in table] == [("aborted", "unassigned")]
-
-
-def test_utf16_without_a_mark_is_known_at_any_size():
-    from sweeploom.sources.textlogs import decode
-
-    text = "字" * 800 + "\nFrequency = 2 GHz\nvalue 1\nvalue 2\nvalue 3\n"
-    for name in ("utf-16-le", "utf-16-be"):
-        for times in (1, 40):
-            body = ("label\n" + text) * times
-            assert decode(body.encode(name)) == body
-    assert decode(text.encode()) == text

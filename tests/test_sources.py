@@ -1,4 +1,6 @@
 import json
+
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -66,11 +68,28 @@ def test_log_encodings(spark, tmp_path):
     assert got["bytes.log"][1] == "ok"
 
 
-def test_large_logs_are_numbered_over_splits(spark, tmp_path):
-    (tmp_path / "big.log").write_text("\n".join(f"line {i}" for i in range(1, 501)))
-    rows = textlogs.read_lines(spark, str(tmp_path), whole_bytes=10)
-    assert rows.where(F.col("line") != F.concat(F.lit("line "), F.col("line_number").cast("string"))).count() == 0
-    assert rows.count() == 500
+@pytest.mark.parametrize("charset", ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be"])
+def test_logs_have_the_same_lines_in_any_encoding_and_split(spark, tmp_path, charset):
+    lines = [f"line {i} é字\U0001f600 {'x' * (i % 90)}" for i in range(1, 301)] + ["", "\u0a0a\u0d0d\u0a00 no break", ""]
+    text = "".join(line + ("\r\n", "\n", "\r")[i % 3] for i, line in enumerate(lines)) + "no end"
+    want = [*enumerate([*lines, "no end"], 1)]
+    (tmp_path / "a log.txt").write_bytes(text.encode(charset))
+    for split in (64, 1_000, textlogs.SPLIT_BYTES):
+        rows = textlogs.read_lines(spark, str(tmp_path), split_bytes=split).collect()
+        assert sorted((r.line_number, r.line) for r in rows) == want
+
+
+def test_odd_logs(spark, tmp_path):
+    lone = "a\nb".encode("utf-16-le") + b"\x00\xd8" + "c".encode("utf-16-le")
+    for name, data in {"empty": b"", "ends": b"a\n\n", "nul": b"a\x00b\n\x00\x00c", "lone": lone, "mark": b"\xff\xfe", "late": b"x" * 5_000 + b"\x00\n1"}.items():
+        (tmp_path / f"{name}.log").write_bytes(data)
+    got = {}
+    for r in textlogs.read_lines(spark, str(tmp_path), split_bytes=4).collect():
+        got.setdefault(r.log.rsplit("/", 1)[1].removesuffix(".log"), {})[r.line_number] = r.line
+    assert got["ends"] == {1: "a", 2: ""} and "empty" not in got and "mark" not in got
+    # An odd number of bytes is no UTF-16, nor are bytes with half of a surrogate pair.
+    assert got["nul"] == {1: "a\x00b", 2: "\x00\x00c"}
+    assert got["lone"][1] == "a\x00" and got["late"] == {1: "x" * 5_000 + "\x00", 2: "1"}
 
 
 def test_domain_documents_and_companions(spark, tmp_path):
