@@ -18,7 +18,10 @@ repeats.  Memory is bounded by the block, not by the corpus or by the ties.
 
 A bucket with more than CROWD different segments is split: windows at the same
 distance from the anchor go together in strips of STRIP windows, each strip to
-the bucket of the bytes that all its windows share.
+the bucket of the bytes that all its windows share.  Strips that recur as a whole
+are repeats without sorting, and one of each stays.  A bucket that still has more
+than CROWD different strips is split to the end, into single windows, each known by
+two hashes of all its bytes; no bucket grows with the copies of a passage.
 """
 
 from __future__ import annotations
@@ -35,9 +38,11 @@ GRAM = 32
 CYCLE = 31
 COVER = (1, 5, 11, 24, 25, 27)  # differences modulo 31 give every number from 0 to 30
 PART_BYTES = 1 << 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 CROWD = 1_000
 STRIP = 32
+# Keys that the rows of one recurring strip or window are spread over.
+SALTS = 16
 _PLACE_BITS = np.uint64(24)
 
 _IN_COVER = np.zeros(CYCLE, bool)
@@ -150,46 +155,74 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
     return docs.filter(F.octet_length("text") >= length).select("text", "k1", "k2").mapInArrow(run, _FOUND)
 
 
+_PIECE = "bucket long, strip boolean, whole long, k1 long, k2 long, start int, windows int, bytes binary"
+
+
 def _pieces(batches, length: int):
-    """Strings to sort: (bucket, k1, k2, start, windows, bytes)."""
+    """Strings to sort: (bucket, strip, hash of the string, k1, k2, start, windows, bytes), some MB at a time."""
     import pyarrow as pa
 
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["bucket", "strip", "whole", "k1", "k2", "start", "windows", "bytes"]
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def digest(data: bytes, key: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=key).digest(), "little", signed=True)
+
+    rows, size = [], 0
     for batch in batches:
-        raw, ends, _ = common.text_bytes(batch.column(0))
         k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        rows, bucket, starts, counts, strings = [], [], [], [], []
-        for i, wanted in enumerate(batch.column(3).to_pylist()):
-            text = raw[ends[i] : ends[i + 1]]
-            for w in wanted:
-                start, windows = w["start"], w["windows"]
-                if not w["crowded"]:
-                    rows.append(i), bucket.append(w["anchor"]), starts.append(start), counts.append(windows)
-                    strings.append(text[start : start + windows - 1 + length].tobytes())
-                    continue
-                at = 0
-                while at < windows:
-                    far = w["distance"] - at  # of the anchor from this window
-                    strip, left = divmod(far, STRIP)
-                    take = min(left + 1, windows - at)
-                    middle = start + at + left  # the last window of the strip
-                    shared = text[middle : middle - STRIP + 1 + length].tobytes()
-                    key = hashlib.blake2b(shared, digest_size=8, key=strip.to_bytes(4, "little")).digest()
-                    rows.append(i), bucket.append(int.from_bytes(key, "little", signed=True))
-                    starts.append(start + at), counts.append(take)
-                    strings.append(text[start + at : start + at + take - 1 + length].tobytes())
-                    at += take
-        rows = np.array(rows, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket, pa.int64()),
-                pa.array(k1[rows]),
-                pa.array(k2[rows]),
-                pa.array(starts, pa.int32()),
-                pa.array(counts, pa.int32()),
-                pa.array(strings, pa.binary()),
-            ],
-            names=["bucket", "k1", "k2", "start", "windows", "bytes"],
-        )
+        for lo, hi, data, ends in common.parts(batch.column(0), PART_BYTES):
+            for i, wanted in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist()):
+                text, own = data[ends[i] : ends[i + 1]], (int(k1[lo + i]), int(k2[lo + i]))
+                for w in wanted:
+                    start, windows = w["start"], w["windows"]
+                    if not w["crowded"]:
+                        string = text[start : start + windows - 1 + length].tobytes()
+                        rows.append((w["anchor"], False, 0, *own, start, windows, string))
+                        size += len(string)
+                    at = 0 if w["crowded"] else windows
+                    while at < windows:
+                        far = w["distance"] - at  # of the anchor from this window
+                        strip, left = divmod(far, STRIP)
+                        take = min(left + 1, windows - at)
+                        middle = start + at + left  # the last window of the strip
+                        shared = text[middle : middle - STRIP + 1 + length].tobytes()
+                        string = text[start + at : start + at + take - 1 + length].tobytes()
+                        bucket = digest(shared, strip.to_bytes(4, "little"))
+                        rows.append((bucket, True, digest(string, b"whole"), *own, start + at, take, string))
+                        size += len(string)
+                        at += take
+                    if size >= PART_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+    if rows:
+        yield packed(rows)
+
+
+def _single_windows(batches, length: int):
+    """Every window of the strips: (h1, h2, k1, k2, start), with two hashes of its bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        k1, k2, start, windows = (batch.column(c).to_numpy() for c in range(4))
+        for lo, hi, data, ends in common.parts(batch.column(4), PART_BYTES // 8):
+            count = windows[lo:hi].astype(np.int64)
+            own = np.repeat(np.arange(hi - lo), count)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            at = ends[own] + step
+            ahead = common.span_hashes(common.prefix_sums(data), at, at + length)
+            behind = common.span_hashes(common.prefix_sums(data[::-1]), len(data) - at - length, len(data) - at)
+            columns = [ahead.view(np.int64), behind.view(np.int64), k1[lo:hi][own], k2[lo:hi][own], (start[lo:hi][own] + step).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "k1", "k2", "start"])
+
+
+def _of_recurring(rows: DataFrame, recurring: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose key is one of ``recurring``; the rows of a key are spread over SALTS keys."""
+    salts = recurring.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("k1", "start"), F.lit(SALTS)).cast("int")).join(salts, [*keys, "salt"])
 
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -322,13 +355,14 @@ def _sorted_blocks(batches, length: int):
 
     bucket = None
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if row[0] != bucket and size >= BLOCK_BYTES:
-                yield flush()
-                held, size = [], 0
-            bucket = row[0]
-            held.append(row)
-            size += len(row[5])
+        for lo, hi, _, _ in common.parts(batch.column(5), BLOCK_BYTES):
+            for row in zip(*[c.to_pylist() for c in batch.slice(lo, hi - lo).columns]):
+                if row[0] != bucket and size >= BLOCK_BYTES:
+                    yield flush()
+                    held, size = [], 0
+                bucket = row[0]
+                held.append(row)
+                size += len(row[5])
     if held:
         yield flush()
 
@@ -358,14 +392,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     texts = docs.filter(F.octet_length("text") >= length).select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
     asked = texts.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "wanted")
-    pieces = asked.mapInArrow(
-        lambda b: _pieces(b, length), "bucket long, k1 long, k2 long, start int, windows int, bytes binary"
-    )
-    blocks = pieces.repartition("bucket").sortWithinPartitions("bucket")
+    pieces = common.stored(asked.mapInArrow(lambda b: _pieces(b, length), _PIECE), "suffix-pieces")
+    strips = pieces.filter("strip")
+    place = ["k1", "k2", "start"]
+    stop = (F.col("start") + F.col("windows") - 1 + length).alias("stop")
+    kinds = strips.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*place, "windows")).alias("at"))
+    kinds = common.stored(kinds, "suffix-strips")
+    known = _of_recurring(strips.drop("bytes"), kinds.filter("n > 1"), ["bucket", "whole"]).select(*place, stop)
+    full = kinds.groupBy("bucket").agg(F.count("*").alias("different")).filter("different > 1")
+    sorted_alone = kinds.select("bucket", "at.*").join(full.filter(F.col("different") <= CROWD), "bucket")
+    split_up = kinds.select("bucket", "at.*").join(full.filter(F.col("different") > CROWD), "bucket")
+    keys = ["bucket", *place, "windows"]
+    columns = [*keys, "bytes"]
+    blocks = pieces.filter("not strip").select(*columns).unionByName(strips.join(sorted_alone.select(*keys), keys).select(*columns))
+    blocks = blocks.repartition("bucket").sortWithinPartitions("bucket")
     sorted_ = common.stored(
         blocks.mapInArrow(lambda b: _sorted_blocks(b, length), "k1 long, k2 long, start int, stop int"), "suffix-sorted"
     )
-    spans = direct.unionByName(decided).unionByName(sorted_).distinct()
+    single = strips.join(split_up.select(*keys), keys).select(*place, "windows", "bytes").mapInArrow(
+        lambda b: _single_windows(b, length), "h1 long, h2 long, k1 long, k2 long, start int"
+    )
+    twice_there = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+    lone = _of_recurring(single, twice_there, ["h1", "h2"]).select(*place, (F.col("start") + length).alias("stop"))
+    spans = direct.unionByName(decided).unionByName(known).unionByName(lone).unionByName(sorted_).distinct()
     return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
@@ -385,50 +434,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=None) -> DataFram
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    data = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))
-    data = keyed(data)
+    others = [c for c in keep if c != "text"]
+    data = keyed(docs.select(F.col("text"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("__row")))
     spans = repeated_spans(data, length)
     both = data.join(spans, ["k1", "k2"], "left")
-    schema = T.StructType(
-        [
-            T.StructField("__row", data.schema["__row"].dataType),
-            T.StructField("n_bytes", T.LongType()),
-            T.StructField("n_removed", T.LongType()),
-            T.StructField("n_spans", T.LongType()),
-            T.StructField("kept_sha256", T.StringType()),
-            T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))),
-            T.StructField("kept_text", T.StringType()),
-        ]
-    )
+    fields = [
+        T.StructField("__row", data.schema["__row"].dataType),
+        *([docs.schema["text"]] if "text" in keep else []),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("n_spans", T.LongType()),
+        T.StructField("kept_sha256", T.StringType()),
+        T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("kept_text", T.StringType()),
+    ]
+    whole = "text" in keep
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string()]
         for batch in batches:
-            raw, ends, present = common.text_bytes(batch.column(0))
-            made = [[] for _ in range(6)]
-            for i, spans in enumerate(batch.column(2).to_pylist()):
-                data = raw[ends[i] : ends[i + 1]].tobytes()
-                runs: list[list[int]] = []
-                for s in spans or ():
-                    if runs and s["start"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["stop"])
-                    else:
-                        runs.append([s["start"], s["stop"]])
-                edges = [0, *[x for r in runs for x in r], len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else data
-                digest = hashlib.sha256(kept).hexdigest()
-                text = kept.decode("utf-8", "ignore") if present[i] else None
-                for column, value in zip(made, (len(data), len(data) - len(kept), len(runs), digest, runs, text)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string()]
-            arrays = [pa.array(m, k) for m, k in zip(made, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *arrays], names=["__row", *new])
-
-    out = both.select("text", "__row", "spans").mapInArrow(run, schema)
-    return out.select(*[F.col("__row")[c].alias(c) for c in keep], *new)
+            present = common.text_bytes(batch.column(0))[2]
+            for lo, hi, raw, ends in common.parts(batch.column(0)):
+                made = [[] for _ in range(6)]
+                for i, spans in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
+                    data = raw[ends[i] : ends[i + 1]].tobytes()
+                    runs: list[list[int]] = []
+                    for s in spans or ():
+                        if runs and s["start"] <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], s["stop"])
+                        else:
+                            runs.append([s["start"], s["stop"]])
+                    edges = [0, *[x for r in runs for x in r], len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else data
+                    digest = hashlib.sha256(kept).hexdigest()
+                    text = kept.decode("utf-8", "ignore") if present[lo + i] else None
+                    for column, value in zip(made, (len(data), len(data) - len(kept), len(runs), digest, runs, text)):
+                        column.append(value)
+                arrays = [pa.array(m, k) for m, k in zip(made, kinds)]
+                same = [batch.column(1).slice(lo, hi - lo), *([batch.column(0).slice(lo, hi - lo)] if whole else [])]
+                yield pa.RecordBatch.from_arrays([*same, *arrays], names=[f.name for f in fields])
+
+    out = both.select("text", "__row", "spans").mapInArrow(run, T.StructType(fields))
+    return out.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in keep], *new)
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, keep=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = remove_repeats(docs, keep=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.withColumn("has_repeat", F.col("n_removed") > 0)
