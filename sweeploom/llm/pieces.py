@@ -26,6 +26,8 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
+# Stands among the cuts for a sign of the text itself; no cut is empty.
+OWN_SIGN = ""
 # Below the worst score of a piece, for a character without a piece.
 PENALTY = 10.0
 # Cuts remembered in a task, and their length in characters.
@@ -50,6 +52,21 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
     return out
 
 
+class Remembered(dict):
+    """Results of recurring cuts; ``make`` gives the ones that are not there."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, cut: str) -> bytes:
+        value = self.make(cut)
+        if len(cut) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[cut] = value
+        return value
+
+
 class Pieces:
     def __init__(self, vocabulary: list[tuple[str, float, str]]) -> None:
         import ahocorasick
@@ -74,10 +91,14 @@ class Pieces:
             self.automaton.make_automaton()
         self.cuttable = whole
         self.lone = min(scores, default=0.0) - PENALTY
-        self.seen: dict[str, array] = {}
+        # Ids of a cut as 32-bit numbers, and the bytes that these ids stand for.
+        self.seen = Remembered(lambda cut: self.path(cut).tobytes())
+        self.meant = Remembered(lambda cut: b"".join(map(self.bytes_of.__getitem__, array("i", self.seen[cut]))))
 
     def path(self, text: str) -> array:
         """Ids of the best path over one cut."""
+        if text == OWN_SIGN:
+            return array("i", [self.byte_id[b] for b in SIGN.encode()])
         n = len(text)
         best = [0.0] + [float("-inf")] * n
         came: list = [None] * (n + 1)
@@ -111,29 +132,21 @@ class Pieces:
             at = start
         return array("i", ids[::-1])
 
-    def encode(self, text: str) -> array:
-        out = array("i")
-        if not text:
-            return out
-        for k, run in enumerate(text.split(SIGN)):
+    def coded(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of the text as 32-bit numbers, and the bytes that they decode to."""
+        cuts: list[str] = []
+        for k, run in enumerate(text.split(SIGN) if text else ()):
             if k:  # the text's own sign
-                out.extend(array("i", [self.byte_id[b] for b in SIGN.encode()]))
+                cuts.append(OWN_SIGN)
             signed = run.replace(" ", SIGN)
             if not k:
                 signed = SIGN + signed
-            if not self.cuttable:
-                out.extend(self.path(signed))
-                continue
-            for cut in _CUT.findall(signed):
-                ids = self.seen.get(cut)
-                if ids is None:
-                    ids = self.path(cut)
-                    if len(cut) <= SHORT:
-                        if len(self.seen) >= REMEMBERED:
-                            self.seen.clear()
-                        self.seen[cut] = ids
-                out.extend(ids)
-        return out
+            cuts += _CUT.findall(signed) if self.cuttable else [signed] * bool(signed)
+        ids = b"".join(map(self.seen.__getitem__, cuts))
+        return ids, b"".join(map(self.meant.__getitem__, cuts))
+
+    def encode(self, text: str) -> array:
+        return array("i", self.coded(text)[0])
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -164,35 +177,34 @@ def encode(docs: DataFrame, path: str = MODEL, keep=None) -> DataFrame:
         if not held:
             held["pieces"] = Pieces(shared.value)
         pieces = held["pieces"]
-        lows = {i for i, b in enumerate(pieces.bytes_of) if i in set(pieces.byte_id.values())}
         marks = np.zeros(len(pieces.bytes_of) + 1, bool)
-        marks[list(lows)] = True
-        flat, ends = array("i"), [0]
+        marks[list(pieces.byte_id.values())] = True
+        flat, ends = [], [0]
         present, low, digest, back, same = [], [], [], [], []
         for value in column:
             text = value.as_py()
-            ids = pieces.encode(text) if text is not None else array("i")
-            flat.extend(ids)
-            ends.append(len(flat))
             present.append(text is not None)
             if text is None:
+                ends.append(ends[-1])
                 low.append(0), digest.append(None), back.append(None), same.append(True)
                 continue
-            numbers = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
-            low.append(int(marks[numbers].sum()))
-            digest.append(hashlib.sha256(numbers.astype("<i4").tobytes()).hexdigest())
-            decoded = pieces.decode(ids)
-            back.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-            same.append(decoded == text)
+            ids, meant = pieces.coded(text)
+            meant = meant[1:] if meant[:1] == b" " else meant
+            flat.append(ids)
+            ends.append(ends[-1] + len(ids) // 4)
+            low.append(int(marks[np.frombuffer(ids, np.int32)].sum()))
+            digest.append(hashlib.sha256(ids).hexdigest())
+            back.append(hashlib.sha256(meant).hexdigest())
+            same.append(meant == text.encode("utf-8", "surrogatepass"))
         ends = np.array(ends)
-        numbers = pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32())
+        numbers = pa.array(np.frombuffer(b"".join(flat), np.int32))
         places = pa.array(ends.astype(np.int32), mask=np.append(~np.array(present, bool), False))
         lists = pa.ListArray.from_arrays(places, numbers)
         counts = np.diff(ends)
         return [lists, pa.array(counts, pa.int64()), pa.array(low, pa.int64()), pa.array(digest, pa.string()),
                 pa.array(back, pa.string()), pa.array(same, pa.bool_())]
 
-    return common.with_text_results(docs, docs.columns if keep is None else keep, fields, run)
+    return common.with_text_results(docs, docs.columns if keep is None else keep, fields, run, common.BATCH_BYTES)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
