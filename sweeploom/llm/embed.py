@@ -41,23 +41,24 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 3) -
     return np.unique(centre, axis=0)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector has a direction: (vec_id, unit, two hashes of the vector)."""
+def directions(vectors: DataFrame) -> DataFrame:
+    """Every row with the unit vector and two hashes of the vector; NULL where it has no direction."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     wide = F.transform(v, lambda x: x.cast("double"))
     largest = F.array_max(F.transform(wide, lambda x: F.abs(x)))
-    good = vectors.filter(v.isNotNull() & (F.size(v) > 0)).filter(fine).filter(largest > 0)
+    good = F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & (largest > 0), F.lit(False))
     # Scaling by the largest component first keeps tiny and huge vectors exact.
-    scaled = F.transform(wide, lambda x: x / largest)
-    rows = good.select("vec_id", F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("v"), v).alias("h2"), scaled.alias("s"))
+    scaled = F.when(good, F.transform(wide, lambda x: x / largest))
+    rows = vectors.select(
+        "vec_id", F.when(good, F.xxhash64(v)).alias("h1"), F.when(good, F.xxhash64(F.lit("v"), v)).alias("h2"), scaled.alias("s")
+    )
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
     return rows.withColumn("n", norm).select(
         "vec_id", "h1", "h2", F.transform("s", lambda x: x / F.col("n")).alias("unit")
     )
 
 
-
 def _same_width(column, width: int):
     """Mask of rows of the fitted width and their matrix."""
     size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
@@ -123,7 +124,10 @@ def _compare(table, cosine: float = COSINE):
     home = table.column("at").to_numpy()
     flat = table.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     unit = flat.reshape(table.num_rows, -1)
-    visits = table.column("visits").to_pylist()
+    visits = table.column("visits").combine_chunks()
+    offsets, visited = visits.offsets.to_numpy(), visits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    # Numbers of (row, visited cell); cells of other widths are negative and never visited.
+    known = np.sort(np.repeat(np.arange(table.num_rows), np.diff(offsets)) * (MOST_CELLS + 1) + visited)
     i, j = np.flatnonzero(left), np.flatnonzero(right)
     hit = unit[i] @ unit[j].T >= cosine
     hit &= rep[i][:, None] != rep[j][None, :]
@@ -132,8 +136,9 @@ def _compare(table, cosine: float = COSINE):
     links = np.zeros(table.num_rows, np.int64)
     np.add.at(links, a, copies[b])
     # A visitor that is not visited in turn is counted for its host here.
-    known = [set(v) for v in visits]
-    alone = np.array([home[p] != cell and home[p] not in known[q] for p, q in zip(a, b)], bool)
+    asked = b * (MOST_CELLS + 1) + home[a].astype(np.int64)
+    at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+    alone = (home[a] != cell) & ((known[at] != asked) if len(known) else np.ones(len(a), bool))
     np.add.at(links, b[alone], copies[a[alone]])
     root = np.arange(table.num_rows)
     while True:  # smallest row of each component of this block
@@ -153,15 +158,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors that are NULL, empty, all zero, or hold NULL or non-finite components
     link with nothing, as do vectors of different width.  Equal vectors link; an
-    empty table gives no rows.
+    empty table gives no rows.  Rows are told apart by themselves, not by their id:
+    rows that repeat an id keep their own links, and a NULL id links like any
+    other.  A component bears its smallest id that is not NULL (NULL, if it has
+    none); ``kept`` is true for every row whose id is the component's.
     """
-    units = common.stored(usable(vectors.select("vec_id", "embedding")), "embed-units")
-    reps = common.stored(
-        units.groupBy("h1", "h2").agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")
-        ),
-        "embed-reps",
+    units = common.stored(directions(vectors.select("vec_id", "embedding")), "embed-units")
+    grouped = units.filter("unit is not null").groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit")
     )
+    # A number of its own for each different vector; the table is written once, so it stays.
+    reps = common.stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "embed-reps")
     count = reps.count()
     drawn = [r["unit"] for r in reps.orderBy("h1", "h2").limit(SAMPLE).select("unit").collect()]
     if not drawn:
@@ -203,14 +210,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         reps.select(F.col("rep").alias("node")), found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = reps.join(links, "rep", "left").join(labels, F.col("node") == F.col("rep"))
-    per = per.select(
-        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("label").alias("component_id")
+    member = reps.select("rep", "h1", "h2", "least", "copies").join(labels, F.col("node") == F.col("rep"))
+    names = member.groupBy("label").agg(F.min("least").alias("component_id"))
+    per = member.join(names, "label").join(links, "rep", "left").select(
+        F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
-    whole = units.select("vec_id", "h1", "h2").join(per, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    lone = vectors.select("vec_id").join(units.select("vec_id"), "vec_id", "left_anti")
-    lone = lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return whole.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    whole = units.select("vec_id", "h1", "h2").join(per, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left")
+    component = F.when(F.col("__h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = whole.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
