@@ -31,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove byte strings that occur elsewhere; documents with nothing left go."""
-    cut = suffixes.remove_repeats(docs, keep=docs.columns)
-    left = cut.withColumn("text", F.col("kept_text")).filter(F.length("text") > 0)
+    cut = suffixes.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"])
+    left = cut.withColumnRenamed("kept_text", "text").filter(F.length("text") > 0)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
