@@ -15,10 +15,13 @@ text and pair, and joined back to these rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
 import re
+import sys
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -27,7 +30,7 @@ from . import common
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 # Characters that a tokenizer gets at a time, where a text can be cut.
 SEGMENT = 1 << 16
 # Most rows of a table of pair counts that tasks share whole; a larger one is joined by key.
@@ -35,7 +38,7 @@ SHARED_PAIRS = 1_000_000
 # Rows of one pair are spread over so many keys in that join.
 SALTS = 32
 _ID_BITS = 20
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -85,8 +88,8 @@ class Vocabulary:
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.empty = bool((self.sizes == 0).any())
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
 
     def written(self, plain: bytes, last: bytes) -> list[bytes]:
         """Each id followed by ``plain``, then each id followed by ``last``."""
@@ -101,10 +104,57 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# How the first tokenizer's file says that it splits texts, and the words of that split.
+_PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@functools.cache
+def disputed_characters() -> str:
+    """Pattern of the characters that libraries with other Unicode tables may class otherwise.
+
+    A character that was a letter, a number or neither in the oldest table at
+    hand and still is counts as settled; one without a meaning yet does not.
+    """
+
+    def kind(c: str) -> str:
+        return c if c in "LN" else "-"
+
+    out, start = [], None
+    for i in range(sys.maxunicode + 2):
+        now = unicodedata.category(chr(i)) if i <= sys.maxunicode else "Lu"
+        open_ = i <= sys.maxunicode and (now == "Cn" or kind(now[0]) != kind(unicodedata.ucd_3_2_0.category(chr(i))[0]))
+        if open_ and start is None:
+            start = i
+        elif not open_ and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return f"[{''.join(out)}]"
+
+
+def _ranked(byte_model: str, pieces: list[bytes]):
+    """A faster encoder of the same vocabulary, if its ids are the order of its merges; else None."""
+    import tiktoken
+
+    model = json.loads(byte_model)["model"]
+    vocabulary = model.get("vocab", {})
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    in_order = all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+    if model.get("type") != "BPE" or not in_order or any(len(p) != 1 for p in pieces[:256]):
+        return None
+    ranks = {pieces[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("pieces", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
-    """Both tokenizers from the content of their files."""
+    """Both tokenizers from the content of their files.
 
-    def __init__(self, byte_model: str, piece_model: bytes) -> None:
+    Where the first file's ids are the order of its merges, texts of settled
+    characters are coded by a faster library with that file's vocabulary; the
+    tests hold it against the file's own tokenizer.
+    """
+
+    def __init__(self, byte_model: str, piece_model: bytes, disputed: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on a core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -120,8 +170,9 @@ class Tokenizers:
         self.text_a = self.va.written(b",", b"|")
         self.text_b = self.vb.written(b",", b";")
         # The first tokenizer splits a text before a space between two words, and no piece of
-        # the second has a space behind another character: there a long text can be cut.
+        # the second has a space behind another character: there a text can be cut.
         split = json.loads(byte_model).get("pre_tokenizer") or {}
+        self.fast, self.disputed = _ranked(byte_model, self.va.pieces) if split == _PLAIN_SPLIT else None, re.compile(disputed)
         words = split.get("type") == "ByteLevel" and split.get("use_regex", True)
         self.cuttable = words and not any(b" " in p.lstrip(b" ") for p in self.vb.pieces)
 
@@ -142,20 +193,29 @@ class Tokenizers:
             at = cut.end()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of space + text by the first and of the text by the second tokenizer."""
+    def first_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of space + text by the first tokenizer."""
+        plain = [self.fast is not None and not self.disputed.search(t) for t in texts]
+        rest = self.a.encode_batch_fast([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        slow = iter(rest)
+        return [self.fast.encode_ordinary(" " + t) if p else next(slow).ids for t, p in zip(texts, plain)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Ids of space + text by the first and of the text by the second tokenizer, and whether both give it back."""
         cuts = [self.segments(t) for t in texts]
         flat = [c for cut in cuts for c in cut]
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
+        coded = []
         for lo, hi in common.by_bytes(flat, PART_BYTES):
             some = flat[lo:hi]
-            coded = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-            a += [np.array(e.ids, np.int32) for e in coded]
-            b += [np.array(ids, np.int32) for ids in self.b.encode(some, num_threads=1)]
-        first = np.cumsum([0, *map(len, cuts)])
-        whole = lambda ids: [np.concatenate(ids[i:j]) for i, j in zip(first[:-1], first[1:])]
-        return whole(a), whole(b)
+            for cut, a, b in zip(some, self.first_ids(some), self.b.encode(some, num_threads=1)):
+                wanted = b" " + cut.encode()
+                exact = self.va.joined(a) == wanted and self.vb.joined(b) == wanted
+                coded.append((np.array(a, np.int32), np.array(b, np.int32), exact))
+        first, out = np.cumsum([0, *map(len, cuts)]), []
+        for i, j in zip(first[:-1], first[1:]):
+            a, b, exact = zip(*coded[i:j])
+            out.append((np.concatenate(a), np.concatenate(b), all(exact)))
+        return out
 
 
 class Aligned:
@@ -167,13 +227,11 @@ class Aligned:
 
     def __init__(self, coders: Tokenizers, texts: list[str | None]) -> None:
         full = [i for i, t in enumerate(texts) if t]
-        a, b = coders.encode([texts[i] for i in full]) if full else ([], [])
         none = np.zeros(0, np.int32)
         ids_a, ids_b = [none] * len(texts), [none] * len(texts)
-        for i, x, y in zip(full, a, b):
-            wanted = b" " + texts[i].encode()
-            if coders.va.joined(x) == wanted and coders.vb.joined(y) == wanted:
-                ids_a[i], ids_b[i] = x, y
+        for i, (a, b, exact) in zip(full, coders.encode([texts[i] for i in full])):
+            if exact:
+                ids_a[i], ids_b[i] = a, b
         self.first_a = np.cumsum([0, *map(len, ids_a)])
         self.first_b = np.cumsum([0, *map(len, ids_b)])
         self.a = np.concatenate([none, *ids_a]).astype(np.int64)
@@ -245,7 +303,7 @@ def align(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIEC
     """
     spark = docs.sparkSession
     with open(byte_model, encoding="utf-8") as a, open(piece_model, "rb") as b:
-        content = (a.read(), b.read())
+        content = (a.read(), b.read(), disputed_characters())
     shared = spark.sparkContext.broadcast(content)  # as long as the two vocabulary files
     held: dict[str, Tokenizers] = {}
     wanted = [T.StructField(f, FIELDS[f]) for f in fields]

@@ -157,7 +157,7 @@ def test_cuts_match_a_plain_search():
 def brute_alignment(texts):
     """One token at a time, with the tokenizers' own encoders and offsets added up by hand."""
     with open(tokenlinks.BYTE_MODEL, encoding="utf-8") as a, open(tokenlinks.PIECE_MODEL, "rb") as b:
-        coders = tokenlinks.Tokenizers(a.read(), b.read())
+        coders = tokenlinks.Tokenizers(a.read(), b.read(), tokenlinks.disputed_characters())
     letters = tokenlinks._byte_letters()
     made, counts = [], Counter()
     for text in texts:
@@ -197,15 +197,28 @@ def brute_alignment(texts):
 
 def test_cut_texts_have_the_tokens_of_whole_ones(monkeypatch):
     with open(tokenlinks.BYTE_MODEL, encoding="utf-8") as a, open(tokenlinks.PIECE_MODEL, "rb") as b:
-        coders = tokenlinks.Tokenizers(a.read(), b.read())
+        coders = tokenlinks.Tokenizers(a.read(), b.read(), tokenlinks.disputed_characters())
     rng = np.random.default_rng(6)
-    words = ["the", "quick", "naïve", "漢字", "x2", "it's", "(a)", "-", "  ", "\n", "tokenisers", "9,5", "a_b", "² m", "ß"]
-    texts = [" ".join(rng.choice(words, 400)) for _ in range(20)] + [t for t in odd_texts() if t]
-    whole = coders.encode(texts)
+    words = ["the", "quick", "naïve", "漢字", "x2", "it's", "(a)", "-", "  ", "\n", "tokenisers", "9,5", "a_b", "² m", "ß", "\x85", "\u3000", "\u200b", "\x1c", "\u180e", "'s", "…"]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(20)] + [t for t in odd_texts() if t and "▁" not in t]
     monkeypatch.setattr(tokenlinks, "SEGMENT", 17)
-    assert len(coders.segments(texts[0])) > 20
-    for x, y in zip(whole, coders.encode(texts)):
-        assert [i.tolist() for i in x] == [i.tolist() for i in y]
+    assert len(coders.segments(texts[0])) > 20 and coders.fast is not None
+    for text, (ids_a, ids_b, exact) in zip(texts, coders.encode(texts)):
+        assert ids_a.tolist() == coders.a.encode(" " + text, add_special_tokens=False).ids
+        assert ids_b.tolist() == coders.b.encode(text)
+        assert exact
+
+
+def test_both_encoders_of_the_first_file_agree():
+    with open(tokenlinks.BYTE_MODEL, encoding="utf-8") as a, open(tokenlinks.PIECE_MODEL, "rb") as b:
+        coders = tokenlinks.Tokenizers(a.read(), b.read(), tokenlinks.disputed_characters())
+    # Every settled character between letters, numbers, signs and spaces.
+    settled = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not coders.disputed.match(c)]
+    assert len(settled) > 100_000 and all(not coders.disputed.match(c) for c in "aß漢9²é ▁\U0001f600")
+    pad = ["a{}b", "1{}2", ".{}!", " {} ", "{}{}"]
+    texts = [" ".join(pad[(k // 500) % 5].format(c, c) for c in settled[k : k + 500]) for k in range(0, len(settled), 500)]
+    texts += ["\U00016ea0 new letters", "we'll it's 'S 're", "tabs\t\t x\n\n y  "]
+    assert coders.first_ids(texts) == [e.ids for e in coders.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 def odd_texts():
