@@ -413,35 +413,105 @@ def severity_rank() -> Column:
     return F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)
 
 
-def issue_reasons(issues: DataFrame, ordinal: str = "ordinal", shown: int = 5) -> DataFrame:
-    """Issues by severity and code with the first distinct messages in order.
-
-    Each distinct message is reduced to its first ordinal before grouping, and
-    only the ``shown`` earliest are kept, so no group collects all its rows.
+# What to do about a code; others get the last line.
+ADVICE = {
+    "SPARAM_COLUMN_MISMATCH": "Export the named blocks again with the same matrix entries as the others.",
+    "SPARAM_LENGTH_MISMATCH": "Give every entry of the block one value for each frequency.",
+    "INCOMPLETE_SPARAM_MATRIX": "Add the entries that are missing so that every port pair has one.",
+    "INVALID_PARAMETER_VALUE": "Write a finite number for every audited parameter of the block.",
+    "NONFINITE_FREQUENCY": "Remove or repair the frequency rows without a finite value.",
+    "NEGATIVE_FREQUENCY": "Remove the rows below zero Hz or correct their sign.",
+    "NONINCREASING_FREQUENCY": "Sort the rows of the block and keep one row for each frequency.",
+    "NONFINITE_SPARAM": "Remove or simulate again the rows with NaN or infinite entries.",
+    "RAW_NONPASSIVE_DATA": "Check ports and reference impedance; simulate again what still amplifies.",
+    "RECIPROCITY_VIOLATION": "Check the port order, or say that the device is not reciprocal.",
+    "TRAIN_VERIFICATION_OVERLAP": "Leave each geometry in one split only.",
+    "DUPLICATE_GEOMETRY": "Keep one block of each geometry, or name what makes them differ.",
+    "DUPLICATE_GEOMETRY_GRID_MISMATCH": "Bring blocks of one geometry to the same frequencies and entries.",
+    "DUPLICATE_GEOMETRY_RESPONSE_CONFLICT": "Find out which block of the geometry is right and drop the others.",
+    "NEIGHBOR_RESPONSE_OUTLIER": "Look at both neighbours; one of them is likely mislabelled or not converged.",
+    "VERIFICATION_OUTSIDE_GEOMETRY_RANGE": "Move the verification point into the declared range, or widen the range.",
+    "VERIFICATION_OUTSIDE_TRAIN_RANGE": "Add training points around the verification point.",
+    "FINE_OUTSIDE_COARSE_TRAIN_RANGE": "Add coarse blocks that cover the fine ones.",
+    "INCONSISTENT_FREQUENCY_GRIDS": "Use one frequency grid for all blocks, or accept the interpolation.",
+    "INCONSISTENT_REFERENCE_IMPEDANCE": "Renormalise all blocks to one reference impedance.",
+    "MISSING_REFERENCE_IMPEDANCE": "State the reference impedance in the header of the blocks.",
+    "UNASSIGNED_BLOCKS": "Label the blocks for training or verification.",
+    "NO_TRAINING_BLOCKS": "Label fine blocks for training.",
+    "NO_VERIFICATION_BLOCKS": "Label some fine blocks for verification.",
+    "RANDOM_HOLDOUT_USED": "Label the splits, so that every run judges the same blocks.",
+}
+OTHER_ADVICE = "Correct the listed blocks, or accept the condition on purpose."
+
+
+def advice(code: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, code), F.lit(OTHER_ADVICE))
+
+
+def location(issues: DataFrame) -> Column:
+    """Where an issue is: kind and role, file name, block and frequency, as far as they are known; NULL if nothing is."""
+
+    def text(name: str) -> Column:
+        value = F.col(name) if name in issues.columns else F.lit(None)
+        return F.nullif(value.cast("string"), F.lit(""))
+
+    frequency = F.col("frequency_hz").cast("double") if "frequency_hz" in issues.columns else F.lit(None).cast("double")
+    whole = (frequency == F.floor(frequency)) & (F.abs(frequency) < 1e15)
+    written = F.when(whole, frequency.cast("long").cast("string")).otherwise(frequency.cast("string"))
+    parts = F.concat_ws(
+        ", ",
+        F.nullif(F.concat_ws("/", text("dataset_kind"), text("role")), F.lit("")),
+        F.substring_index(text("source_file"), "/", -1),
+        F.concat(F.lit("block "), text("source_index")),
+        F.concat(written, F.lit(" Hz")),
+    )
+    return F.nullif(parts, F.lit(""))
+
+
+def first_distinct(rows: DataFrame, keys: Sequence[str], value: str, order: str, shown: int, name: str) -> DataFrame:
+    """Per key the ``shown`` first different values in ``order`` (array ``name``) and how many more there are.
+
+    Values are reduced to their first place before grouping, and each task keeps
+    its ``shown`` earliest, so no group collects all its rows.
     """
     from pyspark.sql import Window
 
+    seen = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__first"))
+    counts = seen.groupBy(*keys).agg(F.count("*").alias("__n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__first", value))
+    top = seen.withColumn("__rank", rank).where(F.col("__rank") <= shown)
+    lists = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__rank", value))).alias("__l"))
+    both = lists.join(counts, keys)
+    return both.select(
+        *keys, F.transform("__l", lambda m: m[value]).alias(name), F.greatest(F.lit(0), F.col("__n") - shown).alias(f"additional_{name}")
+    )
+
+
+def issue_reasons(issues: DataFrame, ordinal: str = "ordinal", shown: int = 5) -> DataFrame:
+    """Issues by severity and code: the first different messages and places, how many more, and what to do.
+
+    ``ordinal`` is any column in whose order the issues count, over all files.
+    """
     keys = ["severity", "code"]
-    messages = issues.groupBy(*keys, "message").agg(F.count("*").alias("n"), F.min(ordinal).alias("first_seen"))
-    totals = messages.groupBy(*keys).agg(
-        F.sum("n").alias("count"), F.count("*").alias("messages"), F.min_by("message", "first_seen").alias("reason")
-    )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen"))
-    top = (
-        messages.withColumn("rank", rank)
-        .where(F.col("rank") <= shown)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "message"))).alias("list"))
-        .select(*keys, F.transform("list", lambda m: m["message"]).alias("representative_messages"))
+    placed = issues.select(
+        *keys, F.col(ordinal).alias("__order"), F.coalesce("message", F.lit("No explanation was given.")).alias("message"), location(issues).alias("place")
     )
+    totals = placed.groupBy(*keys).agg(F.count("*").alias("count"))
+    messages = first_distinct(placed, keys, "message", "__order", shown, "message")
+    places = first_distinct(placed, keys, "place", "__order", shown, "place")
     return (
-        totals.join(top, keys)
+        totals.join(messages, keys)
+        .join(places, keys, "left")
         .select(
             *keys,
             "count",
-            "reason",
-            "representative_messages",
-            F.greatest(F.lit(0), F.col("messages") - shown).alias("additional_message_count"),
+            F.col("message")[0].alias("reason"),
+            F.col("message").alias("representative_messages"),
+            F.coalesce("place", F.array().cast("array<string>")).alias("affected_examples"),
+            F.col("additional_message").alias("additional_message_count"),
+            F.coalesce("additional_place", F.lit(0)).cast("long").alias("additional_location_count"),
+            advice(F.col("code")).alias("recommendation"),
         )
         .orderBy(severity_rank(), "code")
     )

@@ -419,21 +419,37 @@ def impedance_consistency(spark, folder):
 
 @query(
     "issue_reasons",
-    """WITH i AS (SELECT event_id AS ordinal, CASE WHEN event_type IN ('error', 'click') THEN 'ERROR' ELSE 'WARNING' END AS severity, event_type AS code, 'value ' || CAST(CAST(floor(value / 10) AS INT) AS VARCHAR) AS message FROM events),
-    m AS (SELECT severity, code, message, count(*) AS n, min(ordinal) AS f FROM i GROUP BY ALL),
-    k AS (SELECT *, row_number() OVER (PARTITION BY severity, code ORDER BY f) AS rk FROM m)
-    SELECT severity, code, CAST(sum(n) AS BIGINT) AS count, arg_min(message, f) AS reason, array_to_string(list(message ORDER BY rk) FILTER (rk <= 5), '|') AS messages, greatest(0, count(*) - 5) AS additional_message_count FROM k GROUP BY severity, code""",
+    """WITH i AS (SELECT 'part' || CAST(user_id % 2 AS VARCHAR) || '.txt' AS file, event_id, CASE WHEN event_type IN ('error', 'click') THEN 'ERROR' ELSE 'WARNING' END AS severity,
+        CASE event_type WHEN 'error' THEN 'NEGATIVE_FREQUENCY' WHEN 'click' THEN 'NONFINITE_SPARAM' ELSE event_type END AS code,
+        'value ' || CAST(CAST(floor(value / 10) AS INT) AS VARCHAR) AS message,
+        'fine, part' || CAST(user_id % 2 AS VARCHAR) || '.txt, block ' || CAST(event_id // 3 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN ', ' || CAST(event_id * 1000 AS VARCHAR) || ' Hz' ELSE '' END AS place FROM events),
+    m AS (SELECT severity, code, message, min((file, event_id)) AS f FROM i GROUP BY ALL),
+    p AS (SELECT severity, code, place, min((file, event_id)) AS f FROM i GROUP BY ALL),
+    mk AS (SELECT *, row_number() OVER (PARTITION BY severity, code ORDER BY f) AS rk FROM m),
+    pk AS (SELECT *, row_number() OVER (PARTITION BY severity, code ORDER BY f) AS rk FROM p),
+    ml AS (SELECT severity, code, string_agg(message, '|' ORDER BY rk) FILTER (rk <= 5) AS messages, arg_min(message, rk) AS reason, greatest(0, count(*) - 5) AS more_messages FROM mk GROUP BY ALL),
+    pl AS (SELECT severity, code, string_agg(place, '|' ORDER BY rk) FILTER (rk <= 5) AS places, greatest(0, count(*) - 5) AS more_places FROM pk GROUP BY ALL),
+    n AS (SELECT severity, code, count(*) AS count FROM i GROUP BY ALL)
+    SELECT severity, code, count, reason, messages, places, more_messages, more_places, code IN ('NEGATIVE_FREQUENCY', 'NONFINITE_SPARAM') AS advised FROM n JOIN ml USING (severity, code) JOIN pl USING (severity, code)""",
 )
 def issue_reasons(spark, folder):
+    """Events as issues of two files: first messages and places in the order of files and blocks."""
     e = table(spark, folder, "events")
+    kind = F.col("event_type")
     issues = e.select(
-        F.col("event_id").alias("ordinal"),
-        F.when(F.col("event_type").isin("error", "click"), "ERROR").otherwise("WARNING").alias("severity"),
-        F.col("event_type").alias("code"),
+        F.concat(F.lit("/data/part"), (F.col("user_id") % 2).cast("string"), F.lit(".txt")).alias("source_file"),
+        F.col("event_id").alias("at"), F.call_function("div", F.col("event_id"), F.lit(3).cast("long")).alias("source_index"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 1000.0).alias("frequency_hz"), F.lit("fine").alias("dataset_kind"),
+        F.when(kind.isin("error", "click"), "ERROR").otherwise("WARNING").alias("severity"),
+        F.when(kind == "error", "NEGATIVE_FREQUENCY").when(kind == "click", "NONFINITE_SPARAM").otherwise(kind).alias("code"),
         F.concat(F.lit("value "), F.floor(F.col("value") / 10).cast("int").cast("string")).alias("message"),
-    )
-    out = quality.issue_reasons(issues)
-    return out.select("severity", "code", "count", "reason", F.array_join("representative_messages", "|").alias("messages"), "additional_message_count")
+    )
+    out = quality.issue_reasons(issues.withColumn("ordinal", F.struct("source_file", "at")))
+    return out.select(
+        "severity", "code", "count", "reason", F.array_join("representative_messages", "|").alias("messages"),
+        F.array_join("affected_examples", "|").alias("places"), F.col("additional_message_count").alias("more_messages"),
+        F.col("additional_location_count").alias("more_places"), (F.col("recommendation") != quality.OTHER_ADVICE).alias("advised"),
+    )
 
 
 @query(

@@ -129,7 +129,8 @@ def extended_inventory(
         keys = ["__at", "__slab"]
         numbered = ordered.global_index(fresh, keys, F.floor(F.col("__at") * F.lit(max(1, count // ordered.CHUNK_ROWS))), "__n")
         role = F.when(F.col("__n") <= count - verification, "train").otherwise("verification")
-        rows = rows.unionByName(numbered.withColumn(split, role).drop("__n"))
-    rows = ordered.global_index(rows, ["__new", "__at", "__slab"], F.col("__new") * F.lit(1 << 40) + F.floor("__at"), "__row")
+        rows = rows.unionByName(numbered.withColumn(split, role).withColumn("__at", F.col("__n").cast("double")).drop("__n"))
+    chunk = F.col("__new") * F.lit(1 << 40) + ordered.index_chunk(F.col("__at"))
+    rows = ordered.global_index(rows, ["__new", "__at"], chunk, "__row")
     out = inventory.number_points(rows, "__row", split, ordered.index_chunk(F.col("__row")))
     return out.select("point_index", split, "split_sequence", "train_sequence", "verification_sequence", "method", "slab", *names)
