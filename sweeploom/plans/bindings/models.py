@@ -512,6 +512,29 @@ def error_posterior(spark, folder):
     return acquire.posterior(_candidates(spark, folder), model).select("id", "log_mean", "log_std")
 
 
+@query(
+    "error_model_residuals",
+    "SELECT p_size, p_brand, TRUE AS solved FROM part GROUP BY p_size, p_brand",
+)
+def error_model_residuals(spark, folder):
+    """Sizes and brands as error points, solved without a matrix: every row of the system holds.
+
+    Kernel times weights is the posterior mean of the standardised targets; noise
+    times weight makes up the rest of a target.
+    """
+    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("double") / 55.0
+    rows = table(spark, folder, "part").groupBy("p_size", "p_brand").agg(F.max("p_retailprice").alias("score"))
+    rows = rows.withColumns({"u0": F.col("p_size") / 50.0, "u1": number})
+    noise = 1e-3
+    model = acquire.fit_error_model(rows, ["u0", "u1"], noise=noise, length_scale=0.12, dense_points=50)
+    on_grid = F.array(*[F.rint(F.col(u) * 1e12) / 1e12 for u in ("u0", "u1")])
+    scored = acquire.posterior(rows.select("p_size", "p_brand", "score", on_grid.alias("p")), model)
+    met = scored.join(model.weights(), "p")
+    left = (F.col("log_mean") - F.log("score")) / F.lit(model.spread) + F.lit(noise) * F.col("weight")
+    sure = F.col("log_std") <= F.lit(model.spread * noise**0.5 * 1.0001)
+    return met.select("p_size", "p_brand", ((F.abs(left) < 1e-6) & sure).alias("solved"))
+
+
 @query(
     "nearest_error_regions",
     f"""WITH {ERROR_REGION_SQL}, rg AS (SELECT CAST(regexp_extract(source_index, '(\\d+)', 1) AS BIGINT) AS id, [avg(u0), any_value(u1)] AS p FROM g JOIN (SELECT p_brand, avg(p_size) / 50.0 AS u1 FROM part GROUP BY p_brand) ON p_brand = source_index GROUP BY source_index),

@@ -245,6 +245,39 @@ def test_hybrid_shares_add_up():
     assert letters == "eueceeuece"
 
 
+def test_large_error_model_equals_the_dense_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, *map(float, rng.random(2)), float(rng.random() + 0.1)) for i in range(500)]
+    regions = spark.createDataFrame(rows, "id long, u0 double, u1 double, score double")
+    options = {"noise": 1e-4, "length_scale": [0.3, 0.5]}
+    dense_model = acquire.fit_error_model(regions, ["u0", "u1"], **options)
+    large = acquire.fit_error_model(regions, ["u0", "u1"], dense_points=100, **options)
+    assert isinstance(large, acquire.LargeErrorModel)
+    points = rng.random((60, 2))
+    frame = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, p array<double>")
+    got = {r["id"]: (r["log_mean"], r["log_std"]) for r in acquire.posterior(frame, large).collect()}
+    mu, sd = dense_model.posterior(points)
+    np.testing.assert_allclose([got[i][0] for i in range(60)], mu, atol=1e-8)
+    np.testing.assert_allclose([got[i][1] ** 2 for i in range(60)], sd**2, atol=1e-8)
+    old = spark.createDataFrame([(0, [0.1, 0.1])], "id long, p array<double>")
+    picks = [[(c["id"], c["score"]) for c in acquire.greedy(frame, old, ["gp-ucb", "uncertainty", "uncertainty"], m)] for m in (dense_model, large)]
+    assert [i for i, _ in picks[0]] == [i for i, _ in picks[1]]
+    np.testing.assert_allclose([s for _, s in picks[0]], [s for _, s in picks[1]], rtol=1e-5)
+    chosen = acquire.fit_error_model(regions, ["u0", "u1"], noise=1e-2, dense_points=60)
+    assert isinstance(chosen, acquire.LargeErrorModel) and len(chosen.scales) == 2
+
+
+def test_a_believed_point_equals_a_new_fit():
+    rng = np.random.default_rng(1)
+    points, targets = rng.random((30, 2)), rng.normal(size=30)
+    model = acquire.build(points, targets, 0.3, 1.7, np.array([0.4, 0.6]), 1e-4)
+    x = rng.random((9, 2))
+    grown = model.believe(x[0]).believe(x[1])
+    again = acquire.build(grown.points, grown.targets, 0.3, 1.7, model.scales, 1e-4)
+    for a, b in zip(grown.posterior(x), again.posterior(x)):
+        np.testing.assert_allclose(a, b, atol=1e-7)
+
+
 def test_greedy_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     regions = spark.createDataFrame([(i, *map(float, rng.random(2)), float(rng.random() + 0.1)) for i in range(15)], "id long, u0 double, u1 double, score double")
