@@ -187,19 +187,54 @@ def live_solve_sessions(spark, folder):
     return spark.read.parquet(out).select(F.col("log").cast("long").alias("log"), "line_number", "session")
 
 
+def _arriving(spark, parts):
+    """Tables written one after another as the files of a stream, one file a batch."""
+    path = scratch(spark, "arriving")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    "live_late_rows",
+    """WITH h AS (SELECT user_id, max(event_id) FILTER (event_id % 3 > 0) AS seen FROM events GROUP BY user_id)
+    SELECT user_id AS log, count(*) AS rows, count(*) FILTER (event_id % 3 = 0 AND event_id <= seen) AS late FROM events JOIN h USING (user_id) GROUP BY user_id""",
+)
+def live_late_rows(spark, folder):
+    """A third of the events comes in a second batch; what lies behind its log by then is marked late."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("log"), F.col("event_id").alias("line_number"), F.col("event_type").alias("label"),
+        F.floor("value").cast("long").alias("counter"),
+    )
+    stream = _arriving(spark, [rows.where("line_number % 3 > 0"), rows.where("line_number % 3 = 0")])
+    out = scratch(spark, "sessions")
+    job = (
+        live.live_sessions(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state"))
+        .trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    found = spark.read.parquet(out).groupBy(F.col("log").cast("long").alias("log"))
+    return found.agg(F.count("*").alias("rows"), F.count_if("late").alias("late"))
+
+
 @query(
     "incremental_audit",
-    "SELECT 'NEGATIVE_VALUE' AS code, count(*) AS blocks FROM events WHERE value < 5 GROUP BY 1",
+    """SELECT 'NEGATIVE_VALUE' AS code, count(*) FILTER (value < 5) + count(*) FILTER (value < 5 AND event_id % 3 = 0) + count(*) FILTER (value < 5 AND event_id % 4 = 0) AS blocks FROM events
+    UNION ALL SELECT 'DUPLICATE_GEOMETRY', count(*) FILTER (event_id % 3 = 0) + count(*) FILTER (event_id % 4 = 0) FROM events""",
 )
 def incremental_audit(spark, folder):
-    """Arriving blocks audited per micro-batch against the stored inventory."""
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).select("event_id", "value")
+    """Arriving blocks audited per micro-batch; copies come inside a batch and over batches."""
+    e = table(spark, folder, "events").select("event_id", "value")
+    stream = _arriving(spark, [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1").unionByName(e.where("event_id % 3 = 0")), e.where("event_id % 4 = 0")])
 
-    def rules(batch):
-        return batch.where("value < 5").select("event_id", F.lit("NEGATIVE_VALUE").alias("code"))
+    def rules(blocks):
+        return blocks.where("value < 5").select("event_id", F.lit("NEGATIVE_VALUE").alias("code"))
 
-    stored, issues = scratch(spark, "inventory"), scratch(spark, "issues")
-    job = live.incremental_audit(stream, rules, ["event_id"], stored, issues, scratch(spark, "state")).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.parquet(issues).groupBy("code").agg(F.count("*").alias("blocks"))
+    issues, copies = scratch(spark, "issues"), scratch(spark, "copies")
+    for writer in live.incremental_audit(stream, rules, ["event_id"], issues, copies, scratch(spark, "state")):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return live.issue_counts(spark, issues, copies, ["event_id"])

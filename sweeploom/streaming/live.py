@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 STATE = StructType(
     [
@@ -24,6 +24,7 @@ OUTPUT = StructType(
         StructField("label", StringType()),
         StructField("counter", LongType()),
         StructField("session", LongType()),
+        StructField("late", BooleanType()),
     ]
 )
 
@@ -31,8 +32,8 @@ OUTPUT = StructType(
 class SessionProcessor(StatefulProcessor):
     """Session number of each arriving row of a log.
 
-    Rows are ordered inside a batch; a row below the last line seen is late and
-    is dropped.  State is one small row per log.
+    Rows are ordered inside a batch; a row that is not above the last line seen
+    comes out as ``late``, without a session.  State is one small row per log.
     """
 
     def init(self, handle) -> None:
@@ -45,20 +46,22 @@ class SessionProcessor(StatefulProcessor):
         out = []
         for line, new_label, new_counter in zip(batch["line_number"], batch["label"], batch["counter"]):
             if line <= seen:
+                out.append((key[0], int(line), new_label, int(new_counter), None, True))
                 continue
             if counter is None or new_label != label or new_counter <= counter:
                 session += 1
             label, counter, seen = new_label, int(new_counter), int(line)
-            out.append((key[0], seen, label, counter, session))
+            out.append((key[0], seen, label, counter, session, False))
         self.last.update((session, label, counter, seen))
-        yield pd.DataFrame(out, columns=["log", "line_number", "label", "counter", "session"])
+        made = pd.DataFrame(out, columns=["log", "line_number", "label", "counter", "session", "late"])
+        yield made.astype({"session": "Int64", "late": bool})
 
     def close(self) -> None:
         pass
 
 
 def live_sessions(rows: DataFrame) -> DataFrame:
-    """Sessions of a stream with ``log, line_number, label, counter``."""
+    """Sessions of a stream with ``log, line_number, label, counter``; rows that came too late are marked."""
     return rows.groupBy("log").transformWithStateInPandas(
         statefulProcessor=SessionProcessor(),
         outputStructType=OUTPUT,
@@ -71,34 +74,32 @@ def incremental_audit(
     stream: DataFrame,
     rules: Callable[[DataFrame], DataFrame],
     key: Sequence[str],
-    inventory_path: str,
     issues_path: str,
+    copies_path: str,
     checkpoint: str,
 ):
-    """Audit arriving blocks per micro-batch.
+    """Audit arriving blocks: two queries to start, of the rules and of the copies.
 
-    Issues of the batch and keys that are already stored go to ``issues_path``;
-    new keys are added to the inventory.  Tables are written per batch id, so a
-    repeated batch replaces its own output.
+    ``rules`` gives issue rows of a stream; they are appended to ``issues_path``.
+    How often each key has come is a running count in the state store, so copies
+    inside a batch and over batches count alike and nothing stored is read again.
+    The keys of a batch that came more than once so far go with their count to
+    that batch's folder of ``copies_path``; a repeated batch replaces its own.
     """
+    found = rules(stream).select(*key, "code")
+    issues = found.writeStream.format("parquet").option("path", issues_path).option("checkpointLocation", f"{checkpoint}/rules")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        keys = batch.select(*key).distinct()
-        # Batch folders written by earlier batches; a retry ignores its own.
-        try:
-            stored = spark.read.option("basePath", inventory_path).parquet(inventory_path).where(F.col("batch") != batch_id)
-            known = stored.select(*key)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            known = keys.limit(0)
-        repeated = batch.join(known, list(key), "left_semi").select(*key, F.lit("DUPLICATE_GEOMETRY").alias("code"))
-        repeated.unionByName(rules(batch).select(*key, "code")).write.mode("overwrite").parquet(
-            f"{issues_path}/batch={batch_id}"
-        )
-        keys.join(known, list(key), "left_anti").write.mode("overwrite").parquet(f"{inventory_path}/batch={batch_id}")
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        batch.where("copies > 1").write.mode("overwrite").parquet(f"{copies_path}/batch={batch_id}")
+
+    counted = stream.groupBy(*key).agg(F.count("*").alias("copies"))
+    copies = counted.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/copies")
+    return issues, copies
+
+
+def issue_counts(spark, issues_path: str, copies_path: str, key: Sequence[str]) -> DataFrame:
+    """``code, blocks`` so far; every block of a key but the first is a DUPLICATE_GEOMETRY."""
+    named = spark.read.parquet(issues_path).groupBy("code").agg(F.count("*").alias("blocks"))
+    most = spark.read.parquet(copies_path).groupBy(*key).agg(F.max("copies").alias("copies"))
+    again = most.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("blocks"))
+    return named.unionByName(again.select(F.lit("DUPLICATE_GEOMETRY").alias("code"), "blocks"))
