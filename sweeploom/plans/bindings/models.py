@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 
-from ...operators import acquire, align, dense, designs, metrics, ordered, quality, rational, search
+from ...operators import acquire, align, composite, dense, designs, metrics, ordered, quality, rational, search
 from ..export import sampled_grid
 from ..extend import extended_inventory
 from ..suggest import suggest
@@ -271,6 +271,64 @@ def rational_stage(spark, folder):
     return metrics.verification_metrics(scored, ["label"], ["re", "im"], ["fit_re", "fit_im"])
 
 
+def _fixed_coefficients():
+    """A linear network of fixed weights over two parameters, one real pole, two ports."""
+    k, i = np.meshgrid(np.arange(16), np.arange(2))
+    weights = ((7 * i + 3 * k) % 11 - 5) / 40.0
+    bias = ((5 * np.arange(16)) % 7 - 3) / 60.0
+    network = dense.DenseModel([weights], [bias], "tanh", np.zeros(2), np.ones(2), np.zeros(16), np.ones(16))
+    return composite.CoefficientModel(network, np.array([-0.5 + 0j]), 3e9, np.array([[1.0, 0.0], [0.25, 0.5]], complex), 2)
+
+
+def _composite_sql() -> str:
+    """The same model term by term: coefficients, decoder, pole, coarse response, singular value."""
+    model = composite.enforce_reciprocity(_fixed_coefficients())
+    w, b = model.network.weights[0], model.network.biases[0]
+    linear = lambda k: f"(l_quantity / 48.0 * {float(w[0, k])!r}::DOUBLE + l_discount * 10 * {float(w[1, k])!r}::DOUBLE + {float(b[k])!r}::DOUBLE)"
+    parts = []
+    for n, label in enumerate(("a", "b", "c", "d")):
+        (r0, r1), (i0, i1) = ([linear(h + 2 * n + t) for t in (0, 1)] for h in (0, 8))
+        # The decoder: first coefficient p + q / 4, second q / 2.
+        c = [f"({r0} + 0.25 * {r1})", f"(0.5 * {r1})", f"({i0} + 0.25 * {i1})", f"(0.5 * {i1})"]
+        coarse = "l_tax" if label in "ad" else "0.5 * l_tax"
+        parts.append(f"{c[0]} + {c[1]} * gr - {c[3]} * gi + {coarse} AS {label}r, {c[2]} + {c[1]} * gi + {c[3]} * gr AS {label}i")
+    return f"""{SAMPLES_SQL},
+    g AS (SELECT *, (l_linenumber - 1) / 3.0::DOUBLE AS f FROM samples),
+    h AS (SELECT *, 0.5 / (0.25 + f * f) AS gr, -f / (0.25 + f * f) AS gi FROM g),
+    fitted AS (SELECT l_discount AS t11, l_tax AS u11, l_quantity / 48.0 AS t12, l_tax AS u12, l_quantity / 49.0 AS t21, l_discount AS u21, l_tax AS t22, l_discount AS u22, {', '.join(parts)} FROM h),
+    errors AS (SELECT unnest([power(ar - t11, 2) + power(ai - u11, 2), power(br - t12, 2) + power(bi - u12, 2), power(cr - t21, 2) + power(ci - u21, 2), power(dr - t22, 2) + power(di - u22, 2)]) AS e FROM fitted),
+    sigma AS (SELECT sqrt((ar*ar+ai*ai+br*br+bi*bi+cr*cr+ci*ci+dr*dr+di*di + sqrt(power(ar*ar+ai*ai+cr*cr+ci*ci-br*br-bi*bi-dr*dr-di*di, 2)
+      + 4 * (power(ar*br+ai*bi+cr*dr+ci*di, 2) + power(ar*bi-ai*br+cr*di-ci*dr, 2)))) / 2) AS s, hypot_(br - cr, bi - ci) AS asymmetry FROM fitted)""".replace("hypot_(br - cr, bi - ci)", "sqrt(power(br - cr, 2) + power(bi - ci, 2))")
+
+
+@query(
+    "composite_scores",
+    f"""WITH {_composite_sql()} SELECT (SELECT count(*) FROM errors) AS rows, (SELECT round(sqrt(avg(e)), 9) FROM errors) AS rmse_abs, (SELECT round(sqrt(max(e)), 9) FROM errors) AS max_abs,
+    (SELECT count(*) FROM sigma WHERE s > 1 + 1e-6) AS nonpassive, (SELECT round(max(s), 9) FROM sigma) AS max_sigma, (SELECT max(asymmetry) <= 1e-9 FROM sigma) AS reciprocal""",
+)
+def composite_scores(spark, folder):
+    """A coefficient network with fixed weights over a coarse response, scored end to end."""
+    model = _fixed_coefficients()
+    rows = two_port(spark, folder).join(
+        samples(spark, folder).select(
+            F.col("l_orderkey").alias("record_id"), (F.col("l_linenumber") - 1).alias("freq_idx"),
+            F.array(F.col("l_quantity") / 48.0, F.col("l_discount") * 10).alias("x"),
+            F.array(F.col("l_tax"), 0.5 * F.col("l_tax"), 0.5 * F.col("l_tax"), F.col("l_tax")).alias("coarse_re"),
+        ),
+        ["record_id", "freq_idx"],
+    ).withColumn("coarse_im", F.array(*[F.lit(0.0)] * 4))
+    rows = rows.withColumns({"re": F.slice("matrix", 1, 4), "im": F.slice("matrix", 5, 4)})
+    if composite.reciprocity_wanted("enforce", False, True, composite.largest_asymmetry(rows, 2, "coarse_re", "coarse_im")):
+        composite.enforce_reciprocity(model)
+    fitted = composite.responses(rows, model, coarse=("coarse_re", "coarse_im"))
+    out = composite.score(fitted, [])
+    even = composite.largest_asymmetry(fitted, 2, "fit_re", "fit_im")
+    return out.select(
+        "rows", r("rmse_abs", 9).alias("rmse_abs"), r("max_abs", 9).alias("max_abs"), "nonpassive", r("max_sigma", 9).alias("max_sigma"),
+        F.lit(even is not None and even <= 1e-9).alias("reciprocal"),
+    )
+
+
 @query("flattened_coefficients")
 def flattened_coefficients(spark, folder):
     """Coefficient rows, flattened per block and restored."""

@@ -8,7 +8,7 @@ from conftest import ROOT
 from pyspark.sql import functions as F
 
 from sweeploom.functions.complexmath import from_matrices, y_to_s_stack
-from sweeploom.operators import acquire, dense, designs, rational, search
+from sweeploom.operators import acquire, composite, dense, designs, rational, search
 from sweeploom.plans import extend
 
 
@@ -56,6 +56,38 @@ def test_evaluate_flatten_and_conditioning(spark):
     assert facts["frequency_rows"] == 36
 
 
+def test_coefficient_models_respond_as_their_coefficients_say(spark):
+    poles, scale = rational.fixed_poles(1e9, 9e9, 3, 0.1)
+    rng = np.random.default_rng(2)
+    w, b = dense.xavier([2, 5, 2 * 9 * 4], 1)
+    network = dense.DenseModel(w, b, "tanh", np.zeros(2), np.ones(2), rng.normal(size=72), rng.uniform(1, 2, 72))
+    decoder = rng.normal(size=(4, 4)) + 1j * rng.normal(size=(4, 4))
+    model = composite.CoefficientModel(network, poles, scale, decoder, 3, 0.9)
+    x, freq = rng.normal(size=(6, 2)), rng.uniform(1e9, 9e9, 6)
+    coarse = rng.normal(size=(6, 18)) * 0.1
+    rows = [([float(v) for v in a], float(f), [float(v) for v in c[:9]], [float(v) for v in c[9:]]) for a, f, c in zip(x, freq, coarse)]
+    df = spark.createDataFrame(rows, "x array<double>, freq_hz double, cr array<double>, ci array<double>")
+    got = sorted(composite.responses(df, model, coarse=("cr", "ci")).collect(), key=lambda r: r.freq_hz)
+    for r, k in zip(got, np.argsort(freq)):
+        flat = network.predict(x[k][None])[0]
+        coefficients = (flat[:36] + 1j * flat[36:]).reshape(9, 4) @ decoder
+        want = 0.9 * (coefficients @ rational.basis(freq[k : k + 1], poles, scale)[0] + coarse[k, :9] + 1j * coarse[k, 9:])
+        np.testing.assert_allclose(np.array(r.fit_re) + 1j * np.array(r.fit_im), want, atol=1e-12)
+        assert r.sigma == pytest.approx(np.linalg.norm(want.reshape(3, 3), 2))
+    assert composite.largest_asymmetry(df, 3, "cr", "ci") > 0
+    even = composite.enforce_reciprocity(model).respond(x, freq)
+    np.testing.assert_allclose(even, even.swapaxes(1, 2), atol=1e-12)
+
+
+def test_reciprocity_policy():
+    wanted = composite.reciprocity_wanted
+    assert wanted("auto", True, False, None) and not wanted("auto", False, False, None) and not wanted("off", True, True, 0.0)
+    assert wanted("enforce", False, True, 1e-13) and not wanted("auto", True, True, 1e-3)
+    for asymmetry in (1e-3, None):
+        with pytest.raises(ValueError, match="not reciprocal"):
+            wanted("enforce", True, True, asymmetry)
+
+
 def test_conductances_recover_branches(spark):
     branches = [(1, 2), (1, 3), (2, 3)]
     y = (dense.branch_matrix(3, branches) @ np.array([0.01, 0.02, 0.03])).reshape(3, 3)
