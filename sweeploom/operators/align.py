@@ -177,7 +177,7 @@ def value_stats(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataF
     """Finite count, min, max, mean, std, rms and median."""
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     v = F.when(finite, value)
-    return rows.groupBy(*by).agg(
+    facts = rows.groupBy(*by).agg(
         F.count(v).alias("finite_values"),
         F.count_if(~finite).alias("nonfinite_values"),
         F.min(v).alias("minimum"),
@@ -185,8 +185,8 @@ def value_stats(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataF
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("std"),
         F.sqrt(F.avg(v * v)).alias("rms"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
     )
+    return ordered.with_percentiles(facts, rows, by, v, {"median": 0.5})
 
 
 def profile(response: DataFrame, block: DataFrame) -> DataFrame:

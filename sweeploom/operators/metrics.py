@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import ordered
+
 from ..functions.complexmath import magnitude
 from ..functions.scores import metric_score
 from ..functions.units import is_finite
@@ -230,20 +232,14 @@ def error_regions(
 def region_summary(regions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """rms, median, p90 (linear interpolation) and max of the region scores."""
     s = F.greatest(F.col("score"), F.lit(0.0))
-    return regions.groupBy(*by).agg(
-        F.sqrt(F.avg(s * s)).alias("rms"),
-        F.percentile(s, F.lit(0.5)).alias("median"),
-        F.percentile(s, F.lit(0.9)).alias("p90"),
-        F.max(s).alias("max"),
-        F.count("*").alias("regions"),
-    )
+    facts = regions.groupBy(*by).agg(F.sqrt(F.avg(s * s)).alias("rms"), F.max(s).alias("max"), F.count("*").alias("regions"))
+    out = ordered.with_percentiles(facts, regions, by, s, {"median": 0.5, "p90": 0.9})
+    return out.select(*by, "rms", "median", "p90", "max", "regions")
 
 
 def ranked(rows: DataFrame, score: str, ties: Sequence[str], name: str = "rank") -> DataFrame:
     """Rank all rows by descending score: range-partitioned running count over
     chunks of the score's magnitude, never one global window."""
-    from . import ordered
-
     # NaN sorts last: its negative is NaN again, which is behind every number.
     known = F.when(~F.isnan(F.col(score)), F.col(score))
     size = F.least(F.greatest(F.abs(known), F.lit(1e-300)), F.lit(1e300))

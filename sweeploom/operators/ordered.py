@@ -179,3 +179,37 @@ def number_rows(df, keys, order, chunk: Column, name: str = "row_number") -> Dat
 def global_index(df: DataFrame, order: Sequence[str], chunk: Column, name: str) -> DataFrame:
     """Number all rows from 1 without an unpartitioned window over the rows."""
     return number_rows(df, [], order, chunk, name)
+
+
+def with_percentiles(
+    out: DataFrame, rows: DataFrame, keys: Sequence[str], value: Column, shares: dict[str, float], ranks: dict[str, float] | None = None
+) -> DataFrame:
+    """``out`` (one row per key) with exact percentiles of ``value`` over ``rows``.
+
+    ``shares`` interpolate between neighbours, ``ranks`` take the first value that
+    so large a share does not exceed.  Values are counted before anything is
+    ordered, and a key's different values are cut into chunks of about equal
+    size, so no task holds all values of a key.
+    """
+    key = F.struct(*keys) if keys else F.lit(0)
+    counts = rows.select(key.alias("__g"), value.cast("double").alias("__x")).where("__x IS NOT NULL")
+    counts = counts.groupBy("__g", "__x").agg(F.count("*").alias("__n"))
+    cuts = F.percentile_approx("__x", F.array(*[F.lit(k / 256) for k in range(1, 256)]), F.lit(2_560))
+    facts = counts.groupBy("__g").agg(cuts.alias("__cuts"), F.sum("__n").alias("__total"))
+    chunk = F.size(F.filter("__cuts", lambda c: c < F.col("__x")))
+    placed = running(counts.join(facts, "__g"), ["__g"], ["__x"], chunk, {"__upto": F.col("__n")})
+    first_over = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__x")))
+    found = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("__total") - 1)
+        found += [first_over(F.floor(place)).alias(f"__lo_{name}"), first_over(F.ceil(place)).alias(f"__hi_{name}"), F.max(place).alias(f"__at_{name}")]
+    for name, share in (ranks or {}).items():
+        found.append(F.min(F.when(F.col("__upto") >= F.lit(share) * F.col("__total"), F.col("__x"))).alias(name))
+    made = placed.groupBy("__g").agg(*found)
+    between = {}
+    for name in shares:
+        lo, hi, at = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__at_{name}")
+        mixed = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
+        between[name] = F.when((F.floor(at) == F.ceil(at)) | (lo == hi), lo).otherwise(mixed)
+    made = made.withColumns(between).select("__g", *shares, *(ranks or {})) if between else made
+    return out.withColumn("__g", key).join(made, "__g", "left").drop("__g")

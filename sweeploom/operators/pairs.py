@@ -263,7 +263,8 @@ def neighbour_outliers(
     rows: DataFrame, by: Sequence[str] = ("dataset_kind",), factor: float = 5.0, minimum_jump: float = 0.05
 ) -> DataFrame:
     """Rows whose relative RMSE exceeds max(minimum, factor * median of the kind)."""
-    medians = rows.groupBy(*by).agg(F.percentile("relative_rmse", F.lit(0.5)).alias("median"))
+    kinds = rows.select(*by).distinct()
+    medians = ordered.with_percentiles(kinds, rows, by, F.col("relative_rmse"), {"median": 0.5})
     limit = F.greatest(F.lit(minimum_jump), F.lit(factor) * F.greatest(F.col("median"), F.lit(1e-15)))
     return (
         rows.join(medians, list(by))

@@ -223,11 +223,11 @@ def log_summary(solves: DataFrame, timing: DataFrame | None = None, by: Sequence
         F.sum(work).alias("total_krylov_iterations"),
         F.avg("newton_iterations").alias("mean_newton_per_solve"),
         F.avg(work).alias("mean_krylov_per_solve"),
-        F.percentile(work, F.lit(0.5)).alias("median_krylov_per_solve"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY total_krylov_iterations)").alias("p95_krylov_per_solve"),
         F.max(work).alias("max_krylov_per_solve"),
         F.min_by("solve_index", F.struct(-work, F.col("solve_index"))).alias("max_krylov_solve_index"),
     )
+    out = ordered.with_percentiles(out, solves, by, work, {"median_krylov_per_solve": 0.5}, {"p95_krylov_per_solve": 0.95})
+    out = out.withColumn("p95_krylov_per_solve", F.col("p95_krylov_per_solve").cast("long"))
     out = out.withColumn(
         "mean_krylov_per_newton", F.try_divide(F.col("total_krylov_iterations"), F.col("total_newton_iterations"))
     )

@@ -700,13 +700,42 @@ def verification_growth(spark, folder):
     )
 
 
+@query(
+    "suggestion_provenance",
+    f"""WITH {ERROR_REGION_SQL}, s AS (SELECT sqrt(avg(score * score)) AS rms, count(*) AS n FROM (SELECT max(score) AS score FROM g GROUP BY source_index)),
+    t AS (SELECT count(*) AS training FROM supplier),
+    c AS (SELECT training, n, CASE WHEN rms / 2000 <= 1 THEN 0 WHEN training < 12 OR n < 12 THEN greatest(4, CASE WHEN rms / 2000 >= 4 THEN 6 ELSE 4 END) WHEN rms / 2000 >= 4 THEN 6 WHEN rms / 2000 >= 2 THEN 4 ELSE 4 END AS wanted FROM s, t),
+    m AS (SELECT *, training + wanted AS projected, greatest(0, floor((training + wanted - 12) / 4.0)) AS milestones FROM c)
+    SELECT CAST(wanted AS BIGINT) AS training, CAST(CASE WHEN projected >= 12 THEN least(greatest(0, 6 + 2 * milestones - n), 6) ELSE 0 END AS BIGINT) AS verification, TRUE AS free, TRUE AS nearest FROM m""",
+)
+def suggestion_provenance(spark, folder):
+    """How many points of each split are suggested, that none is taken, and that the nearest error region is named."""
+    out, regions = suggested_points(spark, folder), _unit_regions(spark, folder)
+    taken = _known_points(spark, folder).select("w", "l")
+    distance = F.hypot(F.col("unit_point")[0] - F.col("u0"), F.col("unit_point")[1] - F.col("u1"))
+    # Each suggestion against every region: a few rows against one row a brand.
+    pairs_ = regions.withColumn("all", F.lit(1)).join(F.broadcast(out.withColumn("all", F.lit(1)).drop("score")), "all")
+    least = pairs_.groupBy("point_index").agg(F.min(distance).alias("least"), F.max(F.when(F.col("source_index") == F.col("nearest_error_source_index"), F.col("score"))).alias("score"))
+    right = (F.abs(F.col("least") - F.col("nearest_error_distance")) < 1e-9) & (F.col("score") == F.col("fit_error_score"))
+    facts = out.join(least, "point_index").agg(
+        F.count_if(F.col("dataset") == "train").alias("training"), F.count_if(F.col("dataset") == "verification").alias("verification"), F.every(right).alias("nearest")
+    )
+    clash = out.join(taken, ["w", "l"], "left_semi").agg((F.count("*") == 0).alias("free"))
+    return facts.crossJoin(clash).select("training", "verification", "free", F.coalesce("nearest", F.lit(True)).alias("nearest"))  # one row each
+
+
+def _known_points(spark, folder):
+    return _candidates(spark, folder).select(
+        F.round(F.col("p")[0], 2).alias("w"), F.round(F.col("p")[1], 2).alias("l"), F.lit("train").alias("dataset")
+    )
+
+
 @query("suggested_points")
 def suggested_points(spark, folder):
     """Recommendation, candidate pool, error model and greedy batch in one go."""
     regions = _unit_regions(spark, folder).select("source_index", F.col("u0").alias("w"), F.col("u1").alias("l"), "score")
     domain = [{"name": "w", "lower": 0.0, "upper": 1.0}, {"name": "l", "lower": 0.0, "upper": 1.0}]
-    known = _candidates(spark, folder).select(F.round(F.col("p")[0], 2).alias("w"), F.round(F.col("p")[1], 2).alias("l"), F.lit("train").alias("dataset"))
-    return suggest(regions, known, domain, 2, target=2000.0)
+    return suggest(regions, _known_points(spark, folder), domain, 2, target=2000.0)
 
 
 @query("sampled_grid_export")
