@@ -187,6 +187,9 @@ def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function, mo
     keep = [c for c in keep if c not in {f.name for f in fields}]
     schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
     names = schema.names
+    # A kept text is the one that came in; it is not sent twice.
+    others = [c for c in keep if c != "text"]
+    places = [0 if c == "text" else 1 + others.index(c) for c in keep]
 
     def run(batches):
         import pyarrow as pa
@@ -196,9 +199,9 @@ def with_text_results(docs: DataFrame, keep: Sequence[str], fields, function, mo
             for lo, hi in ranges:
                 batch = whole.slice(lo, hi - lo)
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in function(batch.column(0))]
-                yield pa.RecordBatch.from_arrays([batch.column(1 + i) for i in range(len(keep))] + made, names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + made, names=names)
 
-    taken = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)])
+    taken = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)])
     return taken.mapInArrow(run, schema)
 
 
