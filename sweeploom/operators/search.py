@@ -1,4 +1,4 @@
-"""Trial sweeps: one task per trial, and adaptive choice of the next trial."""
+"""Trial sweeps, each trial a fit on all rows, and adaptive choice of the next trial."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import small_rows
+from ..session import checkpointed, small_rows
 from . import acquire
 
+# A sweep is planned by hand or by budget; more trials than this are an error.
+MOST_TRIALS = 10_000
+TRIAL_NOISE = 1e-4
 TRIAL_SCHEMA = (
     "trial int, trial_seed long, status int, metric double, violations long, max_sigma double, message string"
 )
@@ -26,36 +29,42 @@ def valid_modes(candidates: DataFrame, has_coarse_model: bool) -> DataFrame:
 
 
 def run_trials(
-    trials: DataFrame, fit: Callable[[dict, int, pd.DataFrame], dict], data: DataFrame, seed: int = 1234, seed_mode: str = "fixed", data_rows: int = 200_000
+    trials: DataFrame, fit: Callable[[dict, int, DataFrame], dict], data: DataFrame, seed: int = 1234, seed_mode: str = "fixed", most: int = MOST_TRIALS
 ) -> DataFrame:
-    """Fit every candidate in its own task; a failed trial is kept with status 2.
+    """Fit every candidate on all of ``data``, one after another; a failed trial is kept with status 2.
 
-    ``fit(candidate, seed, frame)`` returns metric, violations and max_sigma.
-    The training rows are shared with every task, so their number is checked;
-    larger data is fitted trial by trial with the data-parallel fit.
+    ``fit(candidate, seed, data)`` runs its own jobs over the distributed rows and
+    returns metric, violations and max_sigma; only those reach the driver.  A sweep
+    is a budget of trials, so ``most`` bounds the plan, never the data.
     """
-    names = data.columns
-    frame = pd.DataFrame([tuple(r) for r in small_rows(data, data_rows, "trial data")], columns=names)
-    context = trials.sparkSession.sparkContext
-    shared = context.broadcast(frame)
-
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for trial, candidate in zip(pdf["trial"], pdf["candidate"]):
-                own_seed = int(seed + (trial if seed_mode == "indexed" else 0))
-                try:
-                    got = fit(json.loads(candidate), own_seed, shared.value)
-                    out.append((trial, own_seed, 0, got["metric"], got.get("violations"), got.get("max_sigma"), None))
-                except Exception as problem:  # a failed trial is a result
-                    out.append((trial, own_seed, 2, None, None, None, str(problem)))
-            yield pd.DataFrame(
-                out, columns=["trial", "trial_seed", "status", "metric", "violations", "max_sigma", "message"]
-            ).astype({"metric": "float64", "max_sigma": "float64", "violations": "Int64"})
-
-    count = trials.count()
-    rows = trials.select("trial", "candidate").repartitionByRange(max(1, count), "trial")
-    return rows.mapInPandas(work, TRIAL_SCHEMA)
+    spark = trials.sparkSession
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    out = []
+    for row in small_rows(trials.select("trial", "candidate").orderBy("trial"), most, "sweep"):
+        own_seed = int(seed + (row["trial"] if seed_mode == "indexed" else 0))
+        try:
+            got = fit(json.loads(row["candidate"]), own_seed, data)
+            made = (0, float(got["metric"]), got.get("violations"), got.get("max_sigma"), None)
+        except Exception as problem:  # a failed trial is a result
+            made = (2, None, None, None, f"{type(problem).__name__}: {problem}"[:2_000])
+        out.append((row["trial"], own_seed, *made))
+    data.unpersist()
+    return spark.createDataFrame(out, TRIAL_SCHEMA)
+
+
+def ridge_fit(data: DataFrame, terms: Sequence[Column], target: Column, ridge: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights of a ridge regression from one row of sums over all rows, and the root mean square error."""
+    n = len(terms)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = data.agg(
+        *[F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(t * target).alias(f"b{i}") for i, t in enumerate(terms)]
+    ).first()
+    gram = np.zeros((n, n))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"]
+    weights = np.linalg.solve(gram + ridge * np.eye(n), np.array([sums[f"b{i}"] for i in range(n)]))
+    error = sum((t * F.lit(float(w)) for t, w in zip(terms, weights)), -target)
+    return weights, float(data.agg(F.sqrt(F.avg(error * error))).first()[0])
 
 
 def features(candidates: DataFrame, numeric: Sequence[str], logged: Sequence[str], categories: dict[str, Sequence[str]]) -> DataFrame:
@@ -133,15 +142,22 @@ def next_trial(
         if behind:
             narrowed = pool.where(F.col(name).isin(*behind))
             pool = pool if narrowed.isEmpty() else narrowed
-    scored = small_rows(objective(trials, accept).select("p", "objective"), what="trials")
-    x = np.array([r["p"] for r in scored])
-    y = np.array([r["objective"] for r in scored], dtype=float)
-    spread = max(float(y.std()), 1e-12)
+    scored = checkpointed(objective(trials, accept).select("p", "objective"))
+    facts = scored.agg(F.count("*").alias("n"), F.avg("objective").alias("mean"), F.stddev_pop("objective").alias("std")).first()
+    mean, spread = float(facts["mean"]), max(float(facts["std"]), 1e-12)
+    few = facts["n"] <= acquire.DENSE_POINTS
+    drawn = scored if few else scored.orderBy(F.xxhash64("p"), "p").limit(acquire.DENSE_POINTS)
+    rows = drawn.collect()  # at most DENSE_POINTS
+    x = np.array([r["p"] for r in rows])
+    y = np.array([r["objective"] for r in rows], dtype=float)
     best_model = None
     for s in acquire.LENGTH_SCALES:
-        model = acquire.build(x, (y - y.mean()) / spread, float(y.mean()), spread, np.full(x.shape[1], s), 1e-4)
+        model = acquire.build(x, (y - mean) / spread, mean, spread, np.full(x.shape[1], s), TRIAL_NOISE)
         if best_model is None or model.likelihood > best_model.likelihood:
             best_model = model
+    if not few:
+        observed = scored.select("p", ((F.col("objective") - mean) / spread).alias("t"))
+        best_model = acquire.LargeErrorModel(observed, mean, spread, best_model.scales, TRIAL_NOISE)
     judged = acquire.posterior(pool, best_model)
     row = (
         judged.withColumn("bound", F.col("log_mean") - F.lit(exploration) * F.col("log_std"))

@@ -521,25 +521,27 @@ def valid_candidates(spark, folder):
     return search.valid_modes(c, True).select("p_partkey")
 
 
-def _ridge(candidate, seed, frame):
-    x = np.column_stack([np.ones(len(frame)), frame["q"] ** candidate["power"]])
-    y = frame["p"].to_numpy()
-    w = np.linalg.solve(x.T @ x + candidate["ridge"] * np.eye(2), x.T @ y)
-    return {"metric": float(np.sqrt(np.mean((x @ w - y) ** 2))), "violations": 0, "max_sigma": 1.0}
+def _ridge(candidate, seed, data):
+    terms = [F.lit(1.0), F.pow("q", F.lit(float(candidate["power"])))]
+    _, rmse = search.ridge_fit(data, terms, F.col("p"), candidate["ridge"])
+    return {"metric": rmse, "violations": 0, "max_sigma": 1.0}
 
 
 @query(
     "trial_sweep",
-    """WITH g AS (SELECT l_quantity AS q, avg(l_extendedprice) AS p FROM lineitem GROUP BY l_quantity), s AS (SELECT count(*) + 0.5 AS n, sum(q) AS sq, sum(q * q) + 0.5 AS sqq, sum(p) AS sp, sum(q * p) AS spq FROM g),
-    w AS (SELECT (sqq * sp - sq * spq) / (n * sqq - sq * sq) AS a, (n * spq - sq * sp) / (n * sqq - sq * sq) AS b FROM s)
-    SELECT 1 AS trial, 0 AS status, round(sqrt(avg(power(a + b * q - p, 2))), 4) AS metric FROM g, w UNION ALL SELECT 2, 2, NULL""",
+    """WITH c AS (SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.5::DOUBLE), (3, 2.0, 100.0), (4, 0.5, 0.0)) AS t(trial, power, ridge)),
+    g AS (SELECT trial, ridge, pow(l_quantity, power) AS x, l_extendedprice AS y FROM lineitem, c),
+    s AS (SELECT trial, count(*) + any_value(ridge) AS n, sum(x) AS sx, sum(x * x) + any_value(ridge) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM g GROUP BY trial),
+    w AS (SELECT trial, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS a, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM s)
+    SELECT trial, 0 AS status, round(sqrt(avg(power(a + b * x - y, 2))), 3) AS metric FROM g JOIN w USING (trial) GROUP BY trial UNION ALL SELECT 2, 2, NULL""",
 )
 def trial_sweep(spark, folder):
-    """A task per candidate; the broken candidate is kept with status 2."""
-    data = table(spark, folder, "lineitem").groupBy(F.col("l_quantity").alias("q")).agg(F.avg("l_extendedprice").alias("p"))
-    candidates = spark.createDataFrame([(1, json.dumps({"power": 1, "ridge": 0.5})), (2, json.dumps({"power": 1}))], "trial int, candidate string")
-    out = search.run_trials(candidates, _ridge, data.orderBy("q"))
-    return out.select("trial", "status", r("metric", 4).alias("metric"))
+    """Every candidate is fitted on all rows; the incomplete candidate is kept with status 2."""
+    data = table(spark, folder, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
+    plan = [{"power": 1, "ridge": 0.5}, {"power": 1}, {"power": 2, "ridge": 100.0}, {"power": 0.5, "ridge": 0.0}]
+    candidates = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(plan, 1)], "trial int, candidate string")
+    out = search.run_trials(candidates, _ridge, data)
+    return out.select("trial", "status", r("metric", 3).alias("metric"))
 
 
 # --- acquisition ------------------------------------------------------------------------

@@ -1,79 +1,105 @@
+"""Solver logs, one feature each: what a single line or table changes."""
+
 import pytest
 
 from sweeploom.operators import solverlogs
 
-HEADS = ("Newton solver:   Linear solver:", "Iter  KCL residual  Damp % Sol update  Iters Residual")
-
-
-def newton_table(*rows):
-    """A table of one solve as the solver prints it: (iteration, residual, inner iterations, inner residual)."""
-    return [*HEADS, "-" * 40, *[f"{i}  {kcl}  90.0  {inner}  {res}" for i, kcl, inner, res in rows]]
-
-
-FULL = [
-    "Frequency = 5 GHz",
-    "Input power = -35 dBm",
-    *newton_table(("1", "6.500 mA", 4, "4.0e-03")),
-    "Krylov solver (target tol = 0.02):",
-    "Iter Residual",
-    "0 0.9",
-    "1 0.2",
-    *newton_table(("2*", "7.500 uA", 6, "3.0e-04")),
-    "Input power = -15 dBm",
-    *newton_table(("1", "8.000 mA", 9, "5.0e-03")),
-    "solver failed to converge",
-    *newton_table(("2", "3.000 nA", 8, "1.0e-04")),
-    "Total CPU time: 41.5 seconds",
-    "Total elapsed time: 33.25 seconds",
-]
-RESET = newton_table(("1", "4mA", 2, "3e-2"), ("2", "4uA", 5, "3e-3"), ("1", "5mA", 6, "6e-2"), ("2", "5uA", 7, "6e-3"))
-WRAPPED = [
-    "Newton solver:",
-    "Linear solver:",
-    "Iter",
-    "KCL residual",
-    "Damp % Sol update",
-    "Iters Residual",
-    "-" * 30,
-    "1 9.0 mA 80.0 11 4.0e-3",
-    "Frequency = 3 GHz",
-]
-PAIRED = ["aborted", "Total CPU / elapsed time: 7.25 s / 0:02:03.5"]
+TITLE = "Newton iteration  GMRES"
+COLUMNS = "Iter  Residual  Damp  Update  Iters  Residual"
+
+
+def table(*rows, title=(TITLE, COLUMNS)):
+    """Rows as (iteration, residual with its unit, inner iterations)."""
+    return [*title, *[f"{i} {kcl} 75.0 {inner} 2.5e-4" for i, kcl, inner in rows]]
+
+
+LOGS = {
+    # One table, nothing else: a single solve without labels.
+    "bare": table((1, "2 uA", 3), (2, "40 nA", 5)),
+    # The iteration number falls back, so a new solve begins inside the table.
+    "restart": table((3, "1 mA", 2), (4, "2 uA", 2), (2, "9 mA", 4), (5, "8 nA", 1)),
+    # It stays the same: also a new solve.
+    "stall": table((1, "1 mA", 6), (1, "1 mA", 7)),
+    # Labels by other words and units; they stay until they are named again.
+    "labels": ["freq[1]: 750 MHz", *table((1, "3 pA", 2)), "Pavs = 1 mW", *table((1, "5 nA", 4))],
+    # A label that comes back to its value still ends the solve between.
+    "there_and_back": ["Pin = 3 dBm", *table((1, "1 mA", 1)), "Pin = 4 dBm", "Pin = 3 dBm", *table((2, "1 mA", 9))],
+    # The same label once more does not.
+    "same_label": ["Pin = 3 dBm", *table((1, "1 mA", 1)), "Pin = 3 dBm", *table((2, "1 mA", 9))],
+    # A starred row counts as one with a rebuilt matrix.
+    "star": table(("1*", "1 mA", 2), (2, "1 mA", 2), ("3*", "1 mA", 2)),
+    # Rows of an inner solver look alike but are none.
+    "inner": [*table((1, "6 mA", 8)), "BiCGStab solver", "1 0.5", "2 0.25 1.0 90 1e-3"],
+    # Text behind a row closes the table; the number line below is no row.
+    "closed": [*table((1, "6 mA", 8)), "saving the operating point", "2 1 mA 50.0 90 1e-3"],
+    # A blank line and a rule do not.
+    "open": [*table((1, "6 mA", 8)), "", "=====", "2 1 mA 50.0 2 1e-3"],
+    # A title whose columns are broken over lines.
+    "broken": ["Newton-Raphson solver", "Iterations", "of the outer loop", "Residual", "4 7 uA 10.0 12 1e-2"],
+    # A message between the rows of a solve belongs to it, one behind it as well.
+    "messages": [*table((1, "1 mA", 1)), "did not converge", *table((2, "1 uA", 1)), "retry with continuation"],
+    # Before any solve it belongs to none.
+    "early": ["aborted", *table((1, "1 mA", 1))],
+    "clock": ["Overall CPU time (all threads) = 2 min", "wall-clock time: 1:30"],
+    "both": ["cpu/wall time: 6 s, 4.5 s"],
+    "neither": ["time passes"],
+}
 
 
 @pytest.fixture(scope="module")
-def parsed(spark):
-    logs = {"full": FULL, "reset": RESET, "wrapped": WRAPPED, "paired": PAIRED}
-    rows = [(k, n, line) for k, text in logs.items() for n, line in enumerate(text, 1)]
-    lines = spark.createDataFrame(rows, "log string, line_number long, line string").repartition(5)
-    newton, solves, notes = solverlogs.parse_logs(lines)
-    return lines, newton.cache(), solves.cache(), notes.cache()
-
-
-def test_solves_of_a_full_log(parsed):
-    _, newton, solves, _ = parsed
-    got = {r["solve_index"]: r for r in solves.where("log = 'full'").collect()}
-    assert set(got) == {1, 2}
-    assert (got[1]["frequency_hz"], got[1]["input_power_dbm"], got[1]["total_krylov_iterations"]) == (5e9, -35.0, 10)
-    assert (got[2]["input_power_dbm"], got[2]["total_krylov_iterations"]) == (-15.0, 17)
-    assert got[1]["final_kcl_residual_a"] == pytest.approx(7.5e-6)
-    assert got[1]["jacobian_rebuild_rows"] == 1
-    # The failure line falls between the rows of the second solve.
-    assert (got[1]["warning_count"], got[2]["warning_count"]) == (0, 1)
-
-
-def test_counter_reset_and_wrapped_header(parsed):
-    _, _, solves, _ = parsed
-    reset = solves.where("log = 'reset'").orderBy("solve_index").collect()
-    assert [r["total_krylov_iterations"] for r in reset] == [7, 13]
-    wrapped = solves.where("log = 'wrapped'").collect()
-    assert [r["total_krylov_iterations"] for r in wrapped] == [11]
-
-
-def test_timing_and_unassigned_messages(parsed):
-    lines, _, _, notes = parsed
-    timing = {r["log"]: r for r in solverlogs.run_timing(lines).collect()}
-    assert (timing["full"]["wall_clock_seconds"], timing["full"]["cpu_time_seconds"]) == (33.25, 41.5)
-    assert (timing["paired"]["wall_clock_seconds"], timing["paired"]["cpu_time_seconds"]) == (123.5, 7.25)
-    table = solverlogs.message_table(notes).where("log = 'paired'").collect()
-    assert [(r["message"], r["scope"]) for r in table] == [("aborted", "unassigned")]
+def lines(spark):
+    rows = [(log, n, line) for log, text in LOGS.items() for n, line in enumerate(text, 1)]
+    return spark.createDataFrame(rows, "log string, line_number long, line string").repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def parsed(lines):
+    _, solves, notes = solverlogs.parse_logs(lines)
+    found = {}
+    for r in solves.orderBy("log", "solve_index").collect():
+        found.setdefault(r["log"], []).append(r)
+    return found, notes.cache()
+
+
+@pytest.mark.parametrize(
+    "log,work",
+    [
+        ("bare", [8]), ("restart", [4, 5]), ("stall", [6, 7]), ("labels", [2, 4]), ("there_and_back", [1, 9]), ("same_label", [10]),
+        ("star", [6]), ("inner", [8]), ("closed", [8]), ("open", [10]), ("broken", [12]), ("messages", [2]), ("early", [1]),
+    ],
+)
+def test_inner_iterations_of_each_solve(parsed, log, work):
+    assert [r["total_krylov_iterations"] for r in parsed[0][log]] == work
+
+
+def test_logs_without_tables_have_no_solves(parsed):
+    assert not {"clock", "both", "neither"} & parsed[0].keys()
+
+
+def test_residuals_have_their_units(parsed):
+    last = {log: parsed[0][log][-1]["final_kcl_residual_a"] for log in ("bare", "labels", "broken")}
+    assert last == {"bare": pytest.approx(4e-8), "labels": pytest.approx(5e-9), "broken": pytest.approx(7e-6)}
+
+
+def test_labels_reach_the_solves_behind_them(parsed):
+    first, second = parsed[0]["labels"]
+    assert (first["frequency_hz"], first["input_power_dbm"]) == (7.5e8, None)
+    assert (second["frequency_hz"], second["input_power_dbm"]) == (7.5e8, pytest.approx(0.0))
+
+
+def test_starred_rows_are_counted(parsed):
+    assert [parsed[0][log][0]["jacobian_rebuild_rows"] for log in ("star", "bare")] == [2, 0]
+
+
+def test_messages_belong_to_the_solve_around_them(parsed):
+    found, notes = parsed
+    assert [(r["warning_count"], r["retry_message_count"]) for r in found["messages"]] == [(1, 1)]
+    assert [(r["warning_count"], r["retry_message_count"]) for r in found["early"]] == [(0, 0)]
+    scopes = {(r["log"], r["message"]): r["scope"] for r in solverlogs.message_table(notes).collect()}
+    assert scopes[("early", "aborted")] == "unassigned" and scopes[("messages", "did not converge")] != "unassigned"
+
+
+def test_timing_lines(lines):
+    timing = {r["log"]: (r["wall_clock_seconds"], r["cpu_time_seconds"]) for r in solverlogs.run_timing(lines).collect()}
+    assert timing["clock"] == (90.0, 120.0) and timing["both"] == (4.5, 6.0)
+    assert timing.get("neither", (None, None)) == (None, None)
