@@ -110,8 +110,8 @@ _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 @functools.cache
-def disputed_characters() -> str:
-    """Pattern of the characters that libraries with other Unicode tables may class otherwise.
+def disputed_characters() -> tuple[str, str]:
+    """Patterns of the characters, up to U+FFFF and above, that libraries with other Unicode tables may class otherwise.
 
     A character that was a letter, a number or neither in the oldest table at
     hand and still is counts as settled; one without a meaning yet does not.
@@ -120,16 +120,37 @@ def disputed_characters() -> str:
     def kind(c: str) -> str:
         return c if c in "LN" else "-"
 
-    out, start = [], None
-    for i in range(sys.maxunicode + 2):
-        now = unicodedata.category(chr(i)) if i <= sys.maxunicode else "Lu"
-        open_ = i <= sys.maxunicode and (now == "Cn" or kind(now[0]) != kind(unicodedata.ucd_3_2_0.category(chr(i))[0]))
-        if open_ and start is None:
-            start = i
-        elif not open_ and start is not None:
-            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return f"[{''.join(out)}]"
+    def pattern(first: int, last: int) -> str:
+        out, start = [], None
+        for i in range(first, last + 2):
+            now = unicodedata.category(chr(i)) if i <= last else "Lu"
+            open_ = i <= last and (now == "Cn" or kind(now[0]) != kind(unicodedata.ucd_3_2_0.category(chr(i))[0]))
+            if open_ and start is None:
+                start = i
+            elif not open_ and start is not None:
+                out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+                start = None
+        return f"[{''.join(out)}]"
+
+    return pattern(0, 0xFFFF), pattern(0x10000, sys.maxunicode)
+
+
+class Disputed:
+    """Whether a text has a disputed character; most texts are told by their bytes alone."""
+
+    def __init__(self, patterns: tuple[str, str]) -> None:
+        self.low, self.high = map(re.compile, patterns)
+        self.plain = not any(self.low.match(chr(i)) for i in range(256))
+
+    def __contains__(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+            if self.plain:
+                return False
+        except UnicodeEncodeError:
+            pass
+        wide = len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text)
+        return bool(self.low.search(text)) or (wide and bool(self.high.search(text)))
 
 
 def _ranked(byte_model: str, pieces: list[bytes]):
@@ -154,7 +175,7 @@ class Tokenizers:
     tests hold it against the file's own tokenizer.
     """
 
-    def __init__(self, byte_model: str, piece_model: bytes, disputed: str) -> None:
+    def __init__(self, byte_model: str, piece_model: bytes, disputed: tuple[str, str]) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on a core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -172,7 +193,7 @@ class Tokenizers:
         # The first tokenizer splits a text before a space between two words, and no piece of
         # the second has a space behind another character: there a text can be cut.
         split = json.loads(byte_model).get("pre_tokenizer") or {}
-        self.fast, self.disputed = _ranked(byte_model, self.va.pieces) if split == _PLAIN_SPLIT else None, re.compile(disputed)
+        self.fast, self.disputed = _ranked(byte_model, self.va.pieces) if split == _PLAIN_SPLIT else None, Disputed(disputed)
         words = split.get("type") == "ByteLevel" and split.get("use_regex", True)
         self.cuttable = words and not any(b" " in p.lstrip(b" ") for p in self.vb.pieces)
 
@@ -195,7 +216,7 @@ class Tokenizers:
 
     def first_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of space + text by the first tokenizer."""
-        plain = [self.fast is not None and not self.disputed.search(t) for t in texts]
+        plain = [self.fast is not None and t not in self.disputed for t in texts]
         rest = self.a.encode_batch_fast([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         slow = iter(rest)
         return [self.fast.encode_ordinary(" " + t) if p else next(slow).ids for t, p in zip(texts, plain)]
