@@ -35,6 +35,16 @@ def test_pass(spark):
     assert (verdict, codes) == ("PASS", set())
 
 
+def test_unlabelled_blocks_are_held_out_and_reported(spark):
+    b, r = tables(spark, [("fine", None, f"{1 + k / 10}", GRID, 0.75, {}) for k in range(6)])
+    out = audit(b.withColumn("split", F.lit(None).cast("string")), r, ["W"], split_label="split", holdout_fraction=0.34)
+    reasons = {x["code"]: x for x in out["reasons"].collect()}
+    assert "RANDOM_HOLDOUT_USED" in reasons and "UNASSIGNED_BLOCKS" not in reasons
+    found = reasons["RANDOM_HOLDOUT_USED"]
+    assert (found["count"], found["affected_examples"], found["additional_location_count"]) == (1, [], 0)
+    assert found["recommendation"].startswith("Label the splits")
+
+
 def test_fail(spark):
     verdict, codes, out = run(
         spark, [("fine", "train", "1.0", GRID, 0.75, {1: 1.2}), ("fine", "verification", "1.0", GRID, 0.45, {})]

@@ -214,7 +214,8 @@ def test_sobol_tells_far_indexes_apart(spark):
         assert sorted(int(r[f"u{axis}"] * 64) for r in rows) == list(range(64))
 
 
-def test_range_extension(spark):
+def test_range_extension(spark, monkeypatch):
+    monkeypatch.setattr(designs, "REFILL_ATTEMPTS", 2)  # the free grid points come in sooner
     one = [{"name": "w", "lower": 0.0, "upper": 1.0}]
     known = spark.createDataFrame([(1, 0.0, "training"), (2, 1.0, "Verify")], "row long, w double, dataset string")
     out = extend.extended_inventory(known, one, [{**one[0], "upper": 2.0}], 1, 0, 0, "halton").orderBy("point_index").collect()
