@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.complexmath import s_to_y_stack, to_matrices
-from .together import TreeSum
+from .together import TreeSum, stage_tasks
 
 # Optimiser constants.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -297,7 +297,7 @@ def fit(
     data = spread(rows, F.col(row_weight) if row_weight else F.lit(1.0), False)
     if check is not None:
         data = data.unionByName(spread(check.select("x", "y", *([coarse] if coarse else [])), F.lit(1.0), True))
-    tasks = workers or max(1, min(MOST_WORKERS, spark.sparkContext.defaultParallelism))
+    tasks = workers or stage_tasks(spark.sparkContext, MOST_WORKERS)
     data = data.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     has_check = check is not None
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .together import TreeSum
+from .together import TreeSum, stage_tasks
 
 RANK = 200
 TILE = 256
@@ -105,8 +105,7 @@ class LargeErrorModel:
         both = self.observed.select(F.lit(None).cast("long").alias("id"), "p", "t").unionByName(
             candidates.select("id", "p", F.lit(0.0).alias("t"))
         )
-        context = self.observed.sparkSession.sparkContext
-        tasks = max(1, min(MOST_WORKERS, context.defaultParallelism))
+        tasks = stage_tasks(self.observed.sparkSession.sparkContext, MOST_WORKERS)
 
         def run(batches):
             import pyarrow as pa

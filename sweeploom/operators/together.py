@@ -9,6 +9,8 @@ well, and Spark starts the whole stage anew.
 
 from __future__ import annotations
 
+import os
+import re
 import socket
 
 import numpy as np
@@ -17,6 +19,16 @@ import numpy as np
 PATIENCE = 600
 
 
+def stage_tasks(context, most: int) -> int:
+    """Tasks that a barrier stage asks for: the session's parallelism up to ``most``,
+    and no more than a session on one machine can run at once."""
+    tasks = min(most, context.defaultParallelism)
+    local = re.fullmatch(r"local(?:\[(\d+|\*)(?:\s*,\s*\d+)?\])?", context.master)
+    if local:
+        tasks = min(tasks, (os.cpu_count() or 1) if local[1] == "*" else int(local[1] or 1))
+    return max(1, tasks)
+
+
 def _take(connection: socket.socket, size: int) -> bytes:
     held = bytearray()
     while len(held) < size:
