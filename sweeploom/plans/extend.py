@@ -55,6 +55,16 @@ def slabs(old: Sequence[dict], new: Sequence[dict], places: int) -> list[dict]:
     return made
 
 
+def fitting_places(old: Sequence[dict], new: Sequence[dict], count: int, places: int, most: int = 9) -> int:
+    """Decimals, ``places`` or more, of the coarsest grid on which every slab has room for its share of ``count``."""
+    for k in range(places, most + 1):
+        parts = slabs(old, new, k)
+        total = sum(s["share"] for s in parts)
+        if parts and all(math.ceil(count * s["share"] / total) <= s["capacity"] for s in parts):
+            return k
+    raise ValueError(f"no grid of up to {most} decimals holds {count} points in the added range")
+
+
 def shared_out(count: int, shares: Sequence[float], room: Sequence[int]) -> list[int]:
     """``count`` by share with largest remainders; what a slab has no room for goes to the others."""
     if count > sum(room):

@@ -407,3 +407,16 @@ def test_batches_see_the_existing_points_of_all_nations(spark):
 
     folder = "/root/testdata/sf0.001"
     assert models._existing(spark, folder).count() == models.table(spark, folder, "customer").count()
+
+
+def test_extension_takes_a_finer_grid_when_the_first_is_too_coarse(spark):
+    old = [{"name": "w", "lower": 0.0, "upper": 4.0}, {"name": "l", "lower": 0.0, "upper": 4.0}]
+    new = [{"name": "w", "lower": 0.0, "upper": 6.0}, {"name": "l", "lower": 0.0, "upper": 6.0}]
+    assert extend.fitting_places(old, new, 10, 0) == 0
+    places = extend.fitting_places(old, new, 60, 0)
+    assert places == 1
+    known = spark.createDataFrame([(0, 1.0, 1.0, "train")], "row int, w double, l double, dataset string")
+    out = extend.extended_inventory(known, old, new, 60, 15, places, "halton").where("slab IS NOT NULL")
+    assert out.count() == 60 and out.select("w", "l").distinct().count() == 60
+    with pytest.raises(ValueError):
+        extend.fitting_places(old, new, 60, 0, most=0)
