@@ -420,3 +420,13 @@ def test_extension_takes_a_finer_grid_when_the_first_is_too_coarse(spark):
     assert out.count() == 60 and out.select("w", "l").distinct().count() == 60
     with pytest.raises(ValueError):
         extend.fitting_places(old, new, 60, 0, most=0)
+
+
+def test_suggestions_and_their_check_read_the_same_scores(spark, monkeypatch):
+    from sweeploom.plans.bindings import models
+
+    plain = models._unit_regions
+    # The last digits of a sum differ from job to job.
+    monkeypatch.setattr(models, "_unit_regions", lambda *a: plain(*a).withColumn("score", F.col("score") * (1.0 + 1e-12 * F.rand())))
+    row = models.suggestion_provenance(spark, "/root/testdata/sf0.001").first()
+    assert row["nearest"] and row["free"]
