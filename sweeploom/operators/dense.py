@@ -89,14 +89,29 @@ def compose(prediction: Column, coarse: Column, mode: str, scale: float = 1.0) -
     return F.transform(prediction, lambda p: p * F.lit(scale))
 
 
-def array_scaler(rows: DataFrame, column: str, floor_constant: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population std per position of an array column: one aggregate row."""
+def array_scaler(rows: DataFrame, column: str, floor_constant: bool, copies: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population std per position of an array column, from aggregate rows;
+    ``copies`` names how often a row counts."""
     first = rows.select(F.size(column).alias("n")).first()
     width = first["n"] if first else 0
     at = [F.get(column, F.lit(k)).cast("double") for k in range(width)]
-    row = rows.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(at)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(at)]).first()
-    mean = np.array([row[f"m{k}"] for k in range(width)], dtype=float)
-    std = np.array([row[f"s{k}"] for k in range(width)], dtype=float)
+    often = F.col(copies) if copies else F.lit(1)
+
+    def average(values: Sequence[Column]) -> np.ndarray:
+        if not values:
+            return np.zeros(0)
+        present = [F.sum(F.when(v.isNotNull(), often)) for v in values]
+        row = rows.agg(*[(F.sum(v * often) / n).alias(f"m{k}") for k, (v, n) in enumerate(zip(values, present))]).first()
+        return np.array([row[f"m{k}"] for k in range(width)], dtype=float)
+
+    # From the least value on, so that a constant column has exactly no spread.
+    low = rows.agg(*[F.min(c).alias(f"l{k}") for k, c in enumerate(at)]).first() if width else ()
+    mean = np.array(low, dtype=float) + average([c - F.lit(v) for c, v in zip(at, low)])
+    std = np.sqrt(average([(c - F.lit(float(m))) ** 2 for c, m in zip(at, mean)]))
+    # The last digits of a sum differ with the order of its rows, and the first steps of
+    # a fit would blow them up: both are kept to 2^-40 of the spread.
+    step = np.exp2(np.floor(np.log2(np.where(std > 0, std, 1.0))) - 40)
+    mean, std = np.where(std > 0, np.round(mean / step) * step, mean), np.round(std / step) * step
     flat = std < 1e-12
     floor = float(np.median(std[~flat])) if floor_constant and (~flat).any() else 1.0
     return mean, np.where(flat, floor, std)
@@ -108,6 +123,17 @@ def penalty_terms(sigma: np.ndarray, weights: np.ndarray, target: float) -> tupl
     return excess, weights * excess**2
 
 
+def largest_singular_values(m: np.ndarray) -> np.ndarray:
+    """Largest singular value of each matrix; of 2x2 matrices in closed form."""
+    if m.shape[1:] != (2, 2):
+        return np.linalg.svd(m, compute_uv=False)[:, 0]
+    a, b, c, d = m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1]
+    left = (a * a.conj() + c * c.conj()).real
+    right = (b * b.conj() + d * d.conj()).real
+    cross = a.conj() * b + c.conj() * d
+    return np.sqrt((left + right + np.sqrt((left - right) ** 2 + 4.0 * (cross * cross.conj()).real)) / 2.0)
+
+
 class Rows:
     """Rows of one task as doubles in an unnamed file, so that memory does not grow with them."""
 
@@ -154,7 +180,8 @@ class Objective:
     The penalty is lambda * (mean(w e^2) + sqrt(mean((w e^2)^2))).  The slope of its
     root needs a mean over all rows, so that part is summed apart and scaled when
     the mean is known: one exchange a step.  With ``coarse`` columns the response
-    is their sum with the outputs.
+    is their sum with the outputs.  The last two columns of a row are its weight and
+    how often it counts.
     """
 
     model: DenseModel
@@ -193,29 +220,32 @@ class Objective:
         out = np.zeros(3 + (2 * self.size if slope else 0))
         for rows in chunks:
             x, y = rows[:, : self.inputs], rows[:, self.inputs : self.inputs + self.outputs]
-            w = rows[:, -1]
+            w, often = rows[:, -2], rows[:, -1]
             layers = self.model.hidden(x)
             error = layers[-1] - y
             weighted = w[:, None] * self.column_weight * error
-            out[0] += len(rows)
-            out[1] += float((weighted * error).sum()) / self.outputs
-            delta = 2.0 * weighted / self.outputs
+            out[0] += float(often.sum())
+            out[1] += float((often[:, None] * weighted * error).sum()) / self.outputs
+            delta = (2.0 / self.outputs) * often[:, None] * weighted
             if self.penalty > 0:
                 raw = layers[-1] * self.model.y_std + self.model.y_mean
                 if self.coarse:
-                    raw = raw + rows[:, self.inputs + self.outputs : -1]
+                    raw = raw + rows[:, self.inputs + self.outputs : -2]
                 half = self.outputs // 2
                 ports = int(round(half**0.5))
-                u, s, vh = np.linalg.svd((raw[:, :half] + 1j * raw[:, half:]).reshape(-1, ports, ports))
-                excess, squared = penalty_terms(s[:, 0], w, self.target)
-                out[1] += self.penalty * float(squared.sum())
-                out[2] += float((squared**2).sum())
-                if slope:
-                    top = (u[:, :, :1] * vh[:, :1, :]).reshape(len(rows), -1)
+                matrices = (raw[:, :half] + 1j * raw[:, half:]).reshape(-1, ports, ports)
+                excess, squared = penalty_terms(largest_singular_values(matrices), w, self.target)
+                out[1] += self.penalty * float((often * squared).sum())
+                out[2] += float((often * squared**2).sum())
+                beyond = np.flatnonzero(excess > 0)
+                if slope and len(beyond):
+                    # Only a value beyond the target has a slope.
+                    u, _, vh = np.linalg.svd(matrices[beyond])
+                    top = (u[:, :, :1] * vh[:, :1, :]).reshape(len(beyond), -1)
                     pull = np.concatenate([top.real, top.imag], axis=1) * self.model.y_std
-                    pull *= (2.0 * self.penalty * w * excess)[:, None]
-                    delta = delta + pull
-                    out[3 + self.size :] += self._back(layers, pull * squared[:, None])
+                    pull *= (2.0 * self.penalty * w * excess * often)[beyond, None]
+                    delta[beyond] += pull
+                    out[3 + self.size :] += self._back([z[beyond] for z in layers], pull * squared[beyond, None])
             if slope:
                 if self.extra is not None:
                     more, lean = self.extra(layers[-1], y, w)
@@ -259,8 +289,10 @@ def fit(
 ) -> DenseModel:
     """Fit ``y`` arrays from ``x`` arrays with synchronous data-parallel Adam.
 
-    ``workers`` tasks of one barrier stage (as many as the session's parallelism,
-    up to MOST_WORKERS) hold the rows over all steps; a step adds their gradient
+    Equal rows are held once with their number, and every sum counts them as often;
+    with ``extra_gradient``, which sees single rows, all are held.
+    ``workers`` tasks of one barrier stage (as many as the session's parallelism and
+    the rows held need, up to MOST_WORKERS) hold the rows over all steps; a step adds their gradient
     sums along a tree, and every task makes the same update.  The stage ends every
     ``save_interval`` steps with the weights and the optimiser's state: a lost
     executor costs the steps since then, and with a ``state`` folder a new session
@@ -270,9 +302,16 @@ def fit(
     """
     spark = rows.sparkSession
     names = ["x", "y", *([coarse] if coarse else []), *([row_weight] if row_weight else [])]
-    rows = rows.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
-    x_mean, x_std = array_scaler(rows, "x", False)
-    y_mean, y_std = array_scaler(rows, "y", True)
+
+    def held(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        if extra_gradient is not None:
+            return df.select(*columns, F.lit(1).cast("long").alias("__often"))
+        # Sorted, so that sums do not depend on where a row was before.
+        return df.groupBy(*columns).agg(F.count("*").alias("__often")).sortWithinPartitions(*columns)
+
+    rows = held(rows, names).persist(StorageLevel.MEMORY_AND_DISK)
+    x_mean, x_std = array_scaler(rows, "x", False, "__often")
+    y_mean, y_std = array_scaler(rows, "y", True, "__often")
     wanted = np.ones(len(y_mean)) if output_weights is None else np.asarray(output_weights, dtype=float)
     # The requested weight is one on physical error, not on the scaled column.
     column_weight = wanted * y_std**2
@@ -290,15 +329,17 @@ def fit(
         ]
         added = [F.get(coarse, F.lit(k)).cast("double").alias(f"c{k}") for k in range(len(y_mean) if coarse else 0)]
         return df.select(
-            *scaled("x", x_mean, x_std), *scaled("y", y_mean, y_std), *added, weight.cast("double").alias("w"),
+            *scaled("x", x_mean, x_std), *scaled("y", y_mean, y_std), *added, weight.cast("double").alias("w"), F.col("__often").cast("double").alias("often"),
             F.lit(checking).alias("checking"), F.xxhash64("x", "y").alias("h") if batch_share < 1.0 else F.lit(0).cast("long").alias("h"),
         )
 
     data = spread(rows, F.col(row_weight) if row_weight else F.lit(1.0), False)
     if check is not None:
-        data = data.unionByName(spread(check.select("x", "y", *([coarse] if coarse else [])), F.lit(1.0), True))
-    tasks = workers or stage_tasks(spark.sparkContext, MOST_WORKERS)
-    data = data.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.unionByName(spread(held(check, ["x", "y", *([coarse] if coarse else [])]), F.lit(1.0), True))
+    # A task has at least one chunk of rows to work on.
+    tasks = workers or min(stage_tasks(spark.sparkContext, MOST_WORKERS), max(1, -(-data.count() // CHUNK_ROWS)))
+    dealt = data.repartition(tasks) if extra_gradient is not None else data.repartition(tasks, F.xxhash64(*data.columns))
+    data = dealt.sortWithinPartitions(*data.columns).persist(StorageLevel.MEMORY_AND_DISK)
     has_check = check is not None
 
     def run(start: FitState, until: int, token: bytes) -> bytes:
@@ -307,7 +348,7 @@ def fit(
             from pyspark import BarrierTaskContext
 
             at = start
-            width = goal.inputs + goal.outputs * (2 if goal.coarse else 1) + 1
+            width = goal.inputs + goal.outputs * (2 if goal.coarse else 1) + 2
             train, judge, marks = Rows(width), Rows(width), []
             for batch in batches:
                 values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:width]])

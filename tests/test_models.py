@@ -430,3 +430,36 @@ def test_suggestions_and_their_check_read_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(models, "_unit_regions", lambda *a: plain(*a).withColumn("score", F.col("score") * (1.0 + 1e-12 * F.rand())))
     row = models.suggestion_provenance(spark, "/root/testdata/sf0.001").first()
     assert row["nearest"] and row["free"]
+
+
+def test_a_row_held_once_counts_as_often_as_it_occurs():
+    rng = np.random.default_rng(5)
+    w, b = dense.xavier([2, 3, 8], 0)
+    model = dense.DenseModel(w, b, "tanh", np.zeros(2), np.ones(2), rng.normal(size=8), rng.uniform(0.5, 2, 8))
+    goal = dense.Objective(model, rng.uniform(0.5, 2, 8), 1.5, 2.0, False, None)
+    often = rng.integers(1, 5, 40)
+    rows = np.column_stack([rng.normal(size=(40, 10)), rng.uniform(0.5, 2, 40), often])
+    single = np.repeat(rows, often, axis=0)
+    single[:, -1] = 1.0
+    np.testing.assert_allclose(goal.sums([rows]), goal.sums([single]), rtol=1e-10, atol=1e-12)
+    m = rng.normal(size=(50, 2, 2)) + 1j * rng.normal(size=(50, 2, 2))
+    m[0] = np.eye(2)
+    m[1] = 0.0
+    np.testing.assert_allclose(dense.largest_singular_values(m), np.linalg.svd(m, compute_uv=False)[:, 0], rtol=1e-13, atol=1e-300)
+    # The slope is the one of the loss.
+    total, flat, step = goal.sums([rows]), goal.flat(), 1e-6
+    for at in (0, 7, len(flat) - 1):
+        moved = []
+        for sign in (1, -1):
+            goal.load(flat + sign * step * (np.arange(len(flat)) == at))
+            moved.append(goal.loss(goal.sums([rows], False)))
+        np.testing.assert_allclose(goal.gradient(total)[at], (moved[0] - moved[1]) / (2 * step), rtol=1e-5)
+
+
+def test_a_fit_sees_copies_as_rows(spark):
+    df = line_rows(spark, 30)
+    options = {"epochs": 8, "learning_rate": 0.05, "workers": 1}
+    once, often = dense.fit(df, [3], **options), dense.fit(df.unionByName(df).unionByName(df), [3], **options)
+    np.testing.assert_allclose([h[1] for h in often.history], [h[1] for h in once.history], rtol=1e-9)
+    level = spark.createDataFrame([([1e9, float(v)], [3.0, float(v)]) for v in range(7)] * 3, "x array<double>, y array<double>")
+    assert dense.fit(level, [3], **options).x_std[0] == 1.0
