@@ -72,10 +72,11 @@ class Pieces:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.bytes_of, self.byte_id = [], {}
+        self.bytes_of, self.byte_id, self.lengths = [], {}, []
         scores = []
         whole = True
         for i, (piece, score, kind) in enumerate(vocabulary):
+            self.lengths.append(len(piece))
             if kind == "byte":
                 value = int(piece[1:-1], 16)
                 self.byte_id[value] = i
@@ -91,9 +92,16 @@ class Pieces:
             self.automaton.make_automaton()
         self.cuttable = whole
         self.lone = min(scores, default=0.0) - PENALTY
-        # Ids of a cut as 32-bit numbers, and the bytes that these ids stand for.
-        self.seen = Remembered(lambda cut: self.path(cut).tobytes())
-        self.meant = Remembered(lambda cut: b"".join(map(self.bytes_of.__getitem__, array("i", self.seen[cut]))))
+        # Ids of a cut as 32-bit numbers, and cuts whose ids stand for other bytes than their own.
+        self.seen = Remembered(self._checked)
+        self.odd: set[str] = set()
+
+    def _checked(self, cut: str) -> bytes:
+        ids = self.path(cut)
+        own = SIGN if cut == OWN_SIGN else cut.replace(SIGN, " ")
+        if b"".join(map(self.bytes_of.__getitem__, ids)) != own.encode("utf-8", "surrogatepass"):
+            self.odd.add(cut)
+        return ids.tobytes()
 
     def path(self, text: str) -> array:
         """Ids of the best path over one cut."""
@@ -101,36 +109,40 @@ class Pieces:
             return array("i", [self.byte_id[b] for b in SIGN.encode()])
         n = len(text)
         best = [0.0] + [float("-inf")] * n
-        came: list = [None] * (n + 1)
+        came = [-1] * (n + 1)  # piece that ends here; -1 for a lone character
         done = 0  # positions up to here are settled but for their lone character
         lone = self.lone
         if len(self.automaton):
             for last, (length, score, i) in self.automaton.iter(text):
                 while done < last:
+                    value = best[done] + lone
                     done += 1
-                    if best[done - 1] + lone > best[done]:
-                        best[done] = best[done - 1] + lone
-                        came[done] = (done - 1, -1)
-                start = last + 1 - length
-                value = best[start] + score
-                if value > best[last + 1]:
-                    best[last + 1] = value
-                    came[last + 1] = (start, i)
+                    if value > best[done]:
+                        best[done] = value
+                        came[done] = -1
+                end = last + 1
+                value = best[end - length] + score
+                if value > best[end]:
+                    best[end] = value
+                    came[end] = i
         while done < n:
+            value = best[done] + lone
             done += 1
-            if best[done - 1] + lone > best[done]:
-                best[done] = best[done - 1] + lone
-                came[done] = (done - 1, -1)
+            if value > best[done]:
+                best[done] = value
+                came[done] = -1
         ids = []
         at = n
         while at:
-            start, i = came[at]
+            i = came[at]
             if i < 0:
-                ids += [self.byte_id[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass"))]
+                ids += [self.byte_id[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
+                at -= 1
             else:
                 ids.append(i)
-            at = start
-        return array("i", ids[::-1])
+                at -= self.lengths[i]
+        ids.reverse()
+        return array("i", ids)
 
     def coded(self, text: str) -> tuple[bytes, bytes]:
         """Ids of the text as 32-bit numbers, and the bytes that they decode to."""
@@ -142,8 +154,13 @@ class Pieces:
             if not k:
                 signed = SIGN + signed
             cuts += _CUT.findall(signed) if self.cuttable else [signed] * bool(signed)
+        if len(self.odd) > REMEMBERED:
+            self.odd.clear(), self.seen.clear()
         ids = b"".join(map(self.seen.__getitem__, cuts))
-        return ids, b"".join(map(self.meant.__getitem__, cuts))
+        # Every cut was decoded when its ids were made: together they give back the text.
+        if self.odd.isdisjoint(cuts):
+            return ids, (" " + text).encode("utf-8", "surrogatepass") if text else b""
+        return ids, b"".join(map(self.bytes_of.__getitem__, array("i", ids)))
 
     def encode(self, text: str) -> array:
         return array("i", self.coded(text)[0])

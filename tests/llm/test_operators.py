@@ -523,3 +523,21 @@ def test_queries(spark, name):
         cursor = con.execute(queries.SQL[name])
         assert [d[0] for d in cursor.description] == df.columns
         assert sorted(got) == sorted(cursor.fetchall())
+
+
+def test_pieces_decode_each_cut_once_and_tell_odd_ones():
+    from sweeploom.llm import pieces
+
+    words = [("<0x%02X>" % b, 0.0, "byte") for b in range(256)] + [(pieces.SIGN, -3.0, "normal"), (pieces.SIGN + "ab", -1.0, "normal"), ("c", -2.0, "normal")]
+    coder = pieces.Pieces(words)
+    made = []
+    path = coder.path
+    coder.path = lambda cut: made.append(cut) or path(cut)
+    long = "abc" * 40
+    for text in ("", "ab abc", long, "x\u2581ab", "\ud800"):
+        assert coder.decode(coder.encode(text)) == text
+        assert coder.coded(text)[1] == ((" " + text).encode("utf-8", "surrogatepass") if text else b"")
+    assert made.count(pieces.SIGN + long) == 2  # too long to remember: one search a call
+    coder.bytes_of[258] = b"?"
+    coder.seen.clear()
+    assert coder.coded("abc")[1] == b" ab?" and coder.odd
