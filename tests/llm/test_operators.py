@@ -541,3 +541,9 @@ def test_pieces_decode_each_cut_once_and_tell_odd_ones():
     coder.bytes_of[258] = b"?"
     coder.seen.clear()
     assert coder.coded("abc")[1] == b" ab?" and coder.odd
+
+
+def test_work_in_tasks_gives_memory_back(monkeypatch):
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(1))
+    assert list(common.lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4] and called == [1]
