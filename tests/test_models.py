@@ -374,6 +374,45 @@ def test_adaptive_trials_balance_categories(spark):
     assert got["stage"] == "gp_lcb" and got["id"] not in done
 
 
+def test_repeated_trials_count_as_their_mean_and_large_models_need_no_barrier(spark, monkeypatch):
+    from sweeploom.operators import acquire, kriging, search
+
+    draw = np.random.default_rng(4)
+    places = draw.random((60, 2))
+    at = draw.integers(0, 60, 150)
+    values = np.sin(5 * places[at, 0]) + places[at, 1] + 0.01 * draw.standard_normal(150)
+    rows = [(i, [float(v) for v in places[k]], "a", float(y), 0, 1.0) for i, (k, y) in enumerate(zip(at, values))]
+    trials = spark.createDataFrame(rows, "id long, p array<double>, act string, metric double, violations int, max_sigma double")
+    fresh = [[float(v) for v in p] for p in draw.random((40, 2))]
+    pool = spark.createDataFrame([(1000 + i, fresh[i % 40], "a") for i in range(120)], "id long, p array<double>, act string")
+
+    # Every trial on its own, in one matrix.
+    mean, spread = values.mean(), values.std()
+    models = [acquire.build(places[at], (values - mean) / spread, mean, spread, np.full(2, s), search.TRIAL_NOISE) for s in acquire.LENGTH_SCALES]
+    best = max(models, key=lambda m: m.likelihood)
+    mu, sd = best.posterior(np.array(fresh))
+    pick = int((mu - 1.5 * sd).argmin())
+
+    monkeypatch.setattr(kriging.LargeErrorModel, "_stage", None)  # the barrier stage
+    for dense_points in (100, 59):  # fewer than the trials, but not than their points; fewer than both
+        monkeypatch.setattr(acquire, "DENSE_POINTS", dense_points)
+        got = search.next_trial(pool, trials, {"act": ["a"]}, F.lit(True))
+        assert got["id"] == 1000 + pick and abs(got["predicted_objective"] - mu[pick]) < 1e-6
+
+
+def test_block_factor_solves_like_a_whole_one(monkeypatch):
+    from sweeploom.operators import kriging
+
+    monkeypatch.setattr(kriging, "FACTOR_ROWS", 7)
+    draw = np.random.default_rng(1)
+    points, noise, b = draw.random((33, 2)), 0.01 + draw.random(33), draw.random((33, 4))
+    whole = kriging.matern(points, points, np.array([0.3, 0.4])) + np.diag(noise)
+    factor = kriging.Factor(points, np.array([0.3, 0.4]), noise)
+    assert np.allclose(factor.backward(factor.forward(b)), np.linalg.solve(whole, b))
+    steps = kriging.System(points, np.array([0.3, 0.4]), noise).solve(b, slice(0, 33))
+    assert np.allclose(steps, np.linalg.solve(whole, b))
+
+
 def test_nan_metrics_rank_last_and_are_not_eligible(spark):
     from sweeploom.operators import metrics, trials
 
