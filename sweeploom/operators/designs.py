@@ -7,6 +7,8 @@ import random
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.units import from_unit
@@ -252,21 +254,29 @@ def sobol(
     scramble is a digital shift, which differs from a nested one."""
     at = (F.col(index) + F.lit(skip)).cast("long")
     gray = at.bitwiseXOR(F.shiftright(at, 1))
-
-    def mixed(table: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(F.bin(gray))),
-            F.lit(0).cast("long"),
-            lambda sum_, k: sum_.bitwiseXOR(F.element_at(table, k) * F.getbit(gray, k - 1)),
-        )
-
+    table = np.array(sobol_directions(dimensions), np.int64).T
+
+    @F.pandas_udf("array<long>")
+    def mixed(codes: pd.Series) -> pd.Series:
+        code = codes.to_numpy(np.int64)
+        bits = np.zeros((len(code), dimensions), np.int64)
+        if not len(code):
+            return pd.Series([], dtype=object)
+        if code.min() < 0 or code.max() >> SOBOL_BITS:
+            raise ValueError(f"Sobol row numbers must lie in 0 .. 2^{SOBOL_BITS} - 1")
+        for k in range(int(code.max()).bit_length()):
+            bits ^= -(code >> k & 1)[:, None] & table[k]
+        return pd.Series(list(bits))
+
+    # The function sees no NULL; a row without number gets no coordinates.
+    rows = rows.withColumn("__bits", F.when(F.col(index).isNotNull(), mixed(F.coalesce(gray, F.lit(0)))))
     coords = {}
-    for d, directions in enumerate(sobol_directions(dimensions)):
-        bits = mixed(F.array(*[F.lit(v).cast("long") for v in directions]))
+    for d in range(dimensions):
+        bits = F.col("__bits")[d]
         if scramble:
             bits = bits.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(d)).bitwiseAND(F.lit((1 << SOBOL_BITS) - 1)))
         coords[f"{prefix}{d}"] = bits.cast("double") / F.lit(float(1 << SOBOL_BITS))
-    return rows.withColumns(coords)
+    return rows.withColumns(coords).drop("__bits")
 
 
 # --- unique points on the output grid -----------------------------------------

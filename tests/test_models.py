@@ -413,6 +413,18 @@ def test_block_factor_solves_like_a_whole_one(monkeypatch):
     assert np.allclose(steps, np.linalg.solve(whole, b))
 
 
+def test_sobol_strata_are_spread_and_free_of_lambdas(spark):
+    from sweeploom.plans.bindings import models
+
+    plan = models.sobol_strata(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan
+    rows = spark.createDataFrame([(0,), (5,), (None,)], "i long")
+    got = {r["i"]: (r["u0"], r["u1"]) for r in designs.sobol(rows, "i", 2).collect()}
+    directions = designs.sobol_directions(2)
+    wanted = [(d[0] ^ d[1] ^ d[2]) / 2**designs.SOBOL_BITS for d in directions]  # 5 in Gray code: 111
+    assert got[0] == (0.0, 0.0) and got[5] == tuple(wanted) and got[None] == (None, None)
+
+
 def test_nan_metrics_rank_last_and_are_not_eligible(spark):
     from sweeploom.operators import metrics, trials
 
