@@ -98,7 +98,11 @@ def log_file_lines(spark, folder):
         lines.write.option("encoding", charset).option("sep", "\x01").option("quote", "").csv(path)
         back = textlogs.read_lines(spark, f"{path}/part-*", split_bytes=1 << 20).withColumn("charset", F.lit(charset))
         out = back if out is None else out.unionByName(back)
-    whole = out.groupBy("charset", "log").agg((F.max("line_number") == F.count_distinct("line_number")).alias("numbered"))
+    # Distinct numbers by bitmaps of 32,768 numbers each: exact, and no task holds all numbers of a file.
+    marks = out.groupBy("charset", "log", F.bitmap_bucket_number("line_number").alias("bucket")).agg(
+        F.max("line_number").alias("top"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("line_number"))).alias("different")
+    )
+    whole = marks.groupBy("charset", "log").agg((F.max("top") == F.sum("different")).alias("numbered"))
     fine = whole.groupBy("charset").agg(F.every("numbered").alias("numbered"))
     counts = out.groupBy("charset", "line").agg(F.count("*").alias("times"))
     return counts.join(F.broadcast(fine), "charset")  # one row an encoding

@@ -161,7 +161,11 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     and the file is valid in it (big endian where more NULs have even places); else
     UTF-8.  Bytes that are not valid become U+FFFD.  Lines end with CR LF, CR or LF.
     """
-    spread = ranges(spark, path, split_bytes).repartition("log", "first")
+    cut = ranges(spark, path, split_bytes)
+    # A range is a short row here and many lines below: a counted repartition is not merged for being small.
+    size = cut.agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first")).alias("bytes")).first()
+    tasks = max(1, min(size["n"], max(-(-(size["bytes"] or 0) // SPLIT_BYTES), 2 * spark.sparkContext.defaultParallelism)))
+    spread = cut.repartition(tasks, "log", "first")
     kinds = ", ".join(f"{c} long" for c in ("size", "first", "last", "mark", "even", "odd", "lone_0", "lone_1", "lone_2", *_COUNTS))
     counted = spread.mapInArrow(_probe, f"log string, named string, probe boolean, {kinds}")
     # A file has few ranges beside its lines: one row for each SPLIT_BYTES.
@@ -179,5 +183,5 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     begun = F.coalesce(*[F.when(F.col("charset") == name, F.col(c)) for (name, _, _), c in zip(CHARSETS, _COUNTS)])
     earlier = Window.partitionBy("log").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     known = folded.withColumn("charset", charset).withColumn("before", F.coalesce(F.sum(begun).over(earlier), F.lit(0)))
-    dealt = known.select("log", "size", "first", "last", "mark", "charset", "before").repartition("log", "first")
+    dealt = known.select("log", "size", "first", "last", "mark", "charset", "before").repartition(tasks, "log", "first")
     return dealt.mapInArrow(_read, "log string, line_number long, line string")

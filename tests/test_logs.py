@@ -103,3 +103,15 @@ def test_timing_lines(lines):
     timing = {r["log"]: (r["wall_clock_seconds"], r["cpu_time_seconds"]) for r in solverlogs.run_timing(lines).collect()}
     assert timing["clock"] == (90.0, 120.0) and timing["both"] == (4.5, 6.0)
     assert timing.get("neither", (None, None)) == (None, None)
+
+
+def test_small_ranges_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from sweeploom.sources import textlogs
+
+    text = "".join(f"line {k}\n" for k in range(5_000))
+    (tmp_path / "a.log").write_text(text)
+    lines = textlogs.read_lines(spark, str(tmp_path / "a.log"), split_bytes=2_000).withColumn("task", F.spark_partition_id())
+    rows = lines.orderBy("line_number").collect()
+    assert [r["line"] for r in rows] == text.splitlines() and [r["line_number"] for r in rows] == list(range(1, 5_001))
+    assert len({r["task"] for r in rows}) > 1  # adaptive execution would merge the short rows of ranges into one task
