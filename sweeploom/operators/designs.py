@@ -80,13 +80,19 @@ def permuted(value: Column, count: int, keys: Sequence[Column]) -> Column:
     def lap(current: Column) -> Column:
         return _shuffled_once(current, half, keys)
 
-    first = lap(start)
-    laps = 4 ** half if half <= 3 else 256
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(laps)),
-        first,
-        lambda current, _: F.when(current < F.lit(count), current).otherwise(lap(current)),
-    )
+    def more(value: Column, laps: int) -> Column:
+        # Bound once by the array; a value that is inside takes no further lap.
+        def walk(v: Column) -> Column:
+            steps = F.when(v < F.lit(count), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(laps)))
+            return F.aggregate(steps, v, lambda current, _: F.when(current < F.lit(count), current).otherwise(lap(current)))
+
+        return F.get(F.transform(F.array(value), walk), 0)
+
+    # Nearly all values are inside after a few laps, so the long walk is seldom started.
+    laps = 4**half if half <= 3 else 256
+    few = min(laps, 6)
+    inside = more(lap(start), few)
+    return more(inside, laps - few) if laps > few else inside
 
 
 def uniform(*keys: Column) -> Column:
@@ -118,6 +124,8 @@ def maximin_latin_hypercube(
     first, so only close points meet.
     """
     table = rows.withColumn("__design", F.explode(F.sequence(F.lit(0), F.lit(designs - 1))))
+    # The rows of one small file would all be drawn in its task; a counted repartition is not merged for being small.
+    table = table.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "__design", index)
     table = checkpointed(latin_hypercube(table, index, count, dimensions, seed, F.col("__design"), prefix))
     axes = [f"{prefix}{d}" for d in range(dimensions)]
     score = design_scores(table, "__design", index, axes, count)

@@ -425,6 +425,16 @@ def test_sobol_strata_are_spread_and_free_of_lambdas(spark):
     assert got[0] == (0.0, 0.0) and got[5] == tuple(wanted) and got[None] == (None, None)
 
 
+def test_designs_of_one_small_file_are_drawn_in_many_tasks(spark):
+    rows = spark.range(0, 40, 1, 1).withColumnRenamed("id", "i")
+    made = designs.maximin_latin_hypercube(rows, "i", 40, 2, seed=3, designs=8)
+    assert made.rdd.getNumPartitions() > 1 and made.count() == 40
+    for count in (1, 2, 5, 40, 300):
+        keys = [F.lit(7)]
+        got = [r[0] for r in spark.range(count).select(designs.permuted(F.col("id"), count, keys)).collect()]
+        assert sorted(got) == list(range(count))
+
+
 def test_nan_metrics_rank_last_and_are_not_eligible(spark):
     from sweeploom.operators import metrics, trials
 
