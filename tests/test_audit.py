@@ -72,3 +72,10 @@ def test_units_and_coarse_range(spark):
     mixed = [("fine", "train", "0.0", GRID, 0.75, {}), ("fine", "verification", "3.0", GRID, 0.75, {}), ("coarse", "train", "1.0", GRID, 0.75, {}), ("coarse", "train", "2.0", GRID, 0.75, {})]
     _, codes, _ = run(spark, mixed)
     assert "FINE_OUTSIDE_COARSE_TRAIN_RANGE" in codes
+
+
+def test_structure_rules_read_the_samples_once(spark):
+    from sweeploom.plans.bindings import audits
+
+    plan = audits.structure_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "l_extendedprice" not in plan  # the tie-break of the samples: behind a checkpoint, not in each rule
