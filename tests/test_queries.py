@@ -46,3 +46,13 @@ def test_query(spark, duck, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert got == canonical(cursor.fetchall(), names)
+
+
+def test_sweeps_are_drawn_once_and_matrices_carry_other_columns(spark):
+    from pyspark.sql import functions as F
+    from sweeploom.plans.bindings import base, models
+
+    folder = "/root/testdata/sf0.001"
+    assert "l_suppkey" not in models._sweeps(spark, folder)._jdf.queryExecution().toString()
+    rows = base.two_port(spark, folder, F.col("l_discount").alias("d"))
+    assert rows.where(F.col("d") != F.col("matrix")[0]).isEmpty()
