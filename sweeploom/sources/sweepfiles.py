@@ -2,7 +2,8 @@
 
 A file is cut at ``END`` lines, so a file of any size is read in parallel
 splits and a record is one block.  Values that stay in force for later blocks
-(a VAR before BEGIN) are carried over the splits by a fill along the file.
+(a VAR before BEGIN) are kept while a split is read; what earlier splits leave
+is carried on by one row a split.
 """
 
 from __future__ import annotations
@@ -10,19 +11,18 @@ from __future__ import annotations
 import math
 import re as regex
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.units import NUMBER_PATTERN, UNIT_SCALES
-from ..operators import ordered
-from ..session import checkpointed
+from ..session import broadcast_small, checkpointed, scratch
 
 BLOCK_SCHEMA = (
-    "source_file string, split long, pos long, part int, sticky array<struct<seq:int,name:string,value:string>>, "
-    "own map<string,string>, has_block boolean, data_format string, frequency_unit string, "
-    "reference_impedance_ohm double, freq_hz array<double>, labels array<string>, "
-    "re array<array<double>>, im array<array<double>>"
+    "source_file string, split long, number long, inherited map<string,string>, own map<string,string>, "
+    "has_block boolean, data_format string, frequency_unit string, reference_impedance_ohm double, "
+    "freq_hz array<double>, labels array<string>, re array<array<double>>, im array<array<double>>"
 )
+# Numbers of blocks that a task holds before it hands them on.
+BATCH_VALUES = 200_000
 FREQUENCY_UNITS = ("hz", "khz", "mhz", "ghz", "thz")
 _NUMBER = regex.compile(rf"^({NUMBER_PATTERN})([A-Za-z]*)$")
 
@@ -131,39 +131,77 @@ def parse_record(text: str, with_values: bool = True) -> list[dict]:
 
 
 def read_records(spark: SparkSession, path: str, with_values: bool = True) -> DataFrame:
-    """Parsed records in file order: one row per block or trailing assignment group."""
+    """Parsed blocks, and one row without a block at the end of each split.
+
+    A task meets the records of a split one after the other, so it counts the
+    blocks (``number``, from 0 in the split) and keeps the assignments that stay
+    in force: ``inherited`` has those made in the split before or at the block.
+    The closing row has the number of blocks of the split and all its assignments.
+    """
     text = spark.read.text(path, lineSep="\nEND")
     placed = text.select(
         "value",
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("pos"),
     )
 
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
     def work(batches):
-        for pdf in batches:
-            rows = []
-            for value, source, split, pos in zip(pdf["value"], pdf["source_file"], pdf["split"], pdf["pos"]):
+        import pyarrow as pa
+
+        texts, numbers = pa.map_(pa.string(), pa.string()), pa.list_(pa.float64())
+        kinds = [
+            pa.string(), pa.int64(), pa.int64(), texts, texts, pa.bool_(), pa.string(), pa.string(), pa.float64(),
+            numbers, pa.list_(pa.string()), pa.list_(numbers), pa.list_(numbers),
+        ]
+        nothing = {"own": {}, "format": None, "unit": None, "z0": None, "freq": [], "labels": [], "re": [], "im": []}
+        at, number, known, held = None, 0, {}, 0
+        columns: list[list] = [[] for _ in kinds]
+
+        def add(b, has_block):
+            row = (
+                *at, number, tuple(known.items()), tuple(b["own"].items()), has_block, b["format"], b["unit"], b["z0"],
+                b["freq"], b["labels"], b["re"], b["im"],
+            )
+            for column, value in zip(columns, row):
+                column.append(value)
+
+        def packed():
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for column in columns:
+                column.clear()
+            return made
+
+        for batch in batches:
+            for value, source, split in zip(*(c.to_pylist() for c in batch.columns)):
+                if held >= BATCH_VALUES:
+                    yield packed()
+                    held = 0
+                if (source, split) != at:
+                    if at is not None:
+                        add(nothing, False)
+                    at, number, known = (source, split), 0, {}
                 # The separator was swallowed: what follows END on its line is not data.
                 body = value + "\nEND" if "BEGIN" in value.upper() else value
-                for part, b in enumerate(parse_record(body, with_values)):
-                    rows.append(
-                        (
-                            source, split, pos, part,
-                            [{"seq": s, "name": n, "value": v} for s, n, v in b["sticky"]],
-                            b["own"], b["has_block"], b["format"], b["unit"], b["z0"],
-                            b["freq"], b["labels"], b["re"], b["im"],
-                        )
-                    )
-            yield pd.DataFrame(
-                rows,
-                columns=[
-                    "source_file", "split", "pos", "part", "sticky", "own", "has_block", "data_format",
-                    "frequency_unit", "reference_impedance_ohm", "freq_hz", "labels", "re", "im",
-                ],
-            ).astype({"reference_impedance_ohm": "float64"})
-
-    return placed.mapInPandas(work, BLOCK_SCHEMA)
+                for b in parse_record(body, with_values):
+                    known.update((name, given) for _, name, given in b["sticky"])
+                    if b["has_block"]:
+                        add(b, True)
+                        number += 1
+                        held += 1 + len(b["freq"]) * (1 + len(b["labels"]))
+            if columns[0]:
+                yield packed()
+                held = 0
+        if at is not None:
+            add(nothing, False)
+            yield packed()
+
+    return placed.mapInArrow(work, BLOCK_SCHEMA)
+
+
+def _before(*keys: str):
+    return Window.partitionBy(*keys).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def blocks(spark: SparkSession, path: str, dataset_kind: str = "fine", with_values: bool = True) -> DataFrame:
@@ -171,41 +209,29 @@ def blocks(spark: SparkSession, path: str, dataset_kind: str = "fine", with_valu
 
     ``with_values`` off gives the parameter-only scan.
     """
-    parsed = checkpointed(read_records(spark, path, with_values))
-    order = ["split", "pos", "part"]
-    chunk = F.col("split")
-    keyed = ordered.running(
-        parsed, ["source_file"], order, chunk, {"__n": F.when(F.col("has_block"), 1).otherwise(0).cast("long")}
-    )
-    # Effective sticky values: last assignment of each name at or before the block.
-    last_in_row = F.map_from_entries(
-        F.transform(
-            F.filter("sticky", lambda s: ~F.exists("sticky", lambda t: (t["name"] == s["name"]) & (t["seq"] > s["seq"]))),
-            lambda s: F.struct(s["name"], s["value"]),
-        )
-    )
-    names = parsed.select("source_file", F.explode("sticky.name").alias("name")).distinct()
-    per_name = (
-        keyed.select("source_file", *order, "has_block", "__n", last_in_row.alias("__m"))
-        .join(names, "source_file")
-        .withColumn("__v", F.try_element_at("__m", F.col("name")))
-        .drop("__m")
-    )
-    filled = ordered.forward_fill(per_name, ["source_file", "name"], order, chunk, {"value": "__v"})
-    inherited = (
-        filled.where("has_block AND value IS NOT NULL")
-        .groupBy("source_file", "__n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("inherited"))
-    )
+    kept = scratch(spark, "sweep-blocks")
+    read_records(spark, path, with_values).write.parquet(kept)
+    parsed = spark.read.schema(BLOCK_SCHEMA).parquet(kept)
     empty = F.create_map().cast("map<string,string>")
-    joined = keyed.where("has_block").join(inherited, ["source_file", "__n"], "left")
-    base = F.map_filter(F.coalesce("inherited", empty), lambda k, v: ~F.map_contains_key(F.col("own"), k))
+    newer = lambda older, new: F.map_concat(F.map_filter(older, lambda k, v: ~F.map_contains_key(new, k)), new)
+    # What earlier splits of the file leave in force: the last split that assigns a name counts.
+    ends = parsed.where("NOT has_block").select("source_file", "split", "number", "inherited")
+    ends = checkpointed(ends.withColumn("first", F.coalesce(F.sum("number").over(_before("source_file")), F.lit(0))))
+    given = ends.select("source_file", "split", F.explode("inherited").alias("name", "value"))
+    names = given.select("source_file", "name").distinct()
+    every = ends.select("source_file", "split").join(names, "source_file").join(given, ["source_file", "split", "name"], "left")
+    earlier = every.withColumn("left", F.last("value", ignorenulls=True).over(_before("source_file", "name"))).where("left IS NOT NULL")
+    left = earlier.groupBy("source_file", "split").agg(F.map_from_entries(F.collect_list(F.struct("name", "left"))).alias("left"))
+    carry = ends.select("source_file", "split", "first").join(left, ["source_file", "split"], "left")
+    carry = broadcast_small(checkpointed(carry))  # one row a split
+    joined = parsed.where("has_block").join(carry, ["source_file", "split"])
+    index = F.col("first") + F.col("number")
     return joined.select(
-        F.concat_ws("|", F.lit(dataset_kind), "source_file", (F.col("__n") - 1).cast("string")).alias("record_id"),
+        F.concat_ws("|", F.lit(dataset_kind), "source_file", index.cast("string")).alias("record_id"),
         F.lit(dataset_kind).alias("dataset_kind"),
         "source_file",
-        (F.col("__n") - 1).cast("int").alias("source_index"),
-        F.map_concat(base, F.coalesce("own", empty)).alias("params"),
+        index.cast("int").alias("source_index"),
+        newer(newer(F.coalesce("left", empty), F.col("inherited")), F.col("own")).alias("params"),
         "data_format",
         "frequency_unit",
         "reference_impedance_ohm",
@@ -224,10 +250,11 @@ def with_ordinal(block: DataFrame) -> DataFrame:
     return block.join(offsets, "source_file").withColumn("ordinal", F.col("offset") + F.col("source_index")).drop("offset")
 
 
-def response(block: DataFrame) -> DataFrame:
-    """Long form: one row per block, frequency and label."""
+def response(block: DataFrame, *more: str) -> DataFrame:
+    """Long form: one row per block, frequency and label; ``more`` columns of the block stay."""
     samples = block.select(
         *[c for c in ("record_id", "ordinal", "dataset_kind", "role", "source_file", "source_index") if c in block.columns],
+        *more,
         "labels",
         F.posexplode(F.arrays_zip("freq_hz", "re", "im")).alias("freq_idx", "s"),
     )

@@ -50,6 +50,26 @@ def test_many_files_and_response_rows(spark, tmp_path):
     assert sweepfiles.response(blocks).count() == 3 * 4 * (4 + 2)
 
 
+def test_sticky_values_cross_splits_and_one_parse_serves(spark, tmp_path):
+    block = "BEGIN ACDATA\n% Freq S11\n# Hz S RI R 50\n0 0.5 0\nEND\n"
+    text = "".join(f"VAR n={k}\n" + ("VAR seldom=%d\n" % k if k % 40 == 7 else "") + block.replace("ACDATA\n", f"ACDATA\nVAR own={k}\n") for k in range(200))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.mdif").write_text("VAR file=" + name + "\n" + text + "VAR late=1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        made = sweepfiles.blocks(spark, str(tmp_path))
+        rows = made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("a", "b"):
+        own = {r["source_index"]: r["params"] for r in rows if r["source_file"].endswith(f"{name}.mdif")}
+        seldom = {k: {"seldom": str(40 * ((k - 7) // 40) + 7)} if k >= 7 else {} for k in range(200)}
+        assert own == {k: {"file": name, "n": str(k), "own": str(k)} | seldom[k] for k in range(200)}
+    # Blocks are not shuffled nor sorted to learn what is in force.
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_log_encodings(spark, tmp_path):
     for name, data in {
         "bom16": "a\nbé".encode("utf-16"),
