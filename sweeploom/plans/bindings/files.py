@@ -44,15 +44,15 @@ def _written(spark, folder):
 def sweep_file_round_trip(spark, folder):
     """Block text written by one job and read back in splits by another."""
     blocks = sweepfiles.blocks(spark, _written(spark, folder))
-    long = sweepfiles.response(blocks)
-    keys = blocks.select("record_id", F.col("params")["order"].cast("long").alias("l_orderkey"))
-    wide = long.groupBy("record_id", "freq_idx").agg(
+    blocks = blocks.withColumn("l_orderkey", F.col("params")["order"].cast("long"))
+    wide = sweepfiles.response(blocks, "l_orderkey").groupBy("record_id", "freq_idx").agg(
+        F.first("l_orderkey").alias("l_orderkey"),
         F.first("freq_hz").alias("freq_hz"),
         F.max(F.when(F.col("label") == "S11", F.col("re"))).alias("s11_re"),
         F.max(F.when(F.col("label") == "S11", F.col("im"))).alias("s11_im"),
         F.max(F.when(F.col("label") == "S21", F.col("re"))).alias("s21_re"),
     )
-    return wide.join(keys, "record_id").select("l_orderkey", (F.col("freq_idx") >= 0).alias("ok"), "freq_hz", "s11_re", "s11_im", "s21_re")
+    return wide.select("l_orderkey", (F.col("freq_idx") >= 0).alias("ok"), "freq_hz", "s11_re", "s11_im", "s21_re")
 
 
 @query(
