@@ -33,6 +33,8 @@ K = 64
 LOSS_SIGMAS = 5.0
 # Pairs whose estimate is below are not confirmed; 0.75 less about 4.6 standard deviations.
 LEAST_ESTIMATE = 0.5
+# Texts that are hashed together: a task holds about 20 bytes for each byte of them.
+PART_BYTES = 1 << 20
 
 _COEFFICIENTS = common.mix64(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -109,7 +111,7 @@ def sketches(docs: DataFrame, words: int = WORDS, keep=("doc_id",)) -> DataFrame
         import pyarrow as pa
 
         size, one, two, flat, lengths = [], [], [], [], []
-        for lo, hi, data, ends in common.parts(column):
+        for lo, hi, data, ends in common.parts(column, PART_BYTES):
             value, at = shingle_sets(data, ends, words)
             sums = []
             for salt in (0x51, 0xA7):
@@ -139,7 +141,7 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         import pyarrow as pa
 
         flat, lengths = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-        for lo, hi, data, ends in common.parts(column):
+        for lo, hi, data, ends in common.parts(column, PART_BYTES):
             value, at = shingle_sets(data, ends, words)
             flat.append(value)
             lengths.append(np.diff(at))

@@ -547,3 +547,31 @@ def test_work_in_tasks_gives_memory_back(monkeypatch):
     called = []
     monkeypatch.setattr(common, "give_back", lambda: called.append(1))
     assert list(common.lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4] and called == [1]
+
+
+def test_scan_holds_little_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4_000))) for _ in range(250)]
+    numbers = pa.array(np.arange(250))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), numbers, numbers], names=["text", "k1", "k2"])
+
+    class Docs:
+        def filter(self, *_):
+            return self
+
+        select = filter
+
+        def mapInArrow(self, work, schema):
+            return work([batch])
+
+    list(suffixes._scan(Docs(), 400))  # powers of the hash base are made once
+    tracemalloc.start()
+    rows = [r for b in suffixes._scan(Docs(), 400) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r["windows"] for r in rows) == 250 * 3_601
+    assert peak < 40 << 20
