@@ -79,3 +79,15 @@ def test_structure_rules_read_the_samples_once(spark):
 
     plan = audits.structure_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "l_extendedprice" not in plan  # the tie-break of the samples: behind a checkpoint, not in each rule
+
+
+def test_labelled_rows_of_the_audit_are_read_from_stored_samples(spark):
+    """Four rows a sample are neither stored nor shuffled again by each rule."""
+    from sweeploom.plans.bindings import audits, base
+
+    folder = "/root/testdata/sf0.001"
+    block, resp = audits.audit_tables(spark, folder)
+    assert "Exchange" not in resp._jdf.queryExecution().executedPlan().toString()
+    whole = base.response(spark, folder).drop("l_linestatus")
+    assert resp.exceptAll(whole).isEmpty() and resp.count() == whole.count()
+    assert block.count() == whole.select("record_id").distinct().count()
